@@ -67,7 +67,7 @@ def partitions(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame (the files' size for a plain scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def text_of(text: str) -> Column:

@@ -5,18 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geostrata.llm.common import table
+from geostrata.llm import common, fingerprint, packing, sentencepiece_bpe, tokenfile, toxicity
+from geostrata.llm.common import table, tokenizer_path
 from geostrata.llm.minhash import near_duplicates
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled fingerprints of every text and of its edited form."""
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text, and what they decode to, as digests."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every text; one label in five is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups: four-word shingles, similarity 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, num=80, den=100)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents in id order, written and read back."""
+    folder = common.shared_dir(spark)
+    manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    return tokenfile.read_tokens(manifest, folder, digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_sentencepiece, op3_toxicity, op6_best_fit_packing, op7_minhash_near_dedup, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

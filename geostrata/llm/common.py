@@ -24,6 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="geostrata-")
         sc.setCheckpointDir(base)
+    if "://" not in base:  # as Hadoop would read it
+        at = sc._jvm.org.apache.hadoop.fs.Path(base)
+        root = at.getFileSystem(sc._jsc.hadoopConfiguration()).getUri().toString().rstrip("/")
+        base = f"{'file://' if root == 'file:' else root}{at.toUri().getPath()}"
     path = f"{base.rstrip('/')}/geostrata-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path

@@ -143,7 +143,7 @@ def _write(folder: str, path: str, cut: str, end: int):
                     where, base = fs.FileSystem.from_uri(folder)
                     where.create_dir(base, recursive=True)
                     name = f"{base}/{uuid.uuid4().hex}.tokens.zst"
-                    writer = TokenFileWriter(where.open_output_stream(name))
+                    writer = TokenFileWriter(where.open_output_stream(name, compression=None))
                     first = part.column(0)[0].as_py()
                 texts = [t.as_py() or "" for t in part.column(1)]
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):

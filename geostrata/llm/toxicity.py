@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from geostrata.llm import common
 
 BUCKETS, DIM = 1 << 18, 8
-WINDOW = 32
-PER_CLASS, LONGEST = 2500, 20_000
-EPOCHS, RATE = 120, 0.15
+WINDOW = 4
+PER_CLASS, LONGEST = 1500, 40_000
+EPOCHS, RATE = 60, 0.5
+#: Share of the toxic class in the loss; below half, as clean documents should stay.
+TOXIC_WEIGHT = 0.3
 _WORD = re.compile(r"[^\W_]+")
 #: Words whose buckets or scores a worker remembers.
 BOUND = 150_000
@@ -107,7 +109,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     vectors = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     weights = rng.normal(0, 1, (2, DIM)).astype(np.float32) * 4
     bias = np.zeros(2)
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    weight = np.where(y == 1, TOXIC_WEIGHT / (y == 1).sum(), (1 - TOXIC_WEIGHT) / (y == 0).sum())
     groups = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     docs = doc[groups]
     squares_v, squares_w, squares_b = np.full(BUCKETS, 1e-8), np.full((2, DIM), 1e-8), np.full(2, 1e-8)

@@ -10,9 +10,10 @@ minima, packed in four longs; 24 bands of four whole minima give the candidates.
    as many as the bucket has members, never all pairs. Pieces of a bucket that a partition boundary cuts are
    tied together by one more tree over one member of each piece;
 4. candidates whose estimate is within CUT of the threshold are confirmed on full sets, and components built;
-5. what the trees cannot have connected is looked at again: in each bucket that still holds several components,
-   members outside the largest one meet the others, and pairs of different components whose estimate allows a
-   link are confirmed too. After that no bucket holds an untested pair that could join two components.
+5. what the trees cannot have connected is looked at again: buckets that still hold several components are tied to
+   clusters, and in each cluster the members outside its most frequent component meet all others in cells of an
+   inverted index, which counts common shingles exactly and lets only links out. After that no bucket holds an
+   untested pair that could join two components.
 
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm import common
@@ -40,6 +41,8 @@ WORDS = HASHES * BITS // 64
 SIGMAS = 5.5
 #: Rows of one bucket that are compared with each other at once.
 CHUNK = 4096
+#: Members and queries of one cell of a cluster.
+SIDE = 128
 LANES = np.uint64(0x5555555555555555)
 _LINKS = "a long, b long"
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -222,16 +225,6 @@ def _pairs(least: int):
     return run
 
 
-def _estimate(a: str, b: str) -> Column:
-    """Equal lanes, in JVM expressions."""
-    total = None
-    for i in range(WORDS):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
-        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(LANES))))
-        total = n if total is None else total + n
-    return F.lit(HASHES) - total
-
-
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -263,6 +256,67 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(_confirm(num, den), _LINKS)
 
 
+def _cells(num: int, den: int):
+    """Rows of one cell after the other (its members, then its queries) to links between different labels."""
+
+    def links(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        ids, labels = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        query = np.array([r[2] for r in rows], bool)
+        sets = [np.frombuffer(r[3] or b"", np.uint64) for r in rows]
+        own = np.flatnonzero(~query)
+        sizes = np.array([len(x) for x in sets])
+        if not len(own) or len(own) == len(rows):
+            return ids[:0], ids[:0]
+        flat, owner = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), sizes[own])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        a, b = [], []
+        for q in np.flatnonzero(query):
+            low = np.searchsorted(flat, sets[q])
+            n = np.searchsorted(flat, sets[q], "right") - low
+            both = np.bincount(owner[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())], minlength=len(own))
+            near = (both > 0) & (den * both >= num * (sizes[q] + sizes[own] - both)) & (labels[own] != labels[q])
+            if near.any():  # one link to each other component is enough
+                hit = own[near]
+                hit = hit[np.unique(labels[hit], return_index=True)[1]]
+                a.append(np.minimum(ids[hit], ids[q]))
+                b.append(np.maximum(ids[hit], ids[q]))
+        return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+        for batch in batches:
+            cols = batch.to_pydict()
+            for at, row in zip(zip(cols["cell"], cols["cluster"], cols["c"], cols["q"], strict=True), zip(cols["id"], cols["label"], cols["query"], cols["set"], strict=True), strict=True):
+                if at != cell and rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(rows)], ["a", "b"])
+                    rows = []
+                cell = at
+                rows.append(row)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(rows)], ["a", "b"])
+
+    return run
+
+
+def across(inside: DataFrame, sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
+    """Links between different labels of one cluster (id, cluster, label), by exact counts of common shingles.
+
+    Members outside a cluster's most frequent label are its queries; a cluster is cut into cells of about SIDE
+    members by SIDE queries, each an inverted index in one task. Only links leave a cell, never pairs."""
+    stats = inside.groupBy("cluster").agg(F.count("*").alias("m"), F.mode("label", True).alias("most"))
+    marked = inside.join(stats, "cluster").withColumn("query", F.col("label") != F.col("most"))
+    queries = marked.filter("query").groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("qs"))
+    full = marked.join(queries, "cluster").withColumn("cs", F.ceil(F.col("m") / SIDE).cast("int")).join(sets, "id")
+    part = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = full.select("id", "cluster", "label", "set", F.lit(False).alias("query"), part("cs", 1).alias("c"), every("qs").alias("q"))
+    right = full.filter("query").select("id", "cluster", "label", "set", F.lit(True).alias("query"), part("qs", 2).alias("q"), every("cs").alias("c"))
+    cells = left.unionByName(right).withColumn("cell", F.xxhash64("cluster", "c", "q"))
+    dealt = cells.repartitionByRange(n, "cell").sortWithinPartitions("cell", "cluster", "c", "q", "query", "id")
+    return dealt.select("cell", "cluster", "c", "q", "id", "label", "query", "set").mapInArrow(_cells(num, den), _LINKS)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest reachable id) and kept.
 
@@ -293,12 +347,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(links, folder, "first")
 
     labelled = members.join(comps, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.mode("label", True).alias("most")).filter("lo < hi")
-    inside = common.staged(labelled.join(mixed.select("key", "most"), "key").select("key", "id", "label", "most", *sigs), folder, "mixed")
-    x, y = inside.filter("label <> most").alias("x"), inside.alias("y")
-    late = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (_estimate("x", "y") >= least))
-    late = late.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.staged(confirmed(late, sets, num, den), folder, "late")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("root")).filter("lo < hi")
+    ties = labelled.select("key", F.col("id").alias("a")).join(mixed.select("key", F.col("root").alias("b")), "key").select("a", "b")
+    clusters = connected_components(ties, folder, "clusters").withColumnRenamed("component", "cluster")
+    more = common.staged(across(clusters.join(comps, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("label")), sets, num, den, n), folder, "late")
     if more.take(1):
         comps = connected_components(links.union(more), folder, "second")
 

@@ -16,6 +16,7 @@ table gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from geostrata.llm import common
 
 SPACE = "▁"
 #: Entries that a cache may hold before it is emptied.
-BOUND = 200_000
+BOUND = 150_000
 #: Longer segments are not remembered.
 LONG = 64
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -59,14 +60,16 @@ class PieceModel:
             if all(c in self.chars for c in p):
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.sizes = [len(p) for p in self.pieces]
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
         self.surface = [b"" if i in self.control else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         for b, i in self.bytes_.items():
             self.surface[i] = bytes([b])
         if self.unknown is not None:
             self.surface[self.unknown] = " ⁇ ".encode()
+        self.last_control = max(self.control, default=-1)
         self.byte_ids = frozenset(self.bytes_.values())
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -85,12 +88,13 @@ class PieceModel:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether pieces a and b, joined, encode to a and b."""
-        known = self.pairs.get((a, b))
+        key = a << 24 | b
+        known = self.pairs.get(key)
         if known is None:
             x, y = self.pieces[a], self.pieces[b]
-            if len(self.pairs) > BOUND:
+            if len(self.pairs) > 2 * BOUND:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(list(x + y)) == [x, y]
+            known = self.pairs[key] = self.merged(list(x + y)) == [x, y]
         return known
 
     def alone(self, a: int) -> bool:
@@ -118,21 +122,29 @@ class PieceModel:
     def known(self, text: str) -> list[int]:
         """Ids of a text of known characters with white space at its start only, if at all."""
         n = len(text)
-        last: list[int] = [-1] * (n + 1)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(text):
-            found[end + 1].append(match)
-        for end in range(1, n + 1):
-            for length, i in sorted(found[end], reverse=True):
-                start = end - length
-                if self.alone(i) if start == 0 else last[start] >= 0 and self.compatible(last[start], i):
-                    last[end] = i
-                    break
+        last = [-1] * (n + 1)
+        pairs, compatible = self.pairs, self.compatible
+        for end, (length, i) in self.automaton.iter(text):  # by end, longest first
+            end += 1
+            if last[end] >= 0:
+                continue
+            start = end - length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = pairs.get(before << 24 | i)
+                if fits is None:
+                    fits = compatible(before, i)
+            else:
+                fits = self.alone(i)
+            if fits:
+                last[end] = i
         out, at = [], n
         while at:
             i = last[at]
             out.append(i)
-            at -= len(self.pieces[i])
+            at -= self.sizes[i]
         return out[::-1]
 
     def segment(self, text: str) -> list[int]:
@@ -166,25 +178,28 @@ class PieceModel:
                 out.append((c, is_known))
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as 32-bit integers in a row."""
         if not text:
-            return []
-        out: list[int] = []
-        cache = self.cache
-        for seg in _SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
-            ids = cache.get(seg)
-            if ids is None:
-                ids = self.segment(seg)
-                if len(seg) <= LONG:
-                    if len(cache) > BOUND:  # the older half goes; what is frequent soon comes back
-                        for old in list(islice(cache, BOUND // 2)):
-                            del cache[old]
-                    cache[seg] = ids
-            out += ids
-        return out
+            return b""
+        get, miss = self.cache.get, self._miss
+        return b"".join([get(x) or miss(x) for x in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))])
+
+    def _miss(self, seg: str) -> bytes:
+        ids = np.array(self.segment(seg), np.int32).tobytes()
+        if len(seg) <= LONG:
+            cache = self.cache
+            if len(cache) > 2 * BOUND:  # the older half goes; what is frequent soon comes back
+                for old in list(islice(cache, BOUND)):
+                    del cache[old]
+            cache[seg] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        if not self.control.isdisjoint(ids):  # control ids end a character's bytes
+        if self.control and min(ids, default=self.last_control + 1) <= self.last_control and not self.control.isdisjoint(ids):  # control ids end a character's bytes
             parts, rest = [], list(ids)
             while (at := next((i for i, x in enumerate(rest) if x in self.control), None)) is not None:
                 parts.append(rest[:at])
@@ -232,9 +247,11 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            ids = [np.array(m.encode(t.as_py() or ""), np.int32) for t in batch.column(1)]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+            gc.disable()  # no garbage arises here
+            ids = [m.encode_bytes(t.as_py() or "") for t in batch.column(1)]
+            gc.enable()
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
+            flat = np.frombuffer(b"".join(ids), np.int32)
             for at in range(0, len(ids), 500):  # pieces of a batch stay below Arrow's 2 GB lists
                 to = min(len(ids), at + 500)
                 part = pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at], pa.int32()), pa.array(flat[ends[at] : ends[to]]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -44,6 +45,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Fewer rows in an Arrow batch for the actions inside, where single rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives the loss of executors."""
     path = f"{folder}/{name}"

@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = [f"s{i}" for i in range(WORDS)]
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     fields = "id long, n long, digest binary, " + ", ".join(f"{s} long" for s in sigs) + ", bands array<long>"
-    feats = common.staged(plain.mapInArrow(_features(k), fields), folder, "features")
+    with common.small_batches(spark, 2000):
+        feats = common.staged(plain.mapInArrow(_features(k), fields), folder, "features")
 
     known = feats.filter("id is not null and n > 0")
     classes = common.staged(known.groupBy("digest").agg(F.min("id").alias("rep")), folder, "classes")
@@ -342,15 +343,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = found.filter("kind = 1").select("key", F.col("a").alias("id"), *sigs)
 
     wanted = members.select("id").distinct()
-    sets = common.staged(plain.join(wanted, "id", "left_semi").mapInArrow(_sets(k), "id long, set binary"), folder, "sets")
-    links = common.staged(confirmed(pairs, sets, num, den), folder, "links")
+    with common.small_batches(spark, 256):  # a set may have megabytes
+        sets = common.staged(plain.join(wanted, "id", "left_semi").mapInArrow(_sets(k), "id long, set binary"), folder, "sets")
+        links = common.staged(confirmed(pairs, sets, num, den), folder, "links")
     comps = connected_components(links, folder, "first")
 
     labelled = members.join(comps, "id", "left").withColumn("label", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("root")).filter("lo < hi")
     ties = labelled.select("key", F.col("id").alias("a")).join(mixed.select("key", F.col("root").alias("b")), "key").select("a", "b")
     clusters = connected_components(ties, folder, "clusters").withColumnRenamed("component", "cluster")
-    more = common.staged(across(clusters.join(comps, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("label")), sets, num, den, n), folder, "late")
+    inside = clusters.join(comps, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("label"))
+    with common.small_batches(spark, 256):
+        more = common.staged(across(inside, sets, num, den, n), folder, "late")
     if more.take(1):
         comps = connected_components(links.union(more), folder, "second")
 

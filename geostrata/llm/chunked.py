@@ -4,25 +4,31 @@ A text is cut only where the vocabulary's own pre-tokenizer always cuts, so the
 the library's ids of the whole text:
 
 * ``words``: at ASCII white space, which a vocabulary that drops white space replaces and never joins over;
-* ``spaces``: before a single space or newline that stands between two characters that are no white space, and
-  after such a newline, for byte-level vocabularies whose tokens hold white space at their start only.
+* ``spaces``: before a space that follows a character that is no white space, for byte-level vocabularies whose
+  tokens hold white space at their start only.
 
-Whatever else a text has (other white space, runs of it, special tokens) stays inside a chunk and is left to the
-library.
+A chunk that is new is put together from a word of Latin letters, marks after it and single newlines, which every
+pre-tokenizer here parts; new words of letters go to the library in one text, with a digit between them, which is
+always a token of its own. Whatever else a chunk has (other white space, runs of it, special tokens, digits) is left to
+the library as it is.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 #: Chunks remembered by a worker; longer chunks are not.
-BOUND, LONG = 300_000, 64
-_WORDS = str.maketrans(dict.fromkeys("\t\n\r", " "))
-_SPACES = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
+BOUND, LONG = 1_200_000, 64
+#: Starts the key of a chunk that has no space before it.
+FIRST = "\x01"
+_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+_SPACES = re.compile(r"(?<=\S)(?= \S)")
 
 
 class ChunkEncoder:
@@ -33,27 +39,102 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = cut
         self.cache: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        (self.digit,) = self.tokenizer.encode("0", add_special_tokens=False).ids
 
-    def chunks(self, text: str) -> list[str]:
+    def keys(self, text: str) -> list[str]:
+        """Keys of the chunks of a text."""
         if self.cut == "words":
-            return [x for x in text.translate(_WORDS).split(" ") if x]
-        return _SPACES.split(text)
+            if "\t" in text or "\r" in text:
+                text = text.replace("\t", " ").replace("\r", " ")
+            return text.replace("\n", " ").split(" ")
+        if "  " in text or "\n " in text or not text.replace("\n", "").isprintable():
+            return [FIRST + c for c in _SPACES.split(text)]
+        out = text.split(" ")
+        out[0] = FIRST + out[0]
+        return out
+
+    def chunk(self, key: str) -> str:
+        return key if self.cut == "words" else key[1:] if key.startswith(FIRST) else " " + key
+
+    def atoms(self, chunk: str) -> list[str]:
+        """Parts of a chunk that the pre-tokenizer never joins."""
+        if "\n" in chunk:
+            lines = chunk.split("\n")
+            if all(x and x.strip() == (x.removeprefix(" ") if not i else x) for i, x in enumerate(lines)):
+                return [a for i, x in enumerate(lines) for a in (["\n"] if i else []) + self.atoms(x)]
+        m = _LATIN.fullmatch(chunk.removeprefix(" ")) if len(chunk) <= LONG else None
+        if m is None:
+            return [chunk] if chunk else []
+        word, marks = m.groups()
+        word = " " + word if chunk[0] == " " else word
+        word = word.lower() if self.cut == "words" else word
+        return [word, marks] if marks else [word]
+
+    def each(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, by one call."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["0".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.digit)
+        if len(ends) != len(words) - 1:
+            return self.each(words)
+        data, starts = ids.tobytes(), np.r_[0, ends + 1].tolist()
+        return [data[4 * s : 4 * e] for s, e in zip(starts, [*ends.tolist(), len(ids)], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks(t) for t in texts]
+        gc.disable()  # the many strings here are no garbage; looking for it takes a tenth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.keys(t) for t in texts]
+        used = set().union(*cut)
         if len(self.cache) > BOUND:  # what these texts use stays
-            old, self.cache = self.cache, {}
-            self.cache.update((c, old[c]) for chunks in cut for c in chunks if c in old)
-        cache, late = self.cache, {}
-        fresh = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in cache))
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (cache if len(chunk) <= LONG else late)[chunk] = np.array(got.ids, "<u4").tobytes()
-        if late:
-            return [b"".join([cache.get(c) or late.get(c, b"") for c in chunks]) for chunks in cut]
-        return [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
+            self.cache = {k: self.cache[k] for k in used if k in self.cache}
+        cache = self.cache
+        lower, words, marked, odd = self.cut == "words", {}, [], {}
+        for k in used:
+            if k in cache:
+                continue
+            m = _LATIN.fullmatch(k)
+            if m is None or len(k) > LONG:
+                odd[k] = self.atoms(self.chunk(k))
+                continue
+            word, marks = m.groups()
+            if lower:
+                word = word.lower()
+            if word not in cache:
+                words[word] = None
+            if k != word:
+                marked.append((k, word, marks))
+        for at in range(0, len(words), 4096):
+            part = list(islice(words, at, at + 4096))
+            cache.update(zip(part, self.joined(part if lower else [" " + w for w in part]), strict=True))
+        self.rest({marks for _, _, marks in marked if marks} | {a for atoms in odd.values() for a in atoms})
+        atom = self.known
+        cache.update((k, cache[word] + atom[marks] if marks else cache[word]) for k, word, marks in marked)
+        cache.update((k, b"".join([atom[a] for a in atoms])) for k, atoms in odd.items())
+        out = [b"".join(map(cache.__getitem__, keys)) for keys in cut]
+        for k in odd:
+            if len(k) > LONG or "\n" in k:
+                del cache[k]
+        return out
+
+    def rest(self, atoms: set[str]) -> None:
+        """Bring ids of other parts of chunks into ``known``."""
+        if len(self.known) > BOUND // 8:
+            self.known.clear()
+        todo = [a for a in atoms if a not in self.known]
+        plain = [a for a in todo if len(a) <= LONG and a.removeprefix(" ").isalpha()]
+        for part, ids in ((plain, self.joined), ([a for a in todo if len(a) > LONG or not a.removeprefix(" ").isalpha()], self.each)):
+            for at in range(0, len(part), 4096):
+                own = part[at : at + 4096]
+                self.known.update(zip(own, ids(own), strict=True))
 
 
 @lru_cache(maxsize=4)

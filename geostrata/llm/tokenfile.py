@@ -47,7 +47,7 @@ class CorruptFrame(ValueError):
 class TokenFileWriter:
     """Streams documents into a file; holds one frame, the seek table and the index."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         self.out, self.zip = out, zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.held, self.size, self.entries = [], 0, []
         self.ids: list[int | None] = []

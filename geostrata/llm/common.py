@@ -83,8 +83,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (the files' size for a plain scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of a frame (the files' size for a plain scan); 0 where there is none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def text_of(text: str) -> Column:

@@ -17,6 +17,7 @@ share of toxic labels (0 without labels). Only the id and text columns are read.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -33,22 +34,48 @@ from geostrata.llm import common
 BUCKETS, DIM = 1 << 18, 8
 WINDOW = 4
 PER_CLASS, LONGEST = 1500, 40_000
-EPOCHS, RATE = 60, 0.5
+EPOCHS, RATE = 100, 0.5
 #: Share of the toxic class in the loss; below half, as clean documents should stay.
 TOXIC_WEIGHT = 0.3
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
 #: Words whose buckets or scores a worker remembers.
-BOUND = 150_000
+BOUND = 600_000
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def buckets_of(word: str) -> list[int]:
-    w = f"<{word}>"
-    grams = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {w}
-    return [xxhash.xxh32_intdigest(g) % BUCKETS for g in sorted(grams)]
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams and of the words themselves, and how many each word has; hashes of all
+    words at once."""
+    marked = [f"<{w}>" for w in words]
+    sizes = np.array([len(w) for w in marked])
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters from here to the word's end
+    found, owners = [], []
+    for n in (3, 4, 5):
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = (h + codes[at + k]) * _PRIME
+        found.append(_mixed(h))
+        owners.append(owner[at])
+    place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    whole = np.add.reduceat(_mixed(codes + place.astype(np.uint64) * _PRIME), ends - sizes)
+    found.append(_mixed(whole))
+    owners.append(np.arange(len(words)))
+    index, owners = np.concatenate(found), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return (index[order] % np.uint64(BUCKETS)).astype(np.int32), np.bincount(owners, minlength=len(words))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _PRIME
+    return x ^ (x >> np.uint64(29))
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -65,8 +92,13 @@ class Model:
     score: np.ndarray
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.score[buckets_of(word)].mean())
+    def words(self, words: list[str]) -> list[float]:
+        """Scores of words: the means over their buckets."""
+        out: list[float] = []
+        for at in range(0, len(words), 20_000):
+            index, counts = buckets_of(words[at : at + 20_000])
+            out += (np.add.reduceat(self.score[index].astype(np.float64), np.r_[0, np.cumsum(counts)[:-1]]) / counts).tolist()
+        return out
 
     def of(self, scores: np.ndarray) -> float:
         """Probability of class 1 of a text with these word scores."""
@@ -100,10 +132,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     if not tokens:
         return train([], [])
     tokens, starts, sizes, doc = map(np.concatenate, (tokens, starts, sizes, doc))
-    grams = [np.array(buckets_of(w), np.int32) for w in vocabulary]
-    counts = np.array([len(g) for g in grams])
-    index, cuts = np.concatenate(grams), np.r_[0, np.cumsum(counts)[:-1]]
-    del grams, vocabulary
+    known = list(vocabulary)
+    grams = [buckets_of(known[i : i + 20_000]) for i in range(0, len(known), 20_000)]
+    index, counts = np.concatenate([g for g, _ in grams]), np.concatenate([c for _, c in grams])
+    cuts = np.r_[0, np.cumsum(counts)[:-1]]
+    del grams, vocabulary, known
 
     rng = np.random.default_rng(7)
     vectors = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
@@ -130,8 +163,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         dbucket = np.bincount(index, np.repeat(dword / counts, counts), BUCKETS)
         # all vectors move along u: the gradient is an outer product
         du = vectors.T @ dbucket.astype(np.float32)
+        # one step size for all of them, set by the largest gradient so far: rare n-grams move little
         squares_v += dbucket**2 * float(u @ u)
-        vectors -= (rate * dbucket / np.sqrt(squares_v + 1e-10)).astype(np.float32)[:, None] * u
+        vectors -= (rate * dbucket / math.sqrt(float(squares_v.max()) + 1e-12)).astype(np.float32)[:, None] * u
         dw = np.stack([-du, du])
         squares_w += dw**2
         weights -= (rate * dw / np.sqrt(squares_w)).astype(np.float32)
@@ -164,17 +198,17 @@ def _score(score: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = Model(score, bias), {}
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                own = words_of(text.as_py())
-                for w in own:
-                    if w not in cache:
-                        if len(cache) > BOUND:
-                            keep = {x: cache[x] for x in own if x in cache}
-                            cache.clear()
-                            cache |= keep
-                        cache[w] = model.word(w)
-                out.append(model.of(np.fromiter((cache[w] if w in cache else model.word(w) for w in own), np.float64, len(own))))
+            out: list[float] = []
+            for at in range(0, batch.num_rows, 1000):
+                gc.disable()  # no garbage arises here
+                texts = [words_of(t.as_py()) for t in batch.column(1).slice(at, 1000)]
+                used = set().union(*texts)
+                if len(cache) > BOUND:  # what these texts use stays
+                    cache = {w: cache[w] for w in used if w in cache}
+                new = [w for w in used if w not in cache]
+                cache.update(zip(new, model.words(new), strict=True))
+                out += [model.of(np.fromiter(map(cache.__getitem__, own), np.float64, len(own))) for own in texts]
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["id", "score"])
 
     return run

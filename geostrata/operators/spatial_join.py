@@ -7,10 +7,11 @@ A pair joins if its relation (or distance) holds and a residual condition, if gi
 * otherwise both sides are cut into the cells of a grid over their common extent and joined by cell. A pair counts
   only in the cell that holds the lower left corner of the boxes' common part, so no DISTINCT is needed. Geometries that
   would cover more than MAX_CELLS cells go to coarser levels of the grid, by powers of two; every level meets every
-  other through the coarser one's cells, so large geometries neither multiply nor collect in one task.
+  other through the coarser one's cells, so large geometries neither multiply nor collect in one task. The levels in
+  use (a few dozen at most) and the extents are all that reaches the driver.
 
-Left rows get ids from a written copy (the shared checkpoint folder), so outer, semi, anti and mark joins are joins back
-on that id. Rows with NULL, empty or unreadable geometries never match and stay only where the join type keeps them."""
+For outer, semi, anti and mark joins rows get ids in a written copy (the shared checkpoint folder), and those joins are joins back
+on them. Rows with NULL, empty or unreadable geometries never match and stay only where the join type keeps them."""
 
 from __future__ import annotations
 
@@ -25,8 +26,8 @@ from geostrata.session import register_all
 RELATIONS = ("intersects", "contains", "within", "covers", "coveredby", "touches", "crosses", "overlaps", "equals")
 INVERSE = {"contains": "within", "within": "contains", "covers": "coveredby", "coveredby": "covers"}
 HOWS = ("inner", "left", "right", "full", "left_semi", "left_anti", "right_semi", "right_anti", "left_mark", "right_mark")
-#: Cells that one geometry may cover on its level, and levels of the grid.
-MAX_CELLS, LEVELS = 16, 12
+#: Cells that one geometry may cover on its level.
+MAX_CELLS = 16
 #: Rows that a cell of the finest level should hold.
 ROWS_PER_CELL = 64
 
@@ -81,44 +82,52 @@ def _small(df: DataFrame) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= size
 
 
-def _cells(df: DataFrame, x0: float, y0: float, step: float) -> DataFrame:
-    """A row for each cell: __level (0 the finest) and __cx, __cy on that level."""
-    spanned = lambda k: (F.floor((F.col("__xmax") - x0) / (step * 2**k)) - F.floor((F.col("__xmin") - x0) / (step * 2**k)) + 1) * (F.floor((F.col("__ymax") - y0) / (step * 2**k)) - F.floor((F.col("__ymin") - y0) / (step * 2**k)) + 1)
-    level = F.lit(LEVELS)
-    for k in range(LEVELS - 1, -1, -1):
-        level = F.when(spanned(k) <= MAX_CELLS, F.lit(k)).otherwise(level)
-    df = df.withColumn("__level", level).withColumn("__step", step * F.pow(F.lit(2.0), F.col("__level")))
-    along = lambda lo, hi, o: F.sequence(F.floor((F.col(lo) - o) / F.col("__step")).cast("long"), F.floor((F.col(hi) - o) / F.col("__step")).cast("long"))
-    df = df.withColumn("__cx", F.explode(along("__xmin", "__xmax", x0)))
-    return df.withColumn("__cy", F.explode(along("__ymin", "__ymax", y0))).drop("__step")
+def _spanned(x0: float, y0: float, size: float) -> Column:
+    """Cells of a size that a box covers."""
+    along = lambda n, o: F.floor((F.col(f"__{n}max") - o) / size) - F.floor((F.col(f"__{n}min") - o) / size) + 1
+    return along("x", x0) * along("y", y0)
+
+
+def _levelled(df: DataFrame, x0: float, y0: float, step: float, levels: int) -> DataFrame:
+    """__level: the finest (0) on which a box covers at most MAX_CELLS cells."""
+    level = F.lit(levels)
+    for k in range(levels - 1, -1, -1):
+        level = F.when(_spanned(x0, y0, step * 2.0**k) <= MAX_CELLS, F.lit(k)).otherwise(level)
+    return df.withColumn("__level", level)
+
+
+def _celled(df: DataFrame, x0: float, y0: float, step: float, used: list[int]) -> DataFrame:
+    """A row for each level in use from the row's own up, and each cell there: __at, __gx, __gy."""
+    df = df.withColumn("__at", F.explode(F.filter(F.array(*map(F.lit, used)), lambda k: k >= F.col("__level"))))
+    size = step * F.pow(F.lit(2.0), F.col("__at"))
+    along = lambda n, o: F.sequence(F.floor((F.col(f"__{n}min") - o) / size).cast("long"), F.floor((F.col(f"__{n}max") - o) / size).cast("long"))
+    return df.withColumn("__gx", F.explode(along("x", x0))).withColumn("__gy", F.explode(along("y", y0)))
 
 
 def _pairs_by_grid(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (l.*, r.*) with overlapping boxes, each once."""
     box = lambda df: df.agg(F.count("__xmin").alias("n"), F.min("__xmin").alias("x0"), F.min("__ymin").alias("y0"), F.max("__xmax").alias("x1"), F.max("__ymax").alias("y1")).first()
     a, b = box(left), box(right)
-    if not a["n"] or not b["n"]:
-        x0 = y0 = 0.0
-        step = 1.0
+    x0 = y0 = x1 = y1 = 0.0
+    step, apart = 1.0, not a["n"] or not b["n"]
+    if not apart:
+        x0, y0, x1, y1 = max(a["x0"], b["x0"]), max(a["y0"], b["y0"]), min(a["x1"], b["x1"]), min(a["y1"], b["y1"])
+        apart = x1 < x0 or y1 < y0
+    if apart:  # nothing pairs
+        left, right = left.filter("false"), right.filter("false")
     else:
-        x0, y0 = max(a["x0"], b["x0"]), max(a["y0"], b["y0"])
-        x1, y1 = min(a["x1"], b["x1"]), min(a["y1"], b["y1"])
-        cells = max(1.0, (a["n"] + b["n"]) / ROWS_PER_CELL)
-        area = max(x1 - x0, 0) * max(y1 - y0, 0)
-        step = math.sqrt(area / cells) if area > 0 else max(x1 - x0, y1 - y0, 1.0) / cells
-        if x1 < x0 or y1 < y0:  # the extents are apart: nothing pairs
-            left, right = left.filter("false"), right.filter("false")
         inside = (F.col("__xmin") <= x1) & (F.col("__xmax") >= x0) & (F.col("__ymin") <= y1) & (F.col("__ymax") >= y0)
-        left, right = left.filter(inside), right.filter(inside)
         clip = {"__xmin": F.greatest("__xmin", F.lit(x0)), "__ymin": F.greatest("__ymin", F.lit(y0)), "__xmax": F.least("__xmax", F.lit(x1)), "__ymax": F.least("__ymax", F.lit(y1))}
-        left, right = left.withColumns(clip), right.withColumns(clip)
-    own, other = _cells(left, x0, y0, step), _cells(right, x0, y0, step)
-    # every row is seen on its own level and on each coarser level that the other side has
-    lifted = lambda df: df.withColumn("__at", F.explode(F.sequence(F.col("__level"), F.lit(LEVELS)))).withColumn("__f", F.pow(F.lit(2.0), F.col("__at") - F.col("__level"))).withColumn("__gx", F.floor(F.col("__cx") / F.col("__f")).cast("long")).withColumn("__gy", F.floor(F.col("__cy") / F.col("__f")).cast("long")).drop("__f", "__cx", "__cy").distinct()
-    levels = lambda df: sorted(r[0] for r in df.select("__level").distinct().collect())  # noqa: E731 - at most LEVELS + 1 numbers
-    both = sorted(set(levels(own)) | set(levels(other)))
-    a, b = (lifted(x).filter(F.col("__at").isin(both)) if len(both) > 1 else x.withColumns({"__at": F.col("__level"), "__gx": F.col("__cx"), "__gy": F.col("__cy")}) for x in (own, other))
-    met = a.alias("l").join(b.alias("r"), (F.col("l.__at") == F.col("r.__at")) & (F.col("l.__gx") == F.col("r.__gx")) & (F.col("l.__gy") == F.col("r.__gy")))
+        left, right = left.filter(inside).withColumns(clip), right.filter(inside).withColumns(clip)
+        cells = max(1.0, (a["n"] + b["n"]) / ROWS_PER_CELL)
+        area = (x1 - x0) * (y1 - y0)
+        step = math.sqrt(area / cells) if area > 0 else max(x1 - x0, y1 - y0, 1.0) / cells
+    # the top level is one cell, whatever the extent
+    levels = max(0, math.ceil(math.log2(max(x1 - x0, y1 - y0, step) / step))) + 1
+    own, other = (_levelled(df, x0, y0, step, levels) for df in (left, right))
+    used = own.select("__level").union(other.select("__level")).distinct().collect()  # at most ``levels`` + 1 rows
+    used = sorted(r[0] for r in used) or [0]
+    met = _celled(own, x0, y0, step, used).alias("l").join(_celled(other, x0, y0, step, used).alias("r"), (F.col("l.__at") == F.col("r.__at")) & (F.col("l.__gx") == F.col("r.__gx")) & (F.col("l.__gy") == F.col("r.__gy")))
     size = step * F.pow(F.lit(2.0), F.col("l.__at"))
     corner = lambda c, o: F.floor((F.greatest(F.col(f"l.__{c}min"), F.col(f"r.__{c}min")) - o) / size)
     return met.filter(_overlap() & (F.col("l.__at") == F.greatest("l.__level", "r.__level")) & (corner("x", x0) == F.col("l.__gx")) & (corner("y", y0) == F.col("l.__gy")))
@@ -160,10 +169,10 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
 
     from geostrata.plans.staging import numbered
 
-    a, b = numbered(a, "__lid"), numbered(b, "__rid")
+    if how != "inner":  # the others join back on row ids
+        a, b = numbered(a, "__lid"), numbered(b, "__rid")
     has = F.col("__xmin").isNotNull()
-    narrow = lambda df, key: df.filter(has)
-    met = _pairs_by_grid(narrow(a, "__lid"), narrow(b, "__rid")) if use_grid else a.filter(has).alias("l").join(b.filter(has).alias("r"), _overlap())
+    met = _pairs_by_grid(a.filter(has), b.filter(has)) if use_grid else a.filter(has).alias("l").join(b.filter(has).alias("r"), _overlap())
     met = met.filter(full)
     if how == "inner":
         return met.select(*(F.col(f"l.{c}") for c in mine), *(F.col(f"r.{c}") for c in yours))

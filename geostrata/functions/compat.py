@@ -51,13 +51,51 @@ _add("strftime_to_char(timestamp, string) -> string", "date_format(a, replace(re
 RENAMED = {
     "approx_distinct": "approx_count_distinct", "approx_median": "median", "approx_percentile_cont": "approx_percentile", "var": "var_samp", "random": "rand", "array_has": "array_contains", "list_contains": "array_contains",
     "list_has": "array_contains", "list_append": "array_append", "list_prepend": "array_prepend", "list_concat": "concat", "array_cat": "concat", "array_concat": "concat", "array_has_any": "arrays_overlap", "list_has_any": "arrays_overlap",
-    "array_length": "cardinality", "list_length": "cardinality", "make_array": "array", "make_list": "array", "array_element": "get_pg", "list_distinct": "array_distinct", "list_sort": "array_sort", "array_slice": "slice_pg", "array_reverse": "reverse",
+    "array_length": "cardinality", "list_length": "cardinality", "make_array": "array", "make_list": "array", "list_distinct": "array_distinct", "list_sort": "array_sort", "array_reverse": "reverse",
     "list_reverse": "reverse", "array_intersect_all": "array_intersect", "array_indexof": "array_position", "list_position": "array_position", "array_remove_all": "array_remove", "array_to_string": "array_join", "list_to_string": "array_join",
-    "list_union": "array_union", "list_except": "array_except", "list_intersect": "array_intersect", "arrow_typeof": "typeof", "row": "struct", "ifnull": "ifnull", "uuid": "uuid", "char_length": "char_length", "isnan": "isnan",
-    "regexp_like": "regexp_like", "first_value": "first_value", "stddev": "stddev_samp", "covar": "covar_samp", "make_map": "map_from_arrays",
+    "list_union": "array_union", "list_except": "array_except", "list_intersect": "array_intersect", "arrow_typeof": "typeof", "row": "struct", "stddev": "stddev_samp", "covar": "covar_samp", "make_map": "map_from_arrays",
 }
 
 
+_PLACE = "CASE WHEN {1} < 0 THEN size({0}) + {1} + 1 ELSE {1} END"
+_HITS = "filter(transform({0}, (x, i) -> CASE WHEN x <=> {1} THEN i + 1 END), x -> x IS NOT NULL)"
+_SOME = "slice(" + _HITS + ", 1, {n})"
+#: Calls in SQL text that become expressions, by number of arguments: {0}, {1} ... are the arguments, {*} all of them.
+MACROS = {
+    ("concat", None): "concat_ws('', {*})",
+    ("array_element", 2): "CASE WHEN {1} <> 0 THEN try_element_at({0}, CAST({1} AS INT)) END",
+    ("array_slice", 3): "slice({0}, greatest(" + _PLACE + ", 1), greatest(least(" + _PLACE.replace("{1}", "{2}") + ", size({0})) - greatest(" + _PLACE + ", 1) + 1, 0))",
+    ("array_has_all", 2): "size(array_except({1}, {0})) = 0",
+    ("list_has_all", 2): "size(array_except({1}, {0})) = 0",
+    ("array_positions", 2): _HITS,
+    ("list_positions", 2): _HITS,
+    ("array_remove_n", 3): "transform(filter(transform({0}, (x, i) -> struct(x AS x, i + 1 AS i)), s -> NOT array_contains(" + _SOME.replace("{n}", "{2}") + ", s.i)), s -> s.x)",
+    ("array_replace", 3): "transform({0}, (x, i) -> CASE WHEN array_contains(" + _SOME.replace("{n}", "1") + ", i + 1) THEN {2} ELSE x END)",
+    ("array_replace_n", 4): "transform({0}, (x, i) -> CASE WHEN array_contains(" + _SOME.replace("{n}", "{3}") + ", i + 1) THEN {2} ELSE x END)",
+    ("array_replace_all", 3): "transform({0}, x -> CASE WHEN x <=> {1} THEN {2} ELSE x END)",
+    ("array_pop_back", 1): "slice({0}, 1, greatest(size({0}) - 1, 0))",
+    ("array_pop_front", 1): "slice({0}, 2, greatest(size({0}) - 1, 0))",
+    ("array_resize", 3): "slice(concat({0}, array_repeat({2}, greatest({1} - size({0}), 0))), 1, {1})",
+    ("array_dims", 1): "array(size({0}))",
+    ("array_empty", 1): "size({0}) = 0",
+    ("empty", 1): "size({0}) = 0",
+    ("map_extract", 2): "filter(array(try_element_at({0}, {1})), x -> x IS NOT NULL)",
+    ("get_field", 2): "{0}[{1}]",
+    ("array_agg", 1): "transform(collect_list(struct({0} AS v)), s -> s.v)",
+    ("date_part", 2): "pg_date_part({0}, {1})",
+    ("initcap", 1): "pg_initcap({0})",
+    ("left", 2): "pg_left({0}, {1})",
+    ("right", 2): "pg_right({0}, {1})",
+    ("encode", 2): "pg_encode(CAST({0} AS BINARY), {1})",
+    ("decode", 2): "pg_decode({0}, {1})",
+    ("regexp_replace", 3): "pg_regexp_replace({0}, {1}, {2})",
+    ("regexp_replace", 4): "pg_regexp_replace({0}, {1}, {2}, {3})",
+    ("trunc", 1): "truncate({0})",
+    ("trunc", 2): "truncate({0}, {1})",
+    ("log", 1): "log10({0})",
+}
+
+
 # functions of Columns for open types
 
 

@@ -78,7 +78,7 @@ PAIRS = {
     "agg_approx_distinct": ("SELECT abs(approx_distinct(o_custkey) - count(DISTINCT o_custkey)) < 0.15 * count(DISTINCT o_custkey) AS near FROM orders", "SELECT true AS near"),
     "agg_approx_percentile": ("SELECT abs(approx_percentile_cont(l_quantity, 0.5) - median(l_quantity)) <= 1 AS near FROM lineitem", "SELECT true AS near"),
     "agg_percentile": ("SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity) AS q FROM lineitem", "SELECT quantile_cont(l_quantity, 0.25) AS q FROM lineitem"),
-    "agg_string": ("SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_string": ("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "agg_array": ("SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), '|') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "wildcard_alias": ("SELECT r_regionkey, * FROM region", "SELECT r_regionkey AS __alias_r_regionkey, r_regionkey, r_name FROM region"),
     "reg_casts": ("SELECT 'pg_class'::regclass AS a, CAST(r_regionkey AS pg_catalog.oid) AS b FROM region", "SELECT 'pg_class' AS a, r_regionkey AS b FROM region"),

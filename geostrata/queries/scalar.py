@@ -15,15 +15,15 @@ PAIRS = {
         "SELECT p_partkey, round(sqrt(p_size), 6) AS a, round(ln(p_size), 6) AS b, round(exp(p_size / 50), 6) AS c, round(pow(p_size, 2), 2) AS d, round(atan2(p_size, 3), 6) AS e, abs(p_size - 25) AS f, floor(p_retailprice) AS g, ceil(p_retailprice) AS h, sign(p_size - 25) AS i, round(cbrt(p_size), 6) AS j, round(degrees(p_size), 6) AS k, round(log10(p_size), 6) AS l, p_size % 7 AS m, factorial(p_size % 10) AS n FROM part",
         "SELECT p_partkey, round(sqrt(p_size), 6) AS a, round(ln(p_size), 6) AS b, round(exp(p_size / 50), 6) AS c, round(pow(p_size, 2), 2) AS d, round(atan2(p_size, 3), 6) AS e, abs(p_size - 25) AS f, CAST(floor(p_retailprice) AS BIGINT) AS g, CAST(ceil(p_retailprice) AS BIGINT) AS h, CAST(sign(p_size - 25) AS DOUBLE) AS i, round(cbrt(p_size), 6) AS j, round(degrees(p_size), 6) AS k, round(log10(p_size), 6) AS l, p_size % 7 AS m, CAST(factorial(p_size % 10) AS BIGINT) AS n FROM part",
     ),
-    "fn_gcd_lcm": ("SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l, iszero(p_size % 5) AS z, truncate(p_retailprice, 1) AS t, to_hex(p_partkey) AS h FROM part", "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l, p_size % 5 = 0 AS z, trunc(p_retailprice * 10) / 10 AS t, lower(to_hex(p_partkey)) AS h FROM part"),
+    "fn_gcd_lcm": ("SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l, iszero(p_size % 5) AS z, trunc(p_retailprice, 1) AS t, to_hex(p_partkey) AS h FROM part", "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l, p_size % 5 = 0 AS z, trunc(p_retailprice * 10) / 10 AS t, lower(to_hex(p_partkey)) AS h FROM part"),
     "fn_string": (
-        "SELECT p_partkey, upper(p_name) AS a, length(p_name) AS b, substr(p_name, 2, 4) AS c, replace(p_name, 'a', '#') AS d, reverse(p_brand) AS e, lpad(p_brand, 12, '*') AS f, split_part(p_name, ' ', 1) AS g, strpos(p_name, 'e') AS h, repeat(p_brand, 2) AS i, translate(p_brand, 'Bd', 'xy') AS j, ascii(p_name) AS k, concat_ws('-', p_brand, p_name) AS l, starts_with(p_name, 'p') AS m, ends_with(p_name, 'e') AS n, left(p_name, 3) AS o, pg_right(p_name, -2) AS p, levenshtein(p_brand, 'Brand#11') AS q, trim('#' FROM p_brand) AS r FROM part",
+        "SELECT p_partkey, upper(p_name) AS a, length(p_name) AS b, substr(p_name, 2, 4) AS c, replace(p_name, 'a', '#') AS d, reverse(p_brand) AS e, lpad(p_brand, 12, '*') AS f, split_part(p_name, ' ', 1) AS g, strpos(p_name, 'e') AS h, repeat(p_brand, 2) AS i, translate(p_brand, 'Bd', 'xy') AS j, ascii(p_name) AS k, concat_ws('-', p_brand, p_name) AS l, starts_with(p_name, 'p') AS m, ends_with(p_name, 'e') AS n, left(p_name, 3) AS o, right(p_name, -2) AS p, levenshtein(p_brand, 'Brand#11') AS q, trim('#' FROM p_brand) AS r FROM part",
         "SELECT p_partkey, upper(p_name) AS a, CAST(length(p_name) AS INTEGER) AS b, substr(p_name, 2, 4) AS c, replace(p_name, 'a', '#') AS d, reverse(p_brand) AS e, lpad(p_brand, 12, '*') AS f, split_part(p_name, ' ', 1) AS g, CAST(strpos(p_name, 'e') AS INTEGER) AS h, repeat(p_brand, 2) AS i, translate(p_brand, 'Bd', 'xy') AS j, ascii(p_name) AS k, concat_ws('-', p_brand, p_name) AS l, starts_with(p_name, 'p') AS m, ends_with(p_name, 'e') AS n, left(p_name, 3) AS o, right(p_name, greatest(length(p_name) - 2, 0)) AS p, CAST(levenshtein(p_brand, 'Brand#11') AS INTEGER) AS q, trim(p_brand, '#') AS r FROM part",
     ),
-    "fn_regex": ("SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '') AS a, regexp_like(p_name, '^[a-m]') AS b, regexp_match(p_brand, '([0-9]+)')[0] AS c, pg_regexp_replace(p_name, '[aeiou]', '') AS d, regexp_count(p_name, 'e') AS e, similar_to(p_brand, 'Brand#_%') AS f FROM part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '', 'g') AS a, regexp_matches(p_name, '^[a-m]') AS b, regexp_extract(p_brand, '([0-9]+)', 1) AS c, regexp_replace(p_name, '[aeiou]', '') AS d, CAST(len(regexp_extract_all(p_name, 'e')) AS INTEGER) AS e, p_brand SIMILAR TO 'Brand#.+' AS f FROM part"),
-    "fn_hash": ("SELECT p_partkey, md5(p_name) AS a, sha2(p_name, 256) AS b, pg_encode(CAST(p_brand AS BINARY), 'hex') AS c, base64(CAST(p_brand AS BINARY)) AS d, lower(hex(digest(CAST(p_name AS BINARY), 'sha256'))) AS e FROM part", "SELECT p_partkey, md5(p_name) AS a, sha256(p_name) AS b, lower(hex(p_brand)) AS c, to_base64(encode(p_brand)) AS d, sha256(p_name) AS e FROM part"),
+    "fn_regex": ("SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '', 'g') AS a, regexp_like(p_name, '^[a-m]') AS b, regexp_match(p_brand, '([0-9]+)')[0] AS c, regexp_replace(p_name, '[aeiou]', '') AS d, regexp_count(p_name, 'e') AS e, similar_to(p_brand, 'Brand#_%') AS f FROM part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '', 'g') AS a, regexp_matches(p_name, '^[a-m]') AS b, regexp_extract(p_brand, '([0-9]+)', 1) AS c, regexp_replace(p_name, '[aeiou]', '') AS d, CAST(len(regexp_extract_all(p_name, 'e')) AS INTEGER) AS e, p_brand SIMILAR TO 'Brand#.+' AS f FROM part"),
+    "fn_hash": ("SELECT p_partkey, md5(p_name) AS a, sha2(p_name, 256) AS b, encode(p_brand, 'hex') AS c, base64(CAST(p_brand AS BINARY)) AS d, lower(hex(digest(CAST(p_name AS BINARY), 'sha256'))) AS e FROM part", "SELECT p_partkey, md5(p_name) AS a, sha256(p_name) AS b, lower(hex(p_brand)) AS c, to_base64(encode(p_brand)) AS d, sha256(p_name) AS e FROM part"),
     "fn_dates": (
-        "SELECT o_orderkey, year(o_orderdate) AS a, month(o_orderdate) AS b, CAST(pg_date_part('dow', o_orderdate) AS INT) AS c, dayofyear(o_orderdate) AS d, date_format(date_trunc('month', o_orderdate), 'yyyy-MM-dd') AS e, date_format(date_bin('7 days', o_orderdate), 'yyyy-MM-dd') AS f, datediff(o_orderdate, DATE'1995-01-01') AS g, date_format(o_orderdate, 'yyyy/MM/dd') AS h, CAST(make_date(year(o_orderdate), 1, 31) AS STRING) AS i, to_unixtime(o_orderdate) AS j, extract(quarter FROM o_orderdate) AS k FROM orders",
+        "SELECT o_orderkey, year(o_orderdate) AS a, month(o_orderdate) AS b, CAST(date_part('dow', o_orderdate) AS INT) AS c, dayofyear(o_orderdate) AS d, date_format(date_trunc('month', o_orderdate), 'yyyy-MM-dd') AS e, date_format(date_bin('7 days', o_orderdate), 'yyyy-MM-dd') AS f, datediff(o_orderdate, DATE'1995-01-01') AS g, date_format(o_orderdate, 'yyyy/MM/dd') AS h, CAST(make_date(year(o_orderdate), 1, 31) AS STRING) AS i, to_unixtime(o_orderdate) AS j, extract(quarter FROM o_orderdate) AS k FROM orders",
         "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS a, CAST(month(o_orderdate) AS INTEGER) AS b, CAST(dayofweek(o_orderdate) AS INTEGER) AS c, CAST(dayofyear(o_orderdate) AS INTEGER) AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS e, strftime(time_bucket(INTERVAL 7 DAY, o_orderdate, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS f, CAST(date_diff('day', DATE '1995-01-01', o_orderdate) AS INTEGER) AS g, strftime(o_orderdate, '%Y/%m/%d') AS h, CAST(make_date(year(o_orderdate), 1, 31) AS VARCHAR) AS i, CAST(epoch(o_orderdate) AS BIGINT) AS j, CAST(quarter(o_orderdate) AS INTEGER) AS k FROM orders",
     ),
     "fn_timestamps": ("SELECT CAST(to_timestamp_millis(1700000000123) AS STRING) AS a, CAST(to_timestamp_seconds(1700000000) AS STRING) AS b, CAST(to_timestamp_micros(1700000000123456) AS STRING) AS c, CAST(to_timestamp_nanos(1700000000123456789) AS STRING) AS d", "SELECT '2023-11-14 22:13:20.123' AS a, '2023-11-14 22:13:20' AS b, '2023-11-14 22:13:20.123456' AS c, '2023-11-14 22:13:20.123456' AS d"),
@@ -32,6 +32,10 @@ PAIRS = {
         "SELECT p_partkey, array_length(make_array(p_size, 1, 2)) AS a, array_has(make_array(1, 2, 3), p_size) AS b, array_to_string(list_sort(make_array(p_size, 7, 3)), ',') AS c, array_max(make_array(p_size, 9)) AS d, array_position(make_array(4, p_size), p_size) AS e, array_to_string(array_distinct(make_array(p_size, p_size, 1)), '|') AS f, list_has_any(make_array(1, 2), make_array(p_size)) AS g, array_to_string(string_to_array(p_name, ' '), '+') AS h FROM part",
         "SELECT p_partkey, 3 AS a, list_contains([1, 2, 3], p_size) AS b, array_to_string(list_sort([p_size, 7, 3]), ',') AS c, greatest(p_size, 9) AS d, CASE WHEN p_size = 4 THEN CAST(1 AS BIGINT) ELSE 2 END AS e, CASE WHEN p_size = 1 THEN '1' ELSE p_size || '|1' END AS f, p_size IN (1, 2) AS g, replace(p_name, ' ', '+') AS h FROM part",
     ),
+    "fn_array_calls": (
+        "SELECT p_partkey, array_join(array_positions(a, 1), ',') AS b, array_join(array_remove_n(a, 1, 1), ',') AS c, array_join(array_replace(a, 1, 9), ',') AS d, array_join(array_replace_all(a, 1, 9), ',') AS e, array_join(array_slice(a, 2, -2), ',') AS f, array_has_all(a, make_array(2, 3)) AS g, array_element(a, -1) AS h, array_element(a, 77) AS i, concat('a', NULL, p_size) AS j, array_join(array_resize(a, 7, 0), ',') AS k, array_join(array_pop_back(a), ',') AS l, initcap('hELLO wORLD') AS m, left('abcdef', -2) AS n, size(map_extract(map('k', p_size), 'z')) AS o FROM (SELECT p_partkey, p_size, make_array(p_size, 1, 2, 1, 3) AS a FROM part WHERE p_size > 3)",
+        "SELECT p_partkey, '2,4' AS b, p_size || ',2,1,3' AS c, p_size || ',9,2,1,3' AS d, p_size || ',9,2,9,3' AS e, '1,2,1' AS f, true AS g, 3 AS h, CAST(NULL AS INTEGER) AS i, 'a' || p_size AS j, p_size || ',1,2,1,3,0,0' AS k, p_size || ',1,2,1' AS l, 'Hello World' AS m, 'abcd' AS n, 0 AS o FROM part WHERE p_size > 3",
+    ),
     "fn_maps_structs": ("SELECT p_partkey, map('a', p_size, 'b', 2)['a'] AS a, cardinality(map_keys(map('a', 1, 'b', 2))) AS b, named_struct('x', p_size, 'y', p_brand).y AS c, element_at(map_values(map('k', p_size)), 1) AS d FROM part", "SELECT p_partkey, p_size AS a, 2 AS b, p_brand AS c, p_size AS d FROM part"),
     "fn_typeof": ("SELECT arrow_typeof(p_size) AS a, arrow_typeof(p_name) AS b FROM part LIMIT 1", "SELECT 'int' AS a, 'string' AS b"),
     "fn_postgres": (

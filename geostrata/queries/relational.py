@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geostrata.functions.registry import Registry
 from geostrata.operators import relational as R
+from geostrata.plans.sql import sql
 from geostrata.queries.base import query, views
+from geostrata.session import register_all
 
 #: name: statement that both engines read alike.
 SAME = {
@@ -127,13 +134,64 @@ def external_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "nation")
-    from geostrata.plans.sql import sql
-
     sql(spark, "PREPARE by_region AS SELECT n_name FROM nation WHERE n_regionkey = $1 AND n_nationkey > $2")
     return sql(spark, "EXECUTE by_region (2, 5)")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that executors see: under spark.checkpoint.dir where that is a file system path, else a temporary one."""
+    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    return tempfile.mkdtemp(prefix="geostrata-", dir=base if base.startswith("/") and os.path.isdir(base) else None)
+
+
+def sqlite_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sqlite_scan over a file with the nation table (25 rows); the filter runs in SQLite."""
+    path = f"{_scratch(spark)}/nation.sqlite"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
+        c.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
+    return sql(spark, f"SELECT n_name, n_regionkey FROM sqlite_scan('{path}', 'nation') WHERE n_nationkey > 10")
+
+
+def duckdb_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """duckdb_scan over a file with the nation table (25 rows)."""
+    import duckdb
+
+    path = f"{_scratch(spark)}/nation.duckdb"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    with duckdb.connect(path) as c:
+        c.execute("CREATE TABLE nation (n_nationkey BIGINT, n_name VARCHAR, n_regionkey BIGINT)")
+        c.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
+    return sql(spark, f"SELECT n_regionkey, count(*) AS n FROM duckdb_scan('{path}', 'main', 'nation') WHERE n_nationkey < 20 GROUP BY n_regionkey")
+
+
+def ddl_dml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE TABLE AS, INSERT and COPY TO, read back."""
+    views(spark, sf_dir, "nation region")
+    where, name = _scratch(spark), f"geostrata_t_{uuid.uuid4().hex[:12]}"
+    sql(spark, f"CREATE TABLE {name} USING parquet LOCATION '{where}/t' AS SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+    sql(spark, f"INSERT INTO {name} SELECT r_regionkey + 100, r_name FROM region")
+    sql(spark, f"COPY (SELECT * FROM {name} WHERE n_nationkey > 2) TO '{where}/copy' STORED AS parquet")
+    sql(spark, f"DROP TABLE {name}")
+    return spark.read.parquet(f"{where}/copy")
+
+
+def user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of one's own, by signature, with a default."""
+    register_all(spark)
+    own = Registry()
+    own.add("with_tax(double, double = 0.1D) -> double", lambda price, rate: F.round(price * (1 + rate), 4))
+    own.register(spark)
+    views(spark, sf_dir, "part")
+    return sql(spark, "SELECT p_partkey, with_tax(p_retailprice) AS a, WITH_TAX(p_retailprice, 0.5) AS b, with_tax(NULL) IS NULL AS c FROM part")
+
+
 CODE = {
+    "scan_sqlite": (sqlite_table, "SELECT n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation WHERE n_nationkey > 10"),
+    "scan_duckdb": (duckdb_table, "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 20 GROUP BY n_regionkey"),
+    "ddl_dml": (ddl_dml, "SELECT * FROM (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT r_regionkey + 100, r_name FROM region) WHERE n_nationkey > 2"),
+    "user_function": (user_function, "SELECT p_partkey, round(p_retailprice * 1.1, 4) AS a, round(p_retailprice * 1.5, 4) AS b, true AS c FROM part"),
     "top_k_per_group": (top_k_per_group, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3"),
     "join_right_semi": (right_semi, "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9500)"),
     "join_right_anti": (right_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),

@@ -1,18 +1,20 @@
 """WARC files and a Merkle audit of their replicas.
 
-Records are written in id order, one file a task. A file's leaves are its ordered offset ranges: the hash of a range
+Records are gzip members of their own (so that a range of bytes is a record), written in the order in which tasks
+read them, without a shuffle; a task begins a new file after FILE_BYTES. A file's leaves are its ordered offset ranges: the hash of a range
 covers its bounds and its bytes as they are on disk, so damage to headers is found like damage to payloads. Leaves
 pair up to a tree for each file (one row with all its node hashes), and the roots of the files, in order, to a
 root of the replica. An audit compares replica roots first; where they differ it compares file roots, and only of
 differing files the trees, level by level, below differing nodes only. What it returns are the ranges that differ.
 
-Cases: null url or html are written as empty; null ids are written first and have no id in results; repeated rows are
+Cases: null url or html are written as empty; null ids have no id in results; repeated rows are
 records of their own; a missing or short file differs in all ranges that it lacks, bytes past the last range are a
 range of their own; an empty table gives no files and an empty result. Only the id, url and html columns are read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +32,8 @@ VERSION, BREAK = b"WARC/1.1\r\n", b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "file string, seq long, id long, offset long, length long"
 HASH = 32
+#: Bytes after which a task begins another file.
+FILE_BYTES = 1 << 30
 
 
 def record(page_id: int | None, url: str | None, html: str | None, kind: str = "response") -> bytes:
@@ -46,7 +50,8 @@ def record(page_id: int | None, url: str | None, html: str | None, kind: str = "
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of one record."""
+    """Headers and payload of one record, packed or plain."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = data.partition(BREAK * 2)
     lines = head.split(BREAK)
     if not lines[0].startswith(b"WARC/"):
@@ -87,23 +92,28 @@ def differing(a: list[list[bytes]], b: list[list[bytes]]) -> tuple[list[int], in
 
 
 def _write(folder: str):
+    kinds = (pa.string(), *[pa.int64()] * 4)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at, seq = None, "", 0, 0
+        where, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            if out is None and batch.num_rows:
-                where, base = fs.FileSystem.from_uri(folder)
-                where.create_dir(base, recursive=True)
-                name = f"{uuid.uuid4().hex}.warc"
-                out = where.open_output_stream(f"{base}/{name}", compression=None)
-            rows = []
-            for i, url, html in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                data = record(i, url, html)
-                out.write(data)
-                rows.append((name, seq, i, at, len(data)))
-                at += len(data)
-                seq += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 4), strict=True)], ["file", "seq", "id", "offset", "length"])
+            for part in range(0, batch.num_rows, 500):
+                rows = []
+                for i, url, html in zip(*(batch.column(c).slice(part, 500).to_pylist() for c in range(3)), strict=True):
+                    if out is not None and at >= FILE_BYTES:
+                        out.close()
+                        out = None
+                    if out is None:
+                        where.create_dir(base, recursive=True)
+                        name, at, seq = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                        out = where.open_output_stream(f"{base}/{name}", compression=None)
+                    data = gzip.compress(record(i, url, html), 6, mtime=0)
+                    out.write(data)
+                    rows.append((name, seq, i, at, len(data)))
+                    at += len(data)
+                    seq += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "seq", "id", "offset", "length"])
         if out is not None:
             out.close()
 
@@ -112,12 +122,9 @@ def _write(folder: str):
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages as WARC files under folder/files and return their index (file, seq, id, offset, length)."""
-    spark = pages.sparkSession
-    common.ship(spark)
+    common.ship(pages.sparkSession)
     plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    n = max(common.partitions(spark), common.input_bytes(plain) // (256 << 20))
-    dealt = plain.repartitionByRange(n, "id").sortWithinPartitions("id")
-    return common.staged(dealt.mapInArrow(_write(f"{folder}/files"), INDEX), folder, "index")
+    return common.staged(plain.mapInArrow(_write(f"{folder}/files"), INDEX), folder, "index")
 
 
 def _dealt(index: DataFrame) -> DataFrame:

@@ -1,19 +1,16 @@
 """Repeated lines and paragraphs: every unit's digest is grouped globally and all but its earliest occurrence go.
 
-Units are the lines of a text, and the runs of lines between blank lines (paragraphs) of more than one line. A
-unit is normalised before hashing: lower case, punctuation and white space runs reduced to one space. Units of
-fewer than MIN_WORDS words are never removed. Occurrences rank by (doc_id, offset); the first is kept.
+A text is cut into sentences: at line ends, and at ., ! or ? before white space. A unit is a sentence together with as many
+of the following as it takes to reach MIN_WORDS words, so a line or paragraph of that length is found as a whole, and so
+is a passage inside longer lines, whatever stands around it. Units are normalised before hashing: lower case,
+punctuation and white space runs reduced to one space. Shorter repeated lines stay. Occurrences rank by (doc_id,
+offset); the first is kept, and the rest of a passage at its ends, if shorter than a sentence, stays too.
 
-Shared passages need not fill a line. So long lines are also cut at sentence ends (., ! or ? before white space),
-and runs of SENTENCES sentences or more than MIN_WORDS words that repeat are units too: each sentence is hashed
-together with those that follow it until the unit has MIN_WORDS words, so that any passage of that length that
-recurs at sentence borders is found whatever stands around it.
+The digests are grouped with map-side partial minima: a very common passage costs one row for each task, and only
+(digest, first id) of units that occur twice come back, joined by digest; that join's hot keys are split by AQE.
 
-The digests are grouped with map-side partial minima: a very common line costs one row for each task, and only
-(digest, earliest rank) of units that occur twice come back, joined by digest.
-
-Cases: a null or empty text has no units and stays as it is; repeated rows count as one occurrence each, in the
-order of their ids; rows without an id are kept whole and take no part; an empty table gives an empty result; only
+Cases: a null or empty text has no units and stays as it is; rows repeated under one id count as one
+document and keep or lose the same; rows without an id are kept whole and take no part; an empty table gives an empty result; only
 the id and text columns are read, all others pass through.
 """
 
@@ -83,7 +80,7 @@ def _digests(min_words: int):
 def duplicate_spans(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, start, end): code-point spans of units that occurred before, at a smaller (id, start)."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    found = common.staged(plain.mapInArrow(_digests(min_words), "id long, start long, end long, digest long, inner boolean"), folder, "units")
+    found = common.staged(plain.mapInArrow(common.tidy(_digests(min_words)), "id long, start long, end long, digest long, inner boolean"), folder, "units")
     firsts = found.filter("not inner")
     again = common.staged(firsts.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "first"), folder, "again")
     later = firsts.join(again, "digest").filter("id > first").select("id", "start", "end")
@@ -136,7 +133,7 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     both = docs.join(by_doc, F.col(id_col).cast("long") == F.col("__of"), "left").select(*docs.columns, "__spans")
     extra = "__clean string, __kept array<struct<start:long,end:long>>"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return both.mapInArrow(_rewrite(docs.columns.index(text_col), len(docs.columns)), f"{fields}, {extra}")
+    return both.mapInArrow(common.tidy(_rewrite(docs.columns.index(text_col), len(docs.columns))), f"{fields}, {extra}")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

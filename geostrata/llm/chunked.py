@@ -32,12 +32,12 @@ _SPACES = re.compile(r"(?<=\S)(?= \S)")
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, bound: int = BOUND):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = cut
+        self.cut, self.bound = cut, bound
         self.cache: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         (self.digit,) = self.tokenizer.encode("0", add_special_tokens=False).ids
@@ -94,7 +94,7 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.keys(t) for t in texts]
         used = set().union(*cut)
-        if len(self.cache) > BOUND:  # what these texts use stays
+        if len(self.cache) > self.bound:  # what these texts use stays
             self.cache = {k: self.cache[k] for k in used if k in self.cache}
         cache = self.cache
         lower, words, marked, odd = self.cut == "words", {}, [], {}
@@ -127,7 +127,7 @@ class ChunkEncoder:
 
     def rest(self, atoms: set[str]) -> None:
         """Bring ids of other parts of chunks into ``known``."""
-        if len(self.known) > BOUND // 8:
+        if len(self.known) > self.bound // 8:
             self.known.clear()
         todo = [a for a in atoms if a not in self.known]
         plain = [a for a in todo if len(a) <= LONG and a.removeprefix(" ").isalpha()]
@@ -138,5 +138,5 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cut: str) -> ChunkEncoder:
-    return ChunkEncoder(path, cut)
+def encoder(path: str, cut: str, bound: int = BOUND) -> ChunkEncoder:
+    return ChunkEncoder(path, cut, bound)

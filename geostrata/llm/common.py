@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def tidy(run):
+    """A function of batches that gives its freed memory back to the machine when a task ends, as workers live on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Fewer rows in an Arrow batch for the actions inside, where single rows are large."""

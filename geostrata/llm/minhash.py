@@ -253,7 +253,7 @@ def _confirm(num: int, den: int):
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(_confirm(num, den), _LINKS)
+    return both.mapInArrow(common.tidy(_confirm(num, den)), _LINKS)
 
 
 def _cells(num: int, den: int):
@@ -314,7 +314,7 @@ def across(inside: DataFrame, sets: DataFrame, num: int, den: int, n: int) -> Da
     right = full.filter("query").select("id", "cluster", "label", "set", F.lit(True).alias("query"), part("qs", 2).alias("q"), every("cs").alias("c"))
     cells = left.unionByName(right).withColumn("cell", F.xxhash64("cluster", "c", "q"))
     dealt = cells.repartitionByRange(n, "cell").sortWithinPartitions("cell", "cluster", "c", "q", "query", "id")
-    return dealt.select("cell", "cluster", "c", "q", "id", "label", "query", "set").mapInArrow(_cells(num, den), _LINKS)
+    return dealt.select("cell", "cluster", "c", "q", "id", "label", "query", "set").mapInArrow(common.tidy(_cells(num, den)), _LINKS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     fields = "id long, n long, digest binary, " + ", ".join(f"{s} long" for s in sigs) + ", bands array<long>"
     with common.small_batches(spark, 2000):
-        feats = common.staged(plain.mapInArrow(_features(k), fields), folder, "features")
+        feats = common.staged(plain.mapInArrow(common.tidy(_features(k)), fields), folder, "features")
 
     known = feats.filter("id is not null and n > 0")
     classes = common.staged(known.groupBy("digest").agg(F.min("id").alias("rep")), folder, "classes")
@@ -336,15 +336,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = rows.select(F.explode("bands").alias("key"), "id", *sigs)
     out = "kind int, key long, a long, b long, " + ", ".join(f"{s} long" for s in sigs)
     dealt = buckets.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    found = common.staged(dealt.mapInArrow(_pairs(least), out), folder, "found")
+    found = common.staged(dealt.mapInArrow(common.tidy(_pairs(least)), out), folder, "found")
     cut = found.filter("kind = 2").select("key", F.col("a").alias("id"), *sigs)
-    tied = cut.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(_pairs(least), out).filter("kind = 0")
+    tied = cut.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(common.tidy(_pairs(least)), out).filter("kind = 0")
     pairs = common.staged(found.filter("kind = 0").select("a", "b").union(tied.select("a", "b")).filter("a <> b").distinct(), folder, "pairs")
     members = found.filter("kind = 1").select("key", F.col("a").alias("id"), *sigs)
 
     wanted = members.select("id").distinct()
     with common.small_batches(spark, 256):  # a set may have megabytes
-        sets = common.staged(plain.join(wanted, "id", "left_semi").mapInArrow(_sets(k), "id long, set binary"), folder, "sets")
+        sets = common.staged(plain.join(wanted, "id", "left_semi").mapInArrow(common.tidy(_sets(k)), "id long, set binary"), folder, "sets")
         links = common.staged(confirmed(pairs, sets, num, den), folder, "links")
     comps = connected_components(links, folder, "first")
 

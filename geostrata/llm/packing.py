@@ -33,6 +33,8 @@ from geostrata.llm import common
 from geostrata.llm.chunked import encoder
 
 CAPACITY = 4096
+#: Chunks whose ids a worker remembers.
+CHUNKS = 400_000
 #: Fillings tried for one largest length, steps of one enumeration, and fillings of the whole search.
 WIDTH, STEPS, NODES = 3, 300, 60_000
 #: Slots up to this number are broadcast (48 bytes each); more are joined by a shuffle.
@@ -188,7 +190,7 @@ def _pieces(path: str, cut: str, end: int, capacity: int, keep_ids: bool):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, cut)
+        enc = encoder(path, cut, CHUNKS)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -211,7 +213,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     common.ship(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(plain.dtypes)["id"]
-    return plain.mapInArrow(_pieces(path, cut, end, capacity, keep_ids), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return plain.mapInArrow(common.tidy(_pieces(path, cut, end, capacity, keep_ids)), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

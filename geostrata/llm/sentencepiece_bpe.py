@@ -275,7 +275,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     common.ship(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(plain.dtypes)["id"]
-    return plain.mapInArrow(_encode(path), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(common.tidy(_encode(path)), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -283,4 +283,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     common.ship(encoded.sparkSession)
     plain = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = dict(plain.dtypes)["id"]
-    return plain.mapInArrow(_decode(path), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(common.tidy(_decode(path)), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = files or max(common.partitions(spark), common.input_bytes(plain) // (128 << 20))
     dealt = plain.repartitionByRange(n, "id").sortWithinPartitions("id")
-    written = dealt.mapInArrow(_write(f"{folder}/files", path, cut, end), "file string, first_id long, documents long, tokens long")
+    written = dealt.mapInArrow(common.tidy(_write(f"{folder}/files", path, cut, end)), "file string, first_id long, documents long, tokens long")
     listed = common.staged(written, folder, "written")
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return common.staged(listed.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))), folder, "manifest")
@@ -200,4 +200,4 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: set[int] | None = None
     dealt = manifest.select("file", "start").repartitionByRange(common.partitions(manifest.sparkSession), "file")
     schema = "id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
     run = _read(f"{folder}/files", None if wanted is None else frozenset(wanted), digest)
-    return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return dealt.mapInArrow(common.tidy(run), schema).withColumnRenamed("id", id_col)

@@ -20,12 +20,12 @@ from __future__ import annotations
 import gc
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ TOXIC_WEIGHT = 0.3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
 #: Words whose buckets or scores a worker remembers.
-BOUND = 600_000
+BOUND = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     common.ship(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(plain.dtypes)["id"]
-    return plain.mapInArrow(_score(model.score, model.bias), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(common.tidy(_score(model.score, model.bias)), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def rejected(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -228,12 +228,18 @@ def rejected(docs: DataFrame, model: Model, text_col: str = "text", least: float
     run, fields = _score(model.score, model.bias), docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col))
-            found = next(run(iter([pa.RecordBatch.from_arrays([texts, texts], ["id", "text"])])))
-            yield batch.filter(pa.array(found.column(1).to_numpy() < least))
+        held: deque[pa.RecordBatch] = deque()
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held.append(batch)
+                text = batch.column(batch.schema.names.index(text_col))
+                yield pa.RecordBatch.from_arrays([text, text], ["id", "text"])
+
+        for found in run(texts()):
+            yield held.popleft().filter(pa.array(found.column(1).to_numpy() < least))
 
-    return docs.mapInArrow(keep, fields)
+    return docs.mapInArrow(common.tidy(keep), fields)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:

@@ -32,7 +32,7 @@ from geostrata.llm import common
 
 SPACE = "▁"
 #: Entries that a cache may hold before it is emptied.
-BOUND = 150_000
+BOUND = 180_000
 #: Longer segments are not remembered.
 LONG = 64
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -183,10 +183,13 @@ class PieceModel:
         if not text:
             return b""
         get, miss = self.cache.get, self._miss
+        if "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:  # words one space apart
+            return b"".join([get(x) or miss(x) for x in text.split(" ")])
         return b"".join([get(x) or miss(x) for x in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))])
 
     def _miss(self, seg: str) -> bytes:
-        ids = np.array(self.segment(seg), np.int32).tobytes()
+        """Ids of a segment; one without white space stands for itself after a space."""
+        ids = np.array(self.segment(seg if seg[0] == SPACE else SPACE + seg), np.int32).tobytes()
         if len(seg) <= LONG:
             cache = self.cache
             if len(cache) > 2 * BOUND:  # the older half goes; what is frequent soon comes back
@@ -264,7 +267,9 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
+            gc.disable()  # nor here
             texts = [m.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in batch.column(1)]
+            gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     return run

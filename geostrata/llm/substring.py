@@ -1,10 +1,10 @@
 """Repeated lines and paragraphs: every unit's digest is grouped globally and all but its earliest occurrence go.
 
-A text is cut into sentences: at line ends, and at ., ! or ? before white space. A unit is a sentence together with as many
-of the following as it takes to reach MIN_WORDS words, so a line or paragraph of that length is found as a whole, and so
-is a passage inside longer lines, whatever stands around it. Units are normalised before hashing: lower case,
-punctuation and white space runs reduced to one space. Shorter repeated lines stay. Occurrences rank by (doc_id,
-offset); the first is kept, and the rest of a passage at its ends, if shorter than a sentence, stays too.
+Units are every line and every paragraph (lines up to one without words) of any length, and runs of sentences: a text
+is cut at line ends, and at ., ! or ? before white space, and a sentence together with as many of the following as it
+takes to reach MIN_WORDS words is a unit. Units are normalised before hashing: lower case, punctuation and white space
+runs reduced to one space; what holds no word is no unit. Occurrences rank by (doc_id, offset); the first is kept. An
+occurrence that overlaps the first in its own text is no repeat of it.
 
 The digests are grouped with map-side partial minima: a very common passage costs one row for each task, and only
 (digest, first id) of units that occur twice come back, joined by digest; that join's hot keys are split by AQE.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from geostrata.llm import common
 
 MIN_WORDS = 25
+FIRST, INNER, OVER = 0, 1, 2
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*(?:[.!?]+(?=\s|$)|\n|$)[^\S\n]*\n?")
 _NORMAL = re.compile(r"[\W_]+")
 
@@ -36,14 +37,28 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, digest) of the units of a text: each sentence with as many of the following as it takes to
-    reach ``min_words`` words."""
+def _runs(text: str, min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, digest) of the lines, paragraphs and sentence runs of a text, by start; longer ones first."""
     spans = sentences(text)
     words = [_NORMAL.sub(" ", text[s:e].lower()).split() for s, e in spans]
     sizes = [len(w) for w in words]
     joined = [" ".join(w) for w in words]
-    out, end, total = [], 0, 0
+    found: set[tuple[int, int]] = set()
+    line, paragraph, lines = 0, -1, 0
+    for i, (s, e) in enumerate(spans):
+        breaks = text.count("\n", s, e)  # a sentence may end in a line's end and an empty line
+        if i + 1 < len(spans) and not breaks:
+            continue
+        blank = not any(sizes[line : i + 1])
+        if not blank:
+            found.add((line, i + 1))
+            paragraph, lines = line if paragraph < 0 else paragraph, lines + 1
+        if paragraph >= 0 and (blank or breaks > 1 or i + 1 == len(spans)):
+            if lines > 1:
+                found.add((paragraph, line if blank else i + 1))
+            paragraph, lines = -1, 0
+        line = i + 1
+    end = total = 0
     for i in range(len(spans)):
         while end < len(spans) and total < min_words:
             total += sizes[end]
@@ -51,14 +66,34 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
         if total < min_words:
             break
         if sizes[i]:
-            body = " ".join(x for x in joined[i:end] if x)
-            out.append((spans[i][0], spans[end - 1][1], xxhash.xxh3_64_intdigest(body.encode("utf-8", "replace")) - 2**63))
+            found.add((i, end))
         total -= sizes[i]
+    out = []
+    for i, end in sorted(found, key=lambda x: (x[0], -x[1])):
+        body = " ".join(x for x in joined[i:end] if x)
+        out.append((spans[i][0], spans[end - 1][1], xxhash.xxh3_64_intdigest(body.encode("utf-8", "replace")) - 2**63))
     return out
 
 
+def _states(found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """The units, by start, with FIRST, INNER or OVER: the first of its digest in the text, one after the first's end,
+    and one that overlaps the first and so is no repeat of it, but may be one of an earlier text's."""
+    ends: dict[int, int] = {}
+    for start, end, digest in found:
+        first = ends.setdefault(digest, -1)
+        if first < 0:
+            ends[digest] = end
+        yield start, end, digest, FIRST if first < 0 else INNER if start >= first else OVER
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(start, end, digest) of the units of a text: its lines and paragraphs of any length, and each sentence with as
+    many of the following as it takes to reach ``min_words`` words; without those that overlap their like."""
+    return [(s, e, d) for s, e, d, state in _states(_runs(text, min_words)) if state != OVER]
+
+
 def _digests(min_words: int):
-    names = ["id", "start", "end", "digest", "inner"]
+    names = ["id", "start", "end", "digest", "state"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,12 +101,9 @@ def _digests(min_words: int):
                 part = batch.slice(at, 1000)
                 rows: list[tuple] = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    seen: set[int] = set()
-                    for start, end, digest in units(text.as_py() or "", min_words):
-                        rows.append((doc_id, start, end, digest, digest in seen))
-                        seen.add(digest)
+                    rows += ((doc_id, *x) for x in _states(_runs(text.as_py() or "", min_words)))
                 cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [pa.int64()] * 4 + [pa.bool_()]
+                kinds = [pa.int64()] * 4 + [pa.int8()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
@@ -80,11 +112,11 @@ def _digests(min_words: int):
 def duplicate_spans(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, start, end): code-point spans of units that occurred before, at a smaller (id, start)."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    found = common.staged(plain.mapInArrow(common.tidy(_digests(min_words)), "id long, start long, end long, digest long, inner boolean"), folder, "units")
-    firsts = found.filter("not inner")
+    found = common.staged(plain.mapInArrow(common.tidy(_digests(min_words)), "id long, start long, end long, digest long, state byte"), folder, "units")
+    firsts = found.filter(F.col("state") == FIRST)
     again = common.staged(firsts.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "first"), folder, "again")
-    later = firsts.join(again, "digest").filter("id > first").select("id", "start", "end")
-    return later.union(found.filter("inner").select("id", "start", "end"))
+    later = found.filter(F.col("state") != INNER).join(again, "digest").filter("id > first").select("id", "start", "end")
+    return later.union(found.filter(F.col("state") == INNER).select("id", "start", "end"))
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -284,6 +285,25 @@ def test_planted_passages_go_and_the_rest_stays(spark):
         assert len(got[i]) <= len(before[i]) - len(passage)
 
 
+def test_repeated_lines_of_any_length_go(spark, docs, texts):
+    plain = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+    rows = [(1, "Short line\nKept one\n\nfirst part\nsecond part\n"), (2, "own words\nshort, LINE!\nmore own\n---\n"), (3, "a\nb\na\n---\n"), (4, "first\npart second part"), (5, "no no no no"), (6, "  indented\n  short line\n x")]
+    got = {r["doc_id"]: r["text"] for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "own words\nmore own\n---\n", 3: "a\nb\n---\n", 4: "", 5: "no no no no", 6: "  indented\n  x"}
+    seen, many = set(), 0
+    kept = {r["doc_id"]: [tuple(s) for s in r["kept_spans"]] for r in substring.dedup_substrings(docs).collect()}
+    for i in sorted(texts):
+        at = 0
+        for line in (texts[i] or "").splitlines(keepends=True) if "\r" not in (texts[i] or "") else ():
+            key = plain(line)
+            if key and key in seen and line.endswith("\n"):
+                many += 1
+                assert not any(s < at + len(line) and e > at for s, e in kept[i]), (i, line)
+            seen.add(key)
+            at += len(line)
+    assert many > 50
+
+
 def test_substrings_of_odd_rows(odd):
     rows = substring.dedup_substrings(odd).collect()
     assert len(rows) == len(ROWS)

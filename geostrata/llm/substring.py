@@ -2,9 +2,13 @@
 
 Units are every line and every paragraph (lines up to one without words) of any length, and runs of sentences: a text
 is cut at line ends, and at ., ! or ? before white space, and a sentence together with as many of the following as it
-takes to reach MIN_WORDS words is a unit. Units are normalised before hashing: lower case, punctuation and white space
-runs reduced to one space; what holds no word is no unit. Occurrences rank by (doc_id, offset); the first is kept. An
-occurrence that overlaps the first in its own text is no repeat of it.
+takes to reach MIN_WORDS words is a unit. So is every run of WINDOW words, wherever it stands: a passage of as many
+words goes from its first word to its last, whatever surrounds it. Units are normalised before hashing: lower case,
+punctuation and white space runs reduced to one space; what holds no word is no unit. Occurrences rank by (doc_id,
+offset); the first is kept. An occurrence that overlaps the first in its own text is no repeat of it.
+
+Runs of WINDOW words are as many as there are words; so only anchors, some 2 of 26, are grouped first (winnowing), and
+a second reading makes the windows around those that occur twice and groups them.
 
 The digests are grouped with map-side partial minima: a very common passage costs one row for each task, and only
 (digest, first id) of units that occur twice come back, joined by digest; that join's hot keys are split by AQE.
@@ -16,9 +20,11 @@ the id and text columns are read, all others pass through.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,9 +33,80 @@ from pyspark.sql import functions as F
 from geostrata.llm import common
 
 MIN_WORDS = 25
-FIRST, INNER, OVER = 0, 1, 2
+#: Words of a window, and of an anchor: of the anchors of a window, the one of the least hash is sent.
+WINDOW, ANCHOR = 50, 26
+FIRST, INNER, OVER, NEAR = 0, 1, 2, 3
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*(?:[.!?]+(?=\s|$)|\n|$)[^\S\n]*\n?")
 _NORMAL = re.compile(r"[\W_]+")
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+@functools.cache
+def _codes() -> np.ndarray:
+    """A number for each code point of a word, alike for both cases; 0 for others. What words are is as in _NORMAL."""
+    small = (c.lower() if len(c.lower()) == 1 else c for c in map(chr, range(0x110000)))
+    x = np.fromiter((ord(c) + 1 if c.isalnum() else 0 for c in small), np.uint64, 0x110000)
+    return np.where(x > 0, _mixed(_mixed(x * np.uint64(_BASE))), np.uint64(0))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
+    return x ^ (x >> np.uint64(32))
+
+
+def _sums(x: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """Digests of the parts of x from start to end, wherever they stand: rolling hashes modulo 2^64, mixed."""
+    global _powers
+    n = len(x) + 1
+    if len(_powers[0]) < n:
+        _powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(max(n + n // 8, 1 << 16), b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 2**64)))
+    up, down = _powers
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(x * up[: n - 1], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * down[:n][start])
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, digest) of the words of a text."""
+    x = _codes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    inside = np.zeros(len(x) + 2, np.int8)
+    inside[1:-1] = x != 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2], _sums(x, edges[::2], edges[1::2])
+
+
+def rolled(x: np.ndarray, size: int) -> np.ndarray:
+    """The digest of each run of ``size`` words, of the words' digests."""
+    return _sums(x, slice(0, len(x) + 1 - size), slice(size, None)).view(np.int64) if len(x) >= size else np.empty(0, np.int64)
+
+
+def _sliding(best: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = best(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, digest) of the anchors of a text: the least of each WINDOW - ANCHOR + 1 neighbouring runs of ANCHOR
+    words. Equal windows of WINDOW words have an anchor in common, whatever stands around them."""
+    x, size = rolled(words(text)[2], ANCHOR), WINDOW - ANCHOR + 1
+    if len(x) < size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    least = np.full(len(x) + size - 1, np.iinfo(np.int64).min)
+    least[size - 1 : len(x)] = _sliding(np.minimum, x, size)
+    at = np.flatnonzero(_sliding(np.maximum, least, size) == x)
+    return at, x[at]
+
+
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, digest) of each run of WINDOW words of a text, from its first letter to its last."""
+    start, end, x = words(text)
+    x = rolled(x, WINDOW)
+    return start[: len(x)], end[WINDOW - 1 :][: len(x)], x
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -75,7 +152,7 @@ def _runs(text: str, min_words: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _states(found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+def _states(found: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
     """The units, by start, with FIRST, INNER or OVER: the first of its digest in the text, one after the first's end,
     and one that overlaps the first and so is no repeat of it, but may be one of an earlier text's."""
     ends: dict[int, int] = {}
@@ -88,35 +165,98 @@ def _states(found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int,
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(start, end, digest) of the units of a text: its lines and paragraphs of any length, and each sentence with as
-    many of the following as it takes to reach ``min_words`` words; without those that overlap their like."""
-    return [(s, e, d) for s, e, d, state in _states(_runs(text, min_words)) if state != OVER]
+    many of the following as it takes to reach ``min_words`` words, and each run of WINDOW words; without those that
+    overlap their like."""
+    every = zip(*(x.tolist() for x in windows(text)), strict=True)
+    return [(s, e, d) for found in (_runs(text, min_words), every) for s, e, d, state in _states(found) if state != OVER]
 
 
-def _digests(min_words: int):
-    names = ["id", "start", "end", "digest", "state"]
+_UNITS = "id long, start long, end long, digest long, state byte"
+
 
+def _batch(rows: list[tuple], more: list[tuple]) -> pa.RecordBatch:
+    """Rows of _UNITS, and more of them as columns."""
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = [np.int64] * 4 + [np.int8]
+    cols = [np.concatenate([np.array(c, k), *(x[i] for x in more)]) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "start", "end", "digest", "state"])
+
+
+def _digests(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows: list[tuple] = []
+                more: list[tuple] = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    rows += ((doc_id, *x) for x in _states(_runs(text.as_py() or "", min_words)))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [pa.int64()] * 4 + [pa.int8()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                    text = text.as_py() or ""
+                    rows += ((doc_id, *x) for x in _states(_runs(text, min_words)))
+                    word, digest = anchors(text)
+                    more.append((np.full(len(word), doc_id), word, word, digest, np.full(len(word), NEAR, np.int8)))
+                yield _batch(rows, more)
 
     return run
 
 
+def _candidates(text: str, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, digest, state) of the windows around anchors that occur twice. Those inside one unit that goes are
+    left out: they go with it, and its earliest occurrence holds them too."""
+    start, end, digest = windows(text)
+    near = np.zeros(len(start) + WINDOW, np.int64)
+    at = first[kind == NEAR]
+    np.add.at(near, np.maximum(at - (WINDOW - ANCHOR), 0), 1)
+    np.add.at(near, at + 1, -1)
+    use = near.cumsum()[: len(start)] > 0
+    first, last = first[kind != NEAR], last[kind != NEAR]
+    if len(first):
+        order = np.argsort(first, kind="stable")
+        s, e = first[order], last[order]
+        at = np.searchsorted(s, start, "right") - 1
+        use &= (at < 0) | (np.maximum.accumulate(e)[at] < end)
+    start, end, digest = start[use], end[use], digest[use]
+    state = np.zeros(len(start), np.int8)
+    if len(np.unique(digest)) < len(digest):
+        state = np.array([x[3] for x in _states(zip(start.tolist(), end.tolist(), digest.tolist(), strict=True))], np.int8)
+    return start, end, digest, state
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        more, n = [], 0
+        for doc_id, text, marks in zip(*batch.columns, strict=True):
+            found = _candidates(text.as_py() or "", *(marks.values.field(i).to_numpy() for i in range(3)))
+            more.append((np.full(len(found[0]), doc_id.as_py()), *found))
+            n += len(found[0])
+            if n >= 100_000:
+                yield _batch([], more)
+                more, n = [], 0
+        yield _batch([], more)
+
+
 def duplicate_spans(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, start, end): code-point spans of units that occurred before, at a smaller (id, start)."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    found = common.staged(plain.mapInArrow(common.tidy(_digests(min_words)), "id long, start long, end long, digest long, state byte"), folder, "units")
-    firsts = found.filter(F.col("state") == FIRST)
-    again = common.staged(firsts.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "first"), folder, "again")
-    later = found.filter(F.col("state") != INNER).join(again, "digest").filter("id > first").select("id", "start", "end")
-    return later.union(found.filter(F.col("state") == INNER).select("id", "start", "end"))
+    found = common.staged(plain.mapInArrow(common.tidy(_digests(min_words)), _UNITS), folder, "units")
+    again = _again(found, folder, "again")
+    hits = common.staged(_hits(found, again), folder, "hits")
+    marks = hits.groupBy("id").agg(F.collect_set(F.struct("start", "end", "state")).alias("marks"), F.max("state").alias("most")).filter(F.col("most") == NEAR)
+    closer = common.staged(plain.join(marks, "id").select("id", "text", "marks").mapInArrow(common.tidy(_windows), _UNITS), folder, "windows")
+    late = _hits(closer, _again(closer, folder, "again_windows"))
+    return hits.filter(F.col("state") != NEAR).drop("state").union(late.drop("state"))
+
+
+def _again(found: DataFrame, folder: str, name: str) -> DataFrame:
+    """(digest, first id) of units in two documents, and of anchors in two places."""
+    firsts = found.filter(F.col("state").isin(FIRST, NEAR))
+    return common.staged(firsts.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "first"), folder, name)
+
+
+def _hits(found: DataFrame, again: DataFrame) -> DataFrame:
+    """(id, start, end, state) of units that occurred before, and of anchors that occur twice."""
+    own = found.filter(F.col("state") == INNER).select("id", "start", "end", "state")
+    met = found.filter(F.col("state") != INNER).join(again, "digest").filter((F.col("state") == NEAR) | (F.col("id") > F.col("first")))
+    return met.select("id", "start", "end", "state").union(own)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -131,15 +271,23 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int,
     return "".join(text[s:e] for s, e in kept), kept
 
 
+def _merged(spans: pa.ListScalar) -> list[tuple[int, int]]:
+    """Spans in order of their starts, those that overlap or touch as one."""
+    start, end = (spans.values.field(i).to_numpy() for i in range(2))
+    upto = np.maximum.accumulate(end)
+    at = np.flatnonzero(np.r_[True, start[1:] > upto[:-1]])
+    return list(zip(start[at].tolist(), upto[np.r_[at[1:], len(end)] - 1].tolist(), strict=True))
+
+
 def _rewrite(text_at: int, columns: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kept = [], []
-            for text, spans in zip(batch.column(text_at), batch.column(columns).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(text_at), batch.column(columns), strict=True):
                 text = text.as_py()
-                clean, own = (None, []) if text is None else _cut(text, [(x["start"], x["end"]) for x in spans or []])
+                clean, own = (None, []) if text is None else _cut(text, _merged(spans) if spans.is_valid else [])
                 texts.append(clean)
                 kept.append([{"start": s, "end": e} for s, e in own])
             yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(texts, pa.string()), pa.array(kept, kind)], [*batch.schema.names[:columns], "__clean", "__kept"])
@@ -157,7 +305,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """docs with __clean and __kept. Texts are shuffled once, to meet their spans."""
+    """docs with __clean and __kept. Texts are shuffled to meet their spans."""
     spark = docs.sparkSession
     common.ship(spark)
     spans = duplicate_spans(docs, common.shared_dir(spark), id_col, text_col, min_words)

@@ -285,6 +285,28 @@ def test_planted_passages_go_and_the_rest_stays(spark):
         assert len(got[i]) <= len(before[i]) - len(passage)
 
 
+def test_passages_go_wherever_they_stand(spark):
+    rnd = random.Random(3)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    shared, long, short = words(50), words(173), words(49)
+    parts = [[words(30), shared[:40], words(30)], [words(7), shared, words(30)], [words(41), shared, words(3), long, words(9)], [words(60), short, words(60)], [words(9), long, words(2), short, words(8), shared],
+             [words(5), long[20:], long[:90], words(33), own := words(55), words(70), own], [["tick", "tock"] * 60], [words(4), ["tick", "tock"] * 45, words(6)]]
+    rows = [(i, " ".join(w for part in p for w in part)) for i, p in enumerate(parts)]
+    got = {r["doc_id"]: r["text"].split() for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, left = set(), {}
+    for i, text in rows:
+        w = text.split()
+        gone, ends = set(), {}
+        for at in range(len(w) - 49):
+            key = tuple(w[at : at + 50])
+            if key in seen or ends.setdefault(key, at + 50) <= at:
+                gone.update(range(at, at + 50))
+        seen |= set(ends)
+        left[i] = [x for at, x in enumerate(w) if at not in gone]
+    assert got == left
+    assert got[2] == [*parts[2][0], *parts[2][2], *parts[2][3], *parts[2][4]] and set(short) <= set(got[4]) and not set(shared + long) & set(got[4])
+
+
 def test_repeated_lines_of_any_length_go(spark, docs, texts):
     plain = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
     rows = [(1, "Short line\nKept one\n\nfirst part\nsecond part\n"), (2, "own words\nshort, LINE!\nmore own\n---\n"), (3, "a\nb\na\n---\n"), (4, "first\npart second part"), (5, "no no no no"), (6, "  indented\n  short line\n x")]

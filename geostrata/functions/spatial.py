@@ -6,10 +6,13 @@ Optional arguments that are NULL take their defaults. Geometries are EWKB (littl
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.functions.registry import Registry
+from geostrata.session import ensure
 
 #: (signature, body): the body calls kernels over the arguments a, b, c ...
 SIGNATURES = [
@@ -77,8 +80,15 @@ for _signature, _text in SIGNATURES:
     SPATIAL.add(_signature, _text)
 
 
+def kernels_of(name: str) -> list[str]:
+    """Hidden names of the kernels that a function calls."""
+    return sorted({k for f in SPATIAL.functions.get(name, []) for k in re.findall(r"__k_\w+", str(f.body))})
+
+
 def call(name: str, *args: Column | str | float | int | bool) -> Column:
     """A registered function on Columns; plain strings are column names, numbers and booleans literals."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ensure(spark, [name])
     return F.call_function(name, *(F.col(a) if isinstance(a, str) else a if isinstance(a, Column) else F.lit(a) for a in args))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.session import register_all
+from geostrata.session import ensure
 
 
 def analyze_columns(geom: str | Column) -> list[Column]:
@@ -24,5 +24,5 @@ def analyze_columns(geom: str | Column) -> list[Column]:
 
 def st_analyze_agg(df: DataFrame, geom: str, by: list[str] | None = None) -> DataFrame:
     """Statistics of a geometry column: one row, or one for each group."""
-    register_all(df.sparkSession)
+    ensure(df.sparkSession, ["__k_analyze"])
     return df.groupBy(*(by or [])).agg(*analyze_columns(geom))

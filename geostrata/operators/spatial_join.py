@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.session import register_all
+from geostrata.session import ensure
 
 RELATIONS = ("intersects", "contains", "within", "covers", "coveredby", "touches", "crosses", "overlaps", "equals")
 INVERSE = {"contains": "within", "within": "contains", "covers": "coveredby", "coveredby": "covers"}
@@ -63,6 +63,11 @@ def _boxed(df: DataFrame, geom: str, grow: Column | None) -> DataFrame:
     return df.select(*(c for c in df.columns if c != "__box"), *((F.col(f"__box.{c}") + s * by).alias(f"__{c}") for c, s in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1))))
 
 
+def functions_of(predicate: Relation | Distance) -> list[str]:
+    """SQL functions that a join on this predicate calls."""
+    return ["Box2D", *([f"ST_{predicate.name}"] if isinstance(predicate, Relation) else ["ST_DWithin", "ST_Distance"])]
+
+
 def _exact(predicate: Relation | Distance, a: Column, b: Column, within: Column | None) -> Column:
     if isinstance(predicate, Relation):
         return F.call_function(f"ST_{predicate.name}", a, b)
@@ -140,8 +145,8 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     forces one of the two ways. Mark joins add a boolean column ``mark``; right semi, anti and mark joins return the right
     side's rows."""
     spark = left.sparkSession
-    register_all(spark)
     predicate = Relation(predicate.lower().removeprefix("st_").replace("_", "")) if isinstance(predicate, str) else predicate
+    ensure(spark, functions_of(predicate))
     if how not in HOWS:
         raise ValueError(f"how: one of {', '.join(HOWS)}")
     renamed = {c: c + suffix if c in left.columns else c for c in right.columns}

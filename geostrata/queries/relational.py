@@ -15,7 +15,6 @@ from geostrata.functions.registry import Registry
 from geostrata.operators import relational as R
 from geostrata.plans.sql import sql
 from geostrata.queries.base import query, views
-from geostrata.session import register_all
 
 #: name: statement that both engines read alike.
 SAME = {
@@ -179,7 +178,6 @@ def ddl_dml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function of one's own, by signature, with a default."""
-    register_all(spark)
     own = Registry()
     own.add("with_tax(double, double = 0.1D) -> double", lambda price, rate: F.round(price * (1 + rate), 4))
     own.register(spark)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from geostrata.operators.aggregates import st_analyze_agg
 from geostrata.operators.spatial_join import Distance, Relation, spatial_join
 from geostrata.queries.base import query, views
-from geostrata.session import register_all
+from geostrata.functions import spatial as S
+from geostrata.session import ensure
 
 POINT = "ST_MakePoint(p_retailprice, p_size)"
 BOX = "ST_MakeEnvelope(0, 0, p_size, p_retailprice)"
@@ -47,17 +48,16 @@ PAIRS = {
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey", F.call_function("ST_MakePoint", F.col("c_acctbal"), F.col("c_nationkey") * 400.0).alias("g"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey", S.call("ST_MakePoint", F.col("c_acctbal"), F.col("c_nationkey") * 400.0).alias("g"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("s_acctbal"), F.col("s_nationkey") * 400.0
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.call_function("ST_MakeEnvelope", x - 300, y - 900, x + 300, y + 900).alias("box"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", S.call("ST_MakeEnvelope", x - 300, y - 900, x + 300, y + 900).alias("box"))
 
 
 def _join(how: str, predicate, residual: str | None = None, grid: bool | None = True) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_all(spark)
         out = spatial_join(_boxes(spark, sf_dir), _points(spark, sf_dir), "box", "g", predicate, how, F.expr(residual) if residual else None, grid=grid)
         return out.select(*(c for c in out.columns if c in ("s_suppkey", "c_custkey", "mark")))
 
@@ -87,7 +87,7 @@ JOINS = {
 
 def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of a geometry column."""
-    register_all(spark)
+    ensure(spark, ["ST_MakeEnvelope"])
     views(spark, sf_dir, "part")
     out = st_analyze_agg(spark.sql(f"SELECT {BOX} AS g FROM part"), "g")
     return out.select("count", "minx", "maxx", "miny", F.round("maxy", 4).alias("maxy"), "mean_size_in_bytes", "mean_points_per_geometry", "puntal_count", "polygonal_count", F.round("mean_envelope_width", 6).alias("w"), F.round("mean_envelope_height", 4).alias("h"))

@@ -177,12 +177,14 @@ def _arguments(name: str, args: tuple, least: int) -> tuple[str, ...]:
 def duckdb_scan(spark: SparkSession, *args: str, partitions: int = 8) -> DataFrame:
     """duckdb_scan(path, schema, table)"""
     path, schema, table = _arguments("duckdb_scan", args, 3)
+    register(spark)
     return spark.read.format("geostrata_duckdb").options(path=path, schema=schema, table=table, numpartitions=partitions).load()
 
 
 def sqlite_scan(spark: SparkSession, *args: str, partitions: int = 8) -> DataFrame:
     """sqlite_scan(path, table)"""
     path, table = _arguments("sqlite_scan", args, 2)
+    register(spark)
     return spark.read.format("geostrata_sqlite").options(path=path, table=table, numpartitions=partitions).load()
 
 

@@ -30,11 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geostrata.llm import common
-from geostrata.llm.chunked import encoder
+from geostrata.llm.chunked import encoder, parts
 
 CAPACITY = 4096
-#: Chunks whose ids a worker remembers.
-CHUNKS = 400_000
 #: Fillings tried for one largest length, steps of one enumeration, and fillings of the whole search.
 WIDTH, STEPS, NODES = 3, 300, 60_000
 #: Slots up to this number are broadcast (48 bytes each); more are joined by a shuffle.
@@ -190,12 +188,11 @@ def _pieces(path: str, cut: str, end: int, capacity: int, keep_ids: bool):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, cut, CHUNKS)
+        enc = encoder(path, cut)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in parts(batch, 1):
                 rows: list[list] = [[] for _ in range(5)]
-                for row, ids in enumerate(enc.encode([t.as_py() or "" for t in part.column(1)])):
+                for row, ids in enumerate(enc.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += tail
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]

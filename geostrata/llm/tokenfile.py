@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geostrata.llm import common
-from geostrata.llm.chunked import encoder
+from geostrata.llm.chunked import encoder, parts
 
 #: Ids of one frame.
 FRAME = 65_536
@@ -137,15 +137,14 @@ def _write(folder: str, path: str, cut: str, end: int):
         enc, writer, name = encoder(path, cut), None, ""
         first = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in parts(batch, 1):
                 if writer is None:
                     where, base = fs.FileSystem.from_uri(folder)
                     where.create_dir(base, recursive=True)
                     name = f"{base}/{uuid.uuid4().hex}.tokens.zst"
                     writer = TokenFileWriter(where.open_output_stream(name, compression=None))
                     first = part.column(0)[0].as_py()
-                texts = [t.as_py() or "" for t in part.column(1)]
+                texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
                     writer.add(doc_id, ids + tail)
         if writer is not None:
@@ -163,7 +162,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     common.ship(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = files or max(common.partitions(spark), common.input_bytes(plain) // (128 << 20))
-    dealt = plain.repartitionByRange(n, "id").sortWithinPartitions("id")
+    # repeated or missing ids spread by their texts' lengths
+    dealt = plain.repartitionByRange(n, "id", F.length("text")).sortWithinPartitions("id")
     written = dealt.mapInArrow(common.tidy(_write(f"{folder}/files", path, cut, end)), "file string, first_id long, documents long, tokens long")
     listed = common.staged(written, folder, "written")
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file

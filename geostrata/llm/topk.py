@@ -1,16 +1,19 @@
 """Exact top-k search by inner product: a KD-tree per shard, best-first traversal, a propagated kth score.
 
-Components become integers (floor(scale * x), x as double), so scores are exact. Every shard is one task's vectors
+Components become integers (floor(scale * x), x as double), so scores are exact: sums are made in doubles where no
+sum can reach 2^53, in 64-bit integers where none can reach 2^63, else in Python's. Every shard is one task's vectors
 under a KD-tree: median splits of the widest dimension, tight bounding boxes. A block of queries descends a tree
-together: a node's bound for a query is the largest inner product that its box allows; nodes are taken in order of
-their best bound, and a query leaves a node whose bound is below the query's kth score so far. That score starts
+together: a node's bound for a query is the largest inner product that its box allows, rounded up; nodes are taken in
+order of their best bound, and a query leaves a node whose bound is below the query's kth score so far. That score starts
 from a pilot: the kth best of a bounded sample of vectors, which is never above the true kth score and is handed to
 every shard, so that shards send few candidates. Query blocks lie in the shared folder and every task streams
-them past its tree; nothing is broadcast that grows with the data. The last step keeps k rows of each query.
+them past its tree (shards x bytes of queries are read in all); nothing is broadcast that grows with the data. The last
+step keeps k rows of each query.
 
-Cases: vectors that are null, or hold null, non-finite or too large components (beyond 2^28 after scaling) take no
-part; nor do rows without an id; shorter vectors count as padded with zeros; equal scores go to smaller ids;
-repeated ids are candidates of their own (not of their own id's queries); an empty table gives an empty result.
+Cases: vectors that are null, or hold null or non-finite components (before or after scaling) take no part; nor do rows
+without an id; shorter vectors count as padded with zeros; equal scores go to smaller ids; a row is no candidate of
+its own, but rows repeated under one id are queries of their own (each has its k rows under that id) and candidates of
+each other; a score beyond 64 bits raises OverflowError; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,39 +31,61 @@ from pyspark.sql.window import Window
 
 from geostrata.llm import common
 
-#: Vectors of a leaf, of the pilot, queries of a block, and vectors that make a shard.
-LEAF, PILOT, BLOCK, SHARD = 512, 4096, 512, 262_144
-LIMIT = 2**28
+#: Vectors of a leaf, of the pilot, queries of a block, and components that make a shard (128 MB).
+LEAF, PILOT, BLOCK, SHARD = 512, 4096, 512, 1 << 24
 NONE = np.iinfo(np.int64).min
-
-
-def scaled(batch: pa.RecordBatch, scale: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and integer components (as doubles) of the vectors of a batch (id, vector) that take part."""
-    ids, rows = [], []
-    for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        if i is None or not v.is_valid or v.values.null_count:
-            continue
-        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        with np.errstate(over="ignore", invalid="ignore"):
-            x = np.floor(scale * x)
-        if len(x) and not np.isfinite(x).all() or (np.abs(x) > LIMIT).any():
-            continue
-        ids.append(i)
-        rows.append(np.pad(x, (0, dims - len(x))))
-    return np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(rows), dims)
+#: Components up to this one make no sum of 2^53 in up to 8192 dimensions.
+MODEST = 2.0**20
+
+
+def scaled(batch: pa.RecordBatch, scale: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids and integer components (as doubles) of the vectors of a batch (row, id, vector) that take part."""
+    column = batch.column(2)
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    if not lists.null_count and not flat.null_count and (sizes == dims).all():
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), dims)
+        known = np.ones(len(x), bool)
+    else:
+        x, known = np.zeros((batch.num_rows, dims)), np.zeros(batch.num_rows, bool)
+        for i, v in enumerate(lists):
+            if v.is_valid and not v.values.null_count:
+                x[i, : len(v.values)], known[i] = v.values.to_numpy(zero_copy_only=False), True
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = np.floor(scale * x)
+    known &= np.isfinite(x).all(axis=1)
+    return (*(batch.column(i).to_numpy(zero_copy_only=False)[known].astype(np.int64) for i in (0, 1)), x[known])
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    if most < 2.0**53:
+        return (a @ b.T).astype(np.int64)
+    if most < 2.0**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.array([[int(x) for x in row] for row in a], object) @ np.array([[int(x) for x in row] for row in b], object).T
+    if (whole > np.iinfo(np.int64).max).any() or (whole <= NONE).any():
+        raise OverflowError("an inner product does not fit a long")
+    return whole.astype(np.int64)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; doubles where no sum can reach 2^53."""
-    if len(a) and len(b) and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2**53:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    return (a @ b.T).astype(np.int64)
+    """Exact integer inner products; vectors with large components are taken apart, as only their sums are slow."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    if not out.size or not a.shape[1]:
+        return out
+    x, y = (np.abs(m).max(axis=1) > MODEST for m in (a, b))
+    for i in (~x, x):
+        for j in (~y, y):
+            if i.any() and j.any():
+                out[np.ix_(i, j)] = _exact(a[i], b[j])
+    return out
 
 
 class Tree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.rows, self.ids, self.vectors = rows[order], ids[order], vectors[order]
         self.nodes: list[tuple[int, int, int, int]] = []  # first row, end, left child, right child (-1: leaf)
         low, high = [], []
         todo = [(0, len(ids), -1, 0)]
@@ -80,15 +105,19 @@ class Tree:
                 continue
             half = (end - first) // 2
             split = np.argpartition(own[:, int((hi - lo).argmax())], half)
-            self.vectors[first:end], self.ids[first:end] = own[split], self.ids[first:end][split]
+            self.vectors[first:end], self.ids[first:end], self.rows[first:end] = own[split], self.ids[first:end][split], self.rows[first:end][split]
             todo += [(first, first + half, me, 0), (first + half, end, me, 1)]
         self.low, self.high = np.array(low), np.array(high)
 
     def bound(self, node: int, queries: np.ndarray) -> np.ndarray:
-        return np.maximum(queries, 0) @ self.high[node] + np.minimum(queries, 0) @ self.low[node]
+        """No less than the largest product that the node's box allows: what doubles may have lost is added."""
+        up, down, low, high = np.maximum(queries, 0), np.minimum(queries, 0), self.low[node], self.high[node]
+        with np.errstate(over="ignore", invalid="ignore"):
+            lost = (up @ np.abs(high) - down @ np.abs(low)) * ((queries.shape[1] + 8) * 2.0**-52)
+            return np.nan_to_num(up @ high + down @ low + lost, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids), k columns in order, of vectors other than the query's own with a score of at least its
+        """(scores, ids), k columns in order, of rows other than the query's own row with a score of at least its
         floor; NONE where there are fewer."""
         n = len(queries)
         scores, ids = np.full((n, k), NONE), np.zeros((n, k), np.int64)
@@ -112,7 +141,7 @@ class Tree:
                         heapq.heappush(heap, (-float(b[go].max()), child, active[go], b[go]))
                 continue
             found, leaf = products(queries[active], self.vectors[begin:end]), self.ids[begin:end]
-            hits = (found >= kth[active][:, None]) & (leaf[None, :] != own[active][:, None])
+            hits = (found >= kth[active][:, None]) & (self.rows[begin:end][None, :] != own[active][:, None])
             for row in np.flatnonzero(hits.any(axis=1)):
                 q = active[row]
                 s, i = np.r_[scores[q], found[row][hits[row]]], np.r_[ids[q], leaf[hits[row]]]
@@ -122,17 +151,17 @@ class Tree:
         return scores, ids
 
 
-def _blocks(scale: int, dims: int, pilot_ids: np.ndarray, pilot: np.ndarray, k: int):
-    """Query rows to blocks (ids, vectors and floors as bytes)."""
+def _blocks(scale: int, dims: int, pilot: tuple[np.ndarray, np.ndarray, np.ndarray], k: int):
+    """Query rows to blocks (row numbers, ids, vectors and floors as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(pilot_ids, pilot)
+        tree = Tree(*pilot)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
-                ids, rows = scaled(batch.slice(at, BLOCK), scale, dims)
+                rows, ids, vectors = scaled(batch.slice(at, BLOCK), scale, dims)
                 if len(ids):
-                    found, _ = tree.search(ids, rows, k, np.full(len(ids), NONE))
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, rows, found[:, -1].copy())], ["ids", "rows", "floors"])
+                    found, _ = tree.search(rows, vectors, k, np.full(len(ids), NONE))
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (rows, ids, vectors, found[:, -1].copy())], ["rows", "ids", "vectors", "floors"])
 
     return run
 
@@ -143,18 +172,18 @@ def _search(scale: int, dims: int, folder: str, k: int):
         parts = [p for p in parts if len(p[0])]
         if not parts:
             return
-        tree = Tree(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        tree = Tree(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         del parts
         where, base = fs.FileSystem.from_uri(folder)
         files = [f.path for f in where.get_file_info(fs.FileSelector(base)) if f.base_name.endswith(".parquet")]
         for path in sorted(files):
             with where.open_input_file(path) as source:
                 for block in pq.ParquetFile(source).iter_batches(batch_size=4):
-                    for ids, rows, floors in zip(*(c.to_pylist() for c in block.columns), strict=True):
-                        own = np.frombuffer(ids, np.int64)
-                        scores, found = tree.search(own, np.frombuffer(rows, np.float64).reshape(len(own), dims), k, np.frombuffer(floors, np.int64))
+                    for rows, ids, vectors, floors in zip(*(c.to_pylist() for c in block.columns), strict=True):
+                        own, ids = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64)
+                        scores, found = tree.search(own, np.frombuffer(vectors, np.float64).reshape(len(own), dims), k, np.frombuffer(floors, np.int64))
                         q, r = np.nonzero(scores != NONE)
-                        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(found[q, r]), pa.array(scores[q, r])], ["query_id", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[q]), pa.array(found[q, r]), pa.array(scores[q, r])], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -165,16 +194,17 @@ def top_k(vectors: DataFrame, query_filter, k: int = 20, scale: int = 64, id_col
     common.ship(spark)
     folder = common.shared_dir(spark)
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter("id is not null and vector is not null")
+    # a written copy, as row numbers must stay the same however often it is read
+    plain = common.staged(plain.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), folder, "vectors")
     facts = plain.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
     dims = facts["dims"] or 0
     # the pilot: a bounded sample in a fixed order
-    sample = plain.orderBy(F.xxhash64("id"), "id").limit(PILOT).collect()
-    batch = pa.RecordBatch.from_arrays([pa.array([r["id"] for r in sample], pa.int64()), pa.array([r["vector"] for r in sample], pa.list_(pa.float64()))], ["id", "vector"])
-    pilot_ids, pilot = scaled(batch, scale, dims)
-    blocks = plain.filter(query_filter(F.col("id"))).repartition(common.partitions(spark), "id").mapInArrow(_blocks(scale, dims, pilot_ids, pilot, k), "ids binary, rows binary, floors binary")
+    sample = plain.orderBy(F.xxhash64("id"), "id", "row").limit(PILOT).collect()
+    kinds = (("row", pa.int64()), ("id", pa.int64()), ("vector", pa.list_(pa.float64())))
+    pilot = scaled(pa.RecordBatch.from_arrays([pa.array([r[c] for r in sample], t) for c, t in kinds], [c for c, _ in kinds]), scale, dims)
+    blocks = plain.filter(query_filter(F.col("id"))).repartition(common.partitions(spark), "row").mapInArrow(_blocks(scale, dims, pilot, k), "rows binary, ids binary, vectors binary, floors binary")
     common.staged(blocks, folder, "queries")
-    shards = max(common.partitions(spark), -(-facts["n"] // SHARD))
-    dealt = plain.repartition(shards, F.xxhash64("id"))
-    found = dealt.mapInArrow(_search(scale, dims, f"{folder}/queries", k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    shards = max(common.partitions(spark), -(-facts["n"] * max(dims, 1) // SHARD))
+    found = plain.repartition(shards, F.xxhash64("row")).mapInArrow(_search(scale, dims, f"{folder}/queries", k), "query_row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -81,15 +81,41 @@ def test_top_k(spark, monkeypatch):
     assert len(few) == 6
 
 
-def test_top_k_of_large_numbers():
+def test_top_k_of_large_numbers(spark):
     big = np.array([[2.0**27, 3.0], [-(2.0**27), 1.0]])
     assert topk.products(big, big).tolist() == [[2**54 + 9, -(2**54) + 3], [-(2**54) + 3, 2**54 + 1]]
+    huge = np.array([[2.0**61, 1.0, -(2.0**61)], [3.0, 5.0, 3.0]])
+    assert topk.products(huge[1:], huge).tolist() == [[5, 43]]  # sums on the way reach 2^63
+    with pytest.raises(OverflowError):
+        topk.products(huge, huge)
+    rows = [(20, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0]), (3, [5e6, 0.0]), (4, [-1e12, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, 64 * 64 * 5_000_000), (1, 3 * 4096), (2, 0), (4, -4096 * 10**12)]
+
+
+def test_top_k_bounds_are_rounded_up():
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.normal(size=(2000, 3)) * 2.0**30)
+    tree = topk.Tree(np.arange(2000), np.arange(2000), v)
+    exact = [[int(x) for x in row] for row in v]
+    for q in range(0, 2000, 97):
+        want = max(sum(a * b for a, b in zip(exact[q], w, strict=True)) for w in exact)
+        assert int(tree.bound(0, v[q : q + 1])[0]) >= want
+    scores, _ = tree.search(np.array([-1]), v[:1], 3, np.full(1, topk.NONE))
+    assert scores[0].tolist() == sorted((sum(a * b for a, b in zip(exact[0], w, strict=True)) for w in exact), reverse=True)[:3]
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Each row of an id is a query of its own, and a candidate of the other."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(20, 1, 1, 8192), (20, 2, 20, 0), (20, 1, 1, 4096), (20, 2, 20, 0)])
 
 
 def test_tree_prunes(spark):
     rng = np.random.default_rng(0)
     v = np.floor(rng.normal(size=(8000, 2)) * 64)
-    tree = topk.Tree(np.arange(8000), v)
+    tree = topk.Tree(np.arange(8000), np.arange(8000), v)
     seen = []
     plain = topk.products
     try:

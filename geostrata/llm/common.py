@@ -108,6 +108,14 @@ def text_of(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def last_at_most(ascending: Column, value: Column, longest: int) -> Column:
+    """Place (from 0) of the last element of an ascending array that is <= value; -1 if there is none. A binary search
+    in one expression, for arrays of up to ``longest`` elements."""
+    steps = [F.lit(1 << k) for k in range(max(longest, 1).bit_length() - 1, -1, -1)]
+    step = lambda at, jump: F.when((at + jump <= F.size(ascending)) & (F.get(ascending, at + jump - 1) <= value), at + jump).otherwise(at)
+    return F.aggregate(F.array(*steps), F.lit(0), step) - 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -120,6 +128,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-

@@ -4,17 +4,22 @@ Pieces of equal length are interchangeable, and there are at most ``capacity`` l
 (length, count) rows, as many as the capacity whatever the input. On them, branch and bound:
 
 * best-fit decreasing over runs of equal lengths is the first incumbent;
-* around the largest remaining length, undominated fillings of the rest of the sequence are enumerated in order of
-  waste (a filling is dominated by one that holds a longer piece in place of some of its pieces, so longer pieces
-  are tried first); a filling is repeated as often as the counts allow;
+* around the largest remaining length, the undominated fillings of the rest of the sequence are enumerated one by one, in
+  order of waste. A filling is dominated if a piece left over can take the place of some of its pieces (or of none) that
+  are no longer than it together, without overflow;
+* a filling is repeated as often as the counts allow, then once less, and so on down to one;
 * a branch ends where its waste so far leaves no room for fewer sequences than the incumbent; the search ends at
-  the bound ceil(tokens / capacity) or after NODES fillings, and the incumbent is returned.
+  the bound ceil(tokens / capacity), or when nothing is left to try (the incumbent is then optimal), or after NODES steps
+  of the enumeration, its only limit; the incumbent is returned.
 
 The result is a table of slots: pieces of rank r to r + n of a length go to sequences from s, c in each. Ranks come
-from salted counts, so that a length that many pieces share spreads over tasks; slots are joined by length.
+from salted counts, so that a length that many pieces share spreads over tasks. There is one row of slots a length, with
+its ranks in order; a piece finds its slot there by binary search. The table's size has a bound in the capacity alone
+(best-fit keeps at most a few runs of sequences a length), so it is broadcast.
 
 Cases: a null or empty text has the end id alone; an empty table gives an empty result; repeated rows are
-documents of their own; null ids pass through. Only the id and text columns are read.
+documents of their own (rows alike in every column share their places among themselves); null ids pass through. Only the
+id and text columns are read.
 """
 
 from __future__ import annotations
@@ -33,34 +38,71 @@ from geostrata.llm import common
 from geostrata.llm.chunked import encoder, parts
 
 CAPACITY = 4096
-#: Fillings tried for one largest length, steps of one enumeration, and fillings of the whole search.
-WIDTH, STEPS, NODES = 3, 300, 60_000
-#: Slots up to this number are broadcast (48 bytes each); more are joined by a shuffle.
-BROADCAST_SLOTS = 100_000
+#: Steps of the enumeration in one search.
+NODES = 200_000
 Filling = tuple[tuple[int, int], ...]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, width: int = WIDTH, steps: int = STEPS) -> list[Filling]:
-    """Up to ``width`` multisets of available lengths with the least waste in ``room``; longer pieces first."""
-    best: list[tuple[int, Filling]] = []
-    left = steps
-    stack: list[tuple[int, int, Filling]] = [(room, bisect_right(lengths, room), ())]
-    while stack and left:
-        left -= 1
-        rest, upto, chosen = stack.pop()
-        upto = min(upto, bisect_right(lengths, rest))
-        if not upto or rest == 0:
-            if (rest, chosen) not in best:
-                best = sorted([*best, (rest, chosen)], key=lambda x: x[0])[:width]
-            if best[-1][0] == 0 and len(best) == width or best[0][0] == 0 and left < steps // 2:
-                break
+def _smear(bits: int, by: int) -> int:
+    """The bits and those up to ``by`` places above them."""
+    have = 0
+    while have < by:
+        step = min(have + 1, by - have)
+        bits |= bits << step
+        have += step
+    return bits
+
+
+def dominated(filling: Filling, waste: int, left: int) -> bool:
+    """Whether a piece left over (bits of lengths) can replace pieces of the filling that it is as long as, at least."""
+    one, more = 0, 0  # sums of one piece, of two and more
+    for size, n in filling:
+        for _ in range(n):
+            more |= (more | one) << size
+            one |= 1 << size
+    better = _smear(more, waste)
+    if waste:
+        better |= _smear(one | 1, waste - 1) << 1  # a longer piece for one, or one more piece
+    return bool(better & left)
+
+
+def fillings(counts: dict[int, int], lengths: list[int], room: int, budget: list[int]) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of the undominated multisets of available lengths in ``room``, least waste first; ends early
+    where the budget of steps is used up."""
+    sizes = lengths[: bisect_right(lengths, room)]
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # sums of the i least lengths
+    for size in sizes:
+        bits, n, k = reach[-1], min(counts[size], room // size), 1
+        while n:
+            k = min(k, n)
+            bits |= bits << (size * k) & mask
+            n -= k
+            k *= 2
+        reach.append(bits)
+    budget[0] -= len(sizes) // 8
+    every = sum(1 << size for size in sizes)
+    for waste in range(room + 1):
+        if not reach[-1] >> (room - waste) & 1:
             continue
-        size = lengths[upto - 1]
-        most = min(counts[size], rest // size)
-        stack.append((rest, upto - 1, chosen))
-        for n in range(1, most + 1):
-            stack.append((rest - n * size, upto - 1, (*chosen, (size, n))))
-    return [x for _, x in best] or [()]
+        stack: list[tuple[int, int, Filling]] = [(len(sizes), room - waste, ())]
+        while stack:
+            budget[0] -= 1
+            if budget[0] < 0:
+                return
+            i, target, chosen = stack.pop()
+            if not target:
+                gone = sum(1 << size for size, n in chosen if n == counts[size])
+                if not dominated(chosen, waste, every & ~gone):
+                    yield waste, chosen
+                continue
+            i = min(i, bisect_right(sizes, target))
+            if not i:
+                continue
+            size = sizes[i - 1]
+            for n in range(min(counts[size], target // size) + 1):  # the most first, as the last is popped first
+                if reach[i - 1] >> (target - n * size) & 1:
+                    stack.append((i - 1, target - n * size, (*chosen, (size, n)) if n else chosen))
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -128,44 +170,49 @@ def solve(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) ->
             elif was == 0:
                 lengths.insert(bisect_right(lengths, size), size)
 
-    def branch() -> Iterator[Filling]:
+    budget = [nodes]
+
+    def branch() -> Iterator[tuple[int, Filling, int]]:
+        """(waste of one, pattern, times) around the largest length left."""
         size = lengths[-1]
         counts[size] -= 1
         own = lengths if counts[size] else lengths[:-1]
-        found = fillings(counts, own, capacity - size)
+        now = {x: counts[x] for x in own}
         counts[size] += 1
-        for f in found:
-            more = dict(f)
+        for lost, filling in fillings(now, list(own), capacity - size, budget):
+            more = dict(filling)
             more[size] = more.get(size, 0) + 1
-            yield tuple(sorted(more.items(), reverse=True))
+            pattern = tuple(sorted(more.items(), reverse=True))
+            for times in range(min((now.get(s, 0) + (s == size)) // n for s, n in pattern), 0, -1):
+                yield lost, pattern, times
 
-    # depth first; each level: its branches, the filling applied, how often
-    levels: list[list] = [[branch(), None, 0]]
+    # depth first; each level: its branches, the pattern applied, how often, its waste
+    levels: list[list] = [[branch(), None, 0, 0]]
     waste = 0
-    while levels and nodes:
-        nodes -= 1
+    while levels and budget[0] > 0:
+        budget[0] -= 1
         level = levels[-1]
         if level[1]:
             take(level[1], -level[2])
-            waste -= (capacity - sum(s * n for s, n in level[1])) * level[2]
+            waste -= level[3]
             level[1] = None
-        pattern = next(level[0], None)
-        if pattern is None:
+        lost, pattern, times = next(level[0], (0, None, 0))
+        spare = (bins - 1) * capacity - total
+        if pattern is None or waste + lost > spare:  # later patterns waste no less
             levels.pop()
             continue
-        times = min(counts[s] // n for s, n in pattern)
-        level[1], level[2] = pattern, times
-        take(pattern, times)
-        waste += (capacity - sum(s * n for s, n in pattern)) * times
-        if waste > (bins - 1) * capacity - total:
+        if waste + lost * times > spare:
             continue
+        level[1:] = pattern, times, lost * times
+        take(pattern, times)
+        waste += lost * times
         if not lengths:
             incumbent = [(x[1], x[2]) for x in levels]
             bins = sum(n for _, n in incumbent)
             if bins == least:
                 break
             continue
-        levels.append([branch(), None, 0])
+        levels.append([branch(), None, 0, 0])
     return incumbent
 
 
@@ -218,9 +265,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     three times: give a written table."""
     spark = parts.sparkSession
     hist = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    table = slots(solve(hist, capacity))
-    schema = "length long, first long, last long, sequence long, each long, base long"
-    where = spark.createDataFrame(table or [(0, 0, -1, 0, 1, 0)], schema)
+    by_length: dict[int, list[tuple]] = {}
+    for size, first, _, sequence, each, base in slots(solve(hist, capacity)):
+        by_length.setdefault(size, []).append((first, sequence, each, base))
+    rows = [(size, *map(list, zip(*sorted(own), strict=True))) for size, own in by_length.items()]
+    where = spark.createDataFrame(rows, "length long, firsts array<long>, sequences array<long>, eaches array<long>, bases array<long>")
+    widest = max(map(len, by_length.values()), default=1)
     salts = max(16, common.partitions(spark))
     salted = parts.withColumn("__salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
     sums = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
@@ -228,11 +278,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sums = sums.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     own = Window.partitionBy("length", "__salt").orderBy("id", "piece")
     ranked = salted.withColumn("__row", F.row_number().over(own) - 1).join(sums, ["length", "__salt"]).withColumn("__rank", F.col("__before") + F.col("__row"))
-    where = F.broadcast(where) if len(table) <= BROADCAST_SLOTS else where.repartition("length")
-    placed = ranked.join(where, "length").filter("__rank between first and last")
-    at = F.col("__rank") - F.col("first")
-    sequence = F.col("sequence") + F.floor(at / F.col("each"))
-    return placed.select(*parts.columns, sequence.cast("long").alias("sequence_id"), (F.col("base") + at % F.col("each") * F.col("length")).cast("long").alias("offset"))
+    placed = ranked.join(F.broadcast(where), "length").withColumn("__slot", common.last_at_most(F.col("firsts"), F.col("__rank"), widest))
+    own = lambda c: F.get(c, F.col("__slot"))
+    at = F.col("__rank") - own("firsts")
+    sequence = own("sequences") + F.floor(at / own("eaches"))
+    return placed.select(*parts.columns, sequence.cast("long").alias("sequence_id"), (own("bases") + at % own("eaches") * F.col("length")).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cut: str = "words", end: int = 1, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
@@ -243,7 +293,8 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed sequences as uint32 bytes; each holds at most the capacity."""
+    """(sequence_id, ids): the packed sequences as uint32 bytes; each holds at most the capacity. Pieces with null ids
+    count as empty; an empty table gives an empty result."""
     own = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
+    joined = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, F.coalesce(x["ids"], F.lit(b""))))
     return own.select("sequence_id", joined.alias("ids"))

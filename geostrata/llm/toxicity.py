@@ -7,12 +7,15 @@ toxic as its most toxic window, in training (the gradient goes through that wind
 by half and cover the whole text, whatever its length.
 
 Training draws a bounded sample of labelled texts on the driver: at most PER_CLASS of each label, those of least
-xxhash64(doc_id), among texts of at most LONGEST characters (a bound on memory; scoring has none). All other work is
-one pass over the texts without a shuffle. The trained model has a fixed size.
+xxhash64(doc_id); the labels are drawn first, so the texts are read once. Of a text of more than LONGEST characters
+training sees PIECES equal pieces of LONGEST characters in all, spread evenly from its start to its end (a bound on
+memory; scoring reads whole texts). All other work is one pass over the texts without a shuffle. The trained model has
+a fixed size.
 
 Cases: null and empty texts get the score of a text without words (the prior alone); null ids pass through; rows
-without a label or with null labels train nothing; with fewer than two classes to learn from every score is the
-share of toxic labels (0 without labels). Only the id and text columns are read.
+without a label or with null labels train nothing; an id with both labels counts as toxic, rows repeated under one id
+train by the least of their texts; with fewer than two classes to learn from every score is the share of toxic labels
+(0 without labels). Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm import common
 
 BUCKETS, DIM = 1 << 18, 8
 WINDOW = 4
-PER_CLASS, LONGEST = 1500, 40_000
+PER_CLASS, LONGEST, PIECES = 1500, 40_000, 20
 EPOCHS, RATE = 100, 0.5
 #: Share of the toxic class in the loss; below half, as clean documents should stay.
 TOXIC_WEIGHT = 0.3
@@ -175,22 +178,29 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     return Model((vectors @ (weights[1] - weights[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _spread(text: Column) -> Column:
+    """A text as training sees it: whole, or PIECES evenly spaced pieces of it."""
+    size = LONGEST // PIECES
+    step = (F.length(text) - size) / (PIECES - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) > LONGEST, F.array_join(cut, " ")).otherwise(text)
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
     """The bounded training sample: at most PER_CLASS texts of each label, in a fixed order."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
-    short = docs.select(F.col(id_col).cast("long").alias("id"), F.length(text_col).alias("size")).filter(F.col("size") <= LONGEST)
-    usable = known.join(short, "id", "left_semi")
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    usable = known.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
     drawn = None
     for label in (0, 1):
         part = usable.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS)
         drawn = part if drawn is None else drawn.union(part)
-    ids = drawn.collect()  # at most 2 * PER_CLASS rows
-    chosen = {r["id"]: r["label"] for r in ids}
+    chosen = {r["id"]: r["label"] for r in drawn.collect()}  # at most 2 * PER_CLASS rows
     if not chosen:
         return [], []
     wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= LONGEST)
-    rows = texts.join(F.broadcast(wanted), "id").orderBy("id", "text").limit(4 * PER_CLASS).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted), "id")
+    rows = texts.select("id", _spread(F.col("text")).alias("text")).groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
     return [r["text"] for r in rows], [chosen[r["id"]] for r in rows]
 
 

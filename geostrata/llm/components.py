@@ -3,6 +3,13 @@
 Every round is two aggregations and joins over the edges alone; nothing is gathered on the driver but a count and
 a checksum that tell when the edges no longer change. Each round is written to the shared folder, so lineage stays
 short and a lost executor costs one round at most.
+
+A node of very many edges is no task's burden: its least neighbour is found by partial aggregates, and it is
+broadcast to the edges where they lie. There are at most 2 * edges / HUB such nodes, and HUB grows with the edges so that
+they stay below HUBS; other nodes meet their edges in a shuffle, with at most HUB edges each.
+
+Cases: links with a null end are dropped; repeated links, links in both directions and loops change nothing; without
+links the result is empty.
 """
 
 from __future__ import annotations
@@ -13,32 +20,44 @@ from pyspark.sql import functions as F
 from geostrata.llm import common
 
 
+#: Edges that make a node a hub, and hubs that may be broadcast (16 bytes each).
+HUB, HUBS = 500, 20_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _told(edges: DataFrame, least: DataFrame, key: str, hub: int) -> DataFrame:
+    """edges with m, the least of their key."""
+    few = F.broadcast(least.filter(F.col("n") > hub).select(key, "m"))
+    most = edges.join(few.select(key), key, "left_anti").join(least.filter(F.col("n") <= hub).select(key, "m"), key)
+    return edges.join(few, key).select("a", "b", "m").union(most.select("a", "b", "m"))
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     """Every greater neighbour of u is tied to the least of u and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "a"))
+    return _told(both.filter("b > a"), least, "a", hub).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     """u and its lesser neighbours are tied to the least of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    tied = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a <> b")
+    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+    tied = _told(edges, least, "b", hub).select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a <> b")
     return tied.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
 def connected_components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(id, component) of every node in (a, b) links; component is the smallest id reachable."""
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = common.staged(edges, folder, f"{name}-0")
     before, step = _mark(edges), 0
     while before[0]:
         step += 1
-        edges = common.staged(_small_star(_large_star(edges)), folder, f"{name}-{step}")
+        hub = max(HUB, 2 * before[0] // HUBS)
+        edges = common.staged(_small_star(_large_star(edges, hub), hub), folder, f"{name}-{step}")
         after = _mark(edges)
         if after == before:
             break

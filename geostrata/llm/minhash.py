@@ -9,11 +9,12 @@ minima, packed in four longs; 24 bands of four whole minima give the candidates.
    Within a bucket the pairs of a maximum spanning tree of the collision-corrected estimates become candidates:
    as many as the bucket has members, never all pairs. Pieces of a bucket that a partition boundary cuts are
    tied together by one more tree over one member of each piece;
-4. candidates whose estimate is within CUT of the threshold are confirmed on full sets, and components built;
+4. candidates whose estimate is within SIGMAS of the threshold are confirmed on full sets, and components built;
 5. what the trees cannot have connected is looked at again: buckets that still hold several components are tied to
-   clusters, and in each cluster the members outside its most frequent component meet all others in cells of an
-   inverted index, which counts common shingles exactly and lets only links out. After that no bucket holds an
-   untested pair that could join two components.
+   clusters, and in each cluster the members outside its most frequent component meet all others of a size that the
+   threshold allows: first signatures meet, in cells of bounded size that let only survivors' ids out; survivors' sets
+   then meet in cells of an inverted index, which counts common shingles exactly and lets only links out. After that no
+   bucket holds an untested pair that could join two components.
 
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6.
 
@@ -41,8 +42,8 @@ WORDS = HASHES * BITS // 64
 SIGMAS = 5.5
 #: Rows of one bucket that are compared with each other at once.
 CHUNK = 4096
-#: Members and queries of one cell of a cluster.
-SIDE = 128
+#: Members and queries of one cell of a cluster: of sets, and of signatures.
+SIDE, WIDE = 128, 2048
 LANES = np.uint64(0x5555555555555555)
 _LINKS = "a long, b long"
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -169,10 +170,8 @@ def _pairs(least: int):
 
     def piece(key, ids, sig, cut):
         """One whole bucket or a piece of it."""
-        done: set[bytes] = set()
         out = [(1, key, ids, ids, sig)] if cut or len(ids) > 1 else []
-        if len(ids) > 1 and (mark := ids.tobytes()) not in done:
-            done.add(mark)
+        if len(ids) > 1:
             edges = spanning_pairs(sig.view(np.uint64), least)
             if edges:
                 x, y = np.array(edges).T
@@ -287,7 +286,7 @@ def _cells(num: int, den: int):
         cell, rows = None, []
         for batch in batches:
             cols = batch.to_pydict()
-            for at, row in zip(zip(cols["cell"], cols["cluster"], cols["c"], cols["q"], strict=True), zip(cols["id"], cols["label"], cols["query"], cols["set"], strict=True), strict=True):
+            for at, row in zip(zip(cols["cell"], cols["g"], cols["c"], cols["q"], strict=True), zip(cols["id"], cols["label"], cols["query"], cols["set"], strict=True), strict=True):
                 if at != cell and rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(rows)], ["a", "b"])
                     rows = []
@@ -299,22 +298,84 @@ def _cells(num: int, den: int):
     return run
 
 
-def across(inside: DataFrame, sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
-    """Links between different labels of one cluster (id, cluster, label), by exact counts of common shingles.
+def _alike(least: int):
+    """Rows of one cell after the other to the ids that an estimate lets meet another component's."""
+
+    def survivors(group: int, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        query = rows["query"]
+        sig = np.stack([rows[f"s{i}"] for i in range(WORDS)], axis=1).view(np.uint64)
+        mine, theirs = np.flatnonzero(query), np.flatnonzero(~query)
+        met = np.zeros(len(theirs), bool)
+        out = []
+        for at in range(0, len(mine), 128):
+            own = mine[at : at + 128]
+            near = (matches(sig[own][:, None, :], sig[theirs][None, :, :]) >= least) & (rows["label"][own][:, None] != rows["label"][theirs][None, :])
+            met |= near.any(axis=0)
+            out.append(own[near.any(axis=1)])
+        kept = np.concatenate([*out, theirs[met]]) if out else mine[:0]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), group)), pa.array(rows["id"][kept]), pa.array(rows["label"][kept]), pa.array(query[kept])], ["g", "id", "label", "query"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in _by_cell(batches):
+            if batch is not None:
+                held.append(batch)
+            elif held:
+                whole = pa.Table.from_batches(held)
+                held = []
+                yield survivors(whole["g"][0].as_py(), {c: whole[c].to_numpy() for c in ("id", "label", "query", *(f"s{i}" for i in range(WORDS)))})
+
+    return run
 
-    Members outside a cluster's most frequent label are its queries; a cluster is cut into cells of about SIDE
-    members by SIDE queries, each an inverted index in one task. Only links leave a cell, never pairs."""
-    stats = inside.groupBy("cluster").agg(F.count("*").alias("m"), F.mode("label", True).alias("most"))
-    marked = inside.join(stats, "cluster").withColumn("query", F.col("label") != F.col("most"))
-    queries = marked.filter("query").groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("qs"))
-    full = marked.join(queries, "cluster").withColumn("cs", F.ceil(F.col("m") / SIDE).cast("int")).join(sets, "id")
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """Batches cut where (cell, g, c, q) changes; None after each cell."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.names.index(c)).to_numpy().astype(np.int64) for c in ("cell", "g", "c", "q")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            now = tuple(keys[start])
+            if last is not None and now != last:
+                yield None
+            last = now
+            yield batch.slice(start, end - start)
+    if last is not None:
+        yield None
+
+
+def _dealt(marked: DataFrame, queries: DataFrame, payload: list[str], side: int, n: int) -> DataFrame:
+    """Members (g, id, label, query, ..) and queries (g, id, label, ..) of groups g, dealt to cells of about ``side`` of
+    each; the rows of a cell are neighbours."""
+    sizes = marked.groupBy("g").agg(F.ceil(F.count("*") / side).cast("int").alias("cs")).join(queries.groupBy("g").agg(F.ceil(F.count("*") / side).cast("int").alias("qs")), "g")
     part = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = full.select("id", "cluster", "label", "set", F.lit(False).alias("query"), part("cs", 1).alias("c"), every("qs").alias("q"))
-    right = full.filter("query").select("id", "cluster", "label", "set", F.lit(True).alias("query"), part("qs", 2).alias("q"), every("cs").alias("c"))
-    cells = left.unionByName(right).withColumn("cell", F.xxhash64("cluster", "c", "q"))
-    dealt = cells.repartitionByRange(n, "cell").sortWithinPartitions("cell", "cluster", "c", "q", "query", "id")
-    return dealt.select("cell", "cluster", "c", "q", "id", "label", "query", "set").mapInArrow(common.tidy(_cells(num, den)), _LINKS)
+    cols = ["g", "id", "label", *payload]
+    left = marked.join(sizes, "g").select(*cols, F.lit(False).alias("query"), part("cs", 1).alias("c"), every("qs").alias("q"))
+    right = queries.join(sizes, "g").select(*cols, F.lit(True).alias("query"), part("qs", 2).alias("q"), every("cs").alias("c"))
+    cells = left.unionByName(right).withColumn("cell", F.xxhash64("g", "c", "q"))
+    return cells.repartitionByRange(n, "cell").sortWithinPartitions("cell", "g", "c", "q", "query", "id").select("cell", "g", "c", "q", "id", "label", "query", *payload)
+
+
+def across(inside: DataFrame, prints: DataFrame, sets: DataFrame, num: int, den: int, n: int, folder: str) -> DataFrame:
+    """Links between different labels of one cluster (id, cluster, label), by exact counts of common shingles.
+
+    Members outside a cluster's most frequent label are its queries. prints has id, n and the signatures. A set of n
+    shingles is only met by sets of its own size band (a factor of den / num) and the two next to it."""
+    spread = inside.groupBy("cluster", "label").agg(F.count("*").alias("k"))
+    most = spread.groupBy("cluster").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("most"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num * (1 + 1e-9)))).cast("long")
+    sigs = [f"s{i}" for i in range(WORDS)]
+    marked = inside.join(most, "cluster").join(prints, "id").select("id", "label", "cluster", (F.col("label") != F.col("most")).alias("query"), band.alias("band"), *sigs)
+    marked = common.staged(marked, folder, "marked")
+    queries = marked.filter("query").withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    group = F.xxhash64("cluster", "band").alias("g")  # groups that share a hash only meet in vain
+    met = _dealt(marked.select(group, "id", "label", *sigs), queries.select(group, "id", "label", *sigs), sigs, WIDE, n).mapInArrow(common.tidy(_alike(least_matches(num / den))), "g long, id long, label long, query boolean")
+    alive = common.staged(met.distinct(), folder, "alive")
+    full = alive.join(sets, "id")
+    return _dealt(full.filter("not query"), full.filter("query"), ["set"], SIDE, n).mapInArrow(common.tidy(_cells(num, den)), _LINKS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -354,7 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = connected_components(ties, folder, "clusters").withColumnRenamed("component", "cluster")
     inside = clusters.join(comps, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("label"))
     with common.small_batches(spark, 256):
-        more = common.staged(across(inside, sets, num, den, n), folder, "late")
+        more = common.staged(across(inside, rows.select("id", "n", *sigs), sets, num, den, n, folder), folder, "late")
     if more.take(1):
         comps = connected_components(links.union(more), folder, "second")
 

@@ -1,22 +1,32 @@
 """Spatial joins of every join type, equal to the nested-loop result.
 
-A pair joins if its relation (or distance) holds and a residual condition, if given, is true. Two ways:
+A pair joins if its relation (or distance) holds and a residual condition, if given, is true. Three ways:
 
-* a small side (its size estimate within the session's broadcast limit) goes to every task: a broadcast nested loop that
+* a side within the session's broadcast limit and of at most LOOP rows goes to every task: a broadcast nested loop that
   tests bounding boxes in generated code first and the exact relation after;
-* otherwise both sides are cut into the cells of a grid over their common extent and joined by cell. A pair counts
-  only in the cell that holds the lower left corner of the boxes' common part, so no DISTINCT is needed. Geometries that
-  would cover more than MAX_CELLS cells go to coarser levels of the grid, by powers of two; every level meets every
-  other through the coarser one's cells, so large geometries neither multiply nor collect in one task. The levels in
-  use (a few dozen at most) and the extents are all that reaches the driver.
+* a side within that limit and of more rows is broadcast by cells of a grid (inner joins): each row of the other side
+  looks its cells up, so the work does not grow with the product of the sides;
+* otherwise both sides meet by cells in a shuffle.
+
+The grid covers the common extent. A geometry's own level is the finest on which it covers at most MAX_CELLS cells
+(each level's cells are FACTOR times as long as the one's below). Rows of one side in their own cells meet copies of the
+other side's rows that are on the same or a finer level, and the other way round for coarser ones; so a pair meets on the
+coarser of its two levels, and only levels that the other side uses are copied to. A pair counts only in the cell
+that holds the lower left corner of the boxes' common part, so there is no DISTINCT. Cells that hold more than HEAVY rows
+of a side (one geometry over the whole extent, a city among fields) are cut by salts: rows of a cut side are dealt over
+its salts and copied to the other side's. Levels, counts and the heavy cells (at most HEAVY_CELLS a side) are all that
+reaches the driver.
 
 For outer, semi, anti and mark joins rows get ids in a written copy (the shared checkpoint folder), and those joins are joins back
-on them. Rows with NULL, empty or unreadable geometries never match and stay only where the join type keeps them."""
+on them. Rows with NULL, empty or unreadable geometries never match and stay only where the join type keeps them.
+Columns may have any names; the join's own get a prefix that no column has."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +36,15 @@ from geostrata.session import ensure
 RELATIONS = ("intersects", "contains", "within", "covers", "coveredby", "touches", "crosses", "overlaps", "equals")
 INVERSE = {"contains": "within", "within": "contains", "covers": "coveredby", "coveredby": "covers"}
 HOWS = ("inner", "left", "right", "full", "left_semi", "left_anti", "right_semi", "right_anti", "left_mark", "right_mark")
-#: Cells that one geometry may cover on its level.
-MAX_CELLS = 16
+#: Cells that one geometry may cover on its level, and how much longer cells are on the next.
+MAX_CELLS, FACTOR = 16, 4.0
 #: Rows that a cell of the finest level should hold.
 ROWS_PER_CELL = 64
+#: Rows of a small side that a nested loop may take.
+LOOP = 1000
+#: Rows of one side that a cell may hold before it is cut, and cells of a side that may be cut (the first grows with the
+#: rows so that the second holds).
+HEAVY, HEAVY_CELLS = 20_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -55,12 +70,24 @@ class Distance:
     side: str = "left"
 
 
-def _boxed(df: DataFrame, geom: str, grow: Column | None) -> DataFrame:
+def own_prefix(*frames: DataFrame) -> str:
+    """A prefix that no column has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for df in frames for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def boxed(df: DataFrame, geom: str, grow: Column | None, p: str) -> DataFrame:
     """df with the bounds of its geometry, grown; NULL where there is none."""
-    box = F.call_function("Box2D", F.col(geom))
-    df = df.withColumn("__box", box)
     by = F.lit(0.0) if grow is None else F.abs(grow.cast("double"))
-    return df.select(*(c for c in df.columns if c != "__box"), *((F.col(f"__box.{c}") + s * by).alias(f"__{c}") for c, s in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1))))
+    df = df.withColumn(f"{p}box", F.call_function("Box2D", F.col(quote(geom))))
+    bounds = ((F.col(f"{p}box.{c}") + s * by).alias(p + c) for c, s in (("xmin", -1), ("ymin", -1), ("xmax", 1), ("ymax", 1)))
+    return df.select(*(quote(c) for c in df.columns if c != f"{p}box"), *bounds)
+
+
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def functions_of(predicate: Relation | Distance) -> list[str]:
@@ -76,119 +103,198 @@ def _exact(predicate: Relation | Distance, a: Column, b: Column, within: Column
     return F.call_function("ST_Distance", a, b) < within.cast("double")
 
 
-def _overlap(a: str = "l", b: str = "r") -> Column:
-    c = lambda t, n: F.col(f"{t}.__{n}")
+def overlap(p: str, a: str = "l", b: str = "r") -> Column:
+    c = lambda t, n: F.col(f"{t}.{p}{n}")
     return (c(a, "xmin") <= c(b, "xmax")) & (c(b, "xmin") <= c(a, "xmax")) & (c(a, "ymin") <= c(b, "ymax")) & (c(b, "ymin") <= c(a, "ymax"))
 
 
-def _small(df: DataFrame) -> bool:
+def small(df: DataFrame) -> bool:
+    """Whether a side's estimated size is within the session's broadcast limit."""
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
     size = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)) if limit != "-1" else -1
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= size
 
 
-def _spanned(x0: float, y0: float, size: float) -> Column:
-    """Cells of a size that a box covers."""
-    along = lambda n, o: F.floor((F.col(f"__{n}max") - o) / size) - F.floor((F.col(f"__{n}min") - o) / size) + 1
-    return along("x", x0) * along("y", y0)
-
-
-def _levelled(df: DataFrame, x0: float, y0: float, step: float, levels: int) -> DataFrame:
-    """__level: the finest (0) on which a box covers at most MAX_CELLS cells."""
-    level = F.lit(levels)
-    for k in range(levels - 1, -1, -1):
-        level = F.when(_spanned(x0, y0, step * 2.0**k) <= MAX_CELLS, F.lit(k)).otherwise(level)
-    return df.withColumn("__level", level)
+@dataclass(frozen=True)
+class Extent:
+    """Rows with boxes, and the bounds of them all."""
 
+    n: int
+    x0: float
+    y0: float
+    x1: float
+    y1: float
 
-def _celled(df: DataFrame, x0: float, y0: float, step: float, used: list[int]) -> DataFrame:
-    """A row for each level in use from the row's own up, and each cell there: __at, __gx, __gy."""
-    df = df.withColumn("__at", F.explode(F.filter(F.array(*map(F.lit, used)), lambda k: k >= F.col("__level"))))
-    size = step * F.pow(F.lit(2.0), F.col("__at"))
-    along = lambda n, o: F.sequence(F.floor((F.col(f"__{n}min") - o) / size).cast("long"), F.floor((F.col(f"__{n}max") - o) / size).cast("long"))
-    return df.withColumn("__gx", F.explode(along("x", x0))).withColumn("__gy", F.explode(along("y", y0)))
+    @staticmethod
+    def of(df: DataFrame, p: str) -> Extent:
+        names = (("x0", F.min, "xmin"), ("y0", F.min, "ymin"), ("x1", F.max, "xmax"), ("y1", F.max, "ymax"))
+        r = df.agg(F.count(p + "xmin").alias("n"), *(f(p + c).alias(k) for k, f, c in names)).first()
+        return Extent(r["n"], *(r[k] or 0.0 for k, _, _ in names))
 
 
-def _pairs_by_grid(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (l.*, r.*) with overlapping boxes, each once."""
-    box = lambda df: df.agg(F.count("__xmin").alias("n"), F.min("__xmin").alias("x0"), F.min("__ymin").alias("y0"), F.max("__xmax").alias("x1"), F.max("__ymax").alias("y1")).first()
-    a, b = box(left), box(right)
-    x0 = y0 = x1 = y1 = 0.0
-    step, apart = 1.0, not a["n"] or not b["n"]
-    if not apart:
-        x0, y0, x1, y1 = max(a["x0"], b["x0"]), max(a["y0"], b["y0"]), min(a["x1"], b["x1"]), min(a["y1"], b["y1"])
-        apart = x1 < x0 or y1 < y0
-    if apart:  # nothing pairs
-        left, right = left.filter("false"), right.filter("false")
-    else:
-        inside = (F.col("__xmin") <= x1) & (F.col("__xmax") >= x0) & (F.col("__ymin") <= y1) & (F.col("__ymax") >= y0)
-        clip = {"__xmin": F.greatest("__xmin", F.lit(x0)), "__ymin": F.greatest("__ymin", F.lit(y0)), "__xmax": F.least("__xmax", F.lit(x1)), "__ymax": F.least("__ymax", F.lit(y1))}
-        left, right = left.filter(inside).withColumns(clip), right.filter(inside).withColumns(clip)
-        cells = max(1.0, (a["n"] + b["n"]) / ROWS_PER_CELL)
+@dataclass(frozen=True)
+class Grid:
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    step: float
+    levels: int
+
+    @staticmethod
+    def over(a: Extent, b: Extent) -> Grid | None:
+        """The grid of the common extent; None where there is none, so nothing pairs."""
+        x0, y0, x1, y1 = max(a.x0, b.x0), max(a.y0, b.y0), min(a.x1, b.x1), min(a.y1, b.y1)
+        if not a.n or not b.n or x1 < x0 or y1 < y0:
+            return None
+        cells = max(1.0, (a.n + b.n) / ROWS_PER_CELL)
         area = (x1 - x0) * (y1 - y0)
         step = math.sqrt(area / cells) if area > 0 else max(x1 - x0, y1 - y0, 1.0) / cells
-    # the top level is one cell, whatever the extent
-    levels = max(0, math.ceil(math.log2(max(x1 - x0, y1 - y0, step) / step))) + 1
-    own, other = (_levelled(df, x0, y0, step, levels) for df in (left, right))
-    used = own.select("__level").union(other.select("__level")).distinct().collect()  # at most ``levels`` + 1 rows
-    used = sorted(r[0] for r in used) or [0]
-    met = _celled(own, x0, y0, step, used).alias("l").join(_celled(other, x0, y0, step, used).alias("r"), (F.col("l.__at") == F.col("r.__at")) & (F.col("l.__gx") == F.col("r.__gx")) & (F.col("l.__gy") == F.col("r.__gy")))
-    size = step * F.pow(F.lit(2.0), F.col("l.__at"))
-    corner = lambda c, o: F.floor((F.greatest(F.col(f"l.__{c}min"), F.col(f"r.__{c}min")) - o) / size)
-    return met.filter(_overlap() & (F.col("l.__at") == F.greatest("l.__level", "r.__level")) & (corner("x", x0) == F.col("l.__gx")) & (corner("y", y0) == F.col("l.__gy")))
+        step = max(step, max(abs(x0), abs(x1), abs(y0), abs(y1)) * 2.0**-40)  # cell numbers stay exact
+        # the top level is one cell, whatever the extent
+        return Grid(x0, y0, x1, y1, step, max(0, math.ceil(math.log(max(x1 - x0, y1 - y0, step) / step, FACTOR))) + 1)
+
+    def clipped(self, df: DataFrame, p: str) -> DataFrame:
+        """Rows that reach into the extent, their boxes cut to it, with their own level."""
+        c = lambda n: F.col(p + n)
+        df = df.filter((c("xmin") <= self.x1) & (c("xmax") >= self.x0) & (c("ymin") <= self.y1) & (c("ymax") >= self.y0))
+        df = df.withColumns({p + "xmin": F.greatest(c("xmin"), F.lit(self.x0)), p + "ymin": F.greatest(c("ymin"), F.lit(self.y0)), p + "xmax": F.least(c("xmax"), F.lit(self.x1)), p + "ymax": F.least(c("ymax"), F.lit(self.y1))})
+        level = F.lit(self.levels)
+        for k in range(self.levels - 1, -1, -1):
+            size = self.step * FACTOR**k
+            along = [F.floor((c(n + "max") - o) / size) - F.floor((c(n + "min") - o) / size) + 1 for n, o in (("x", self.x0), ("y", self.y0))]
+            level = F.when(along[0] * along[1] <= MAX_CELLS, F.lit(k)).otherwise(level)
+        return df.withColumn(p + "level", level.cast("int"))
+
+    def size(self, level: Column) -> Column:
+        return self.step * F.pow(F.lit(FACTOR), level)
+
+    def celled(self, df: DataFrame, p: str, others: list[int], own: int) -> DataFrame:
+        """A row for each cell: the row's own, with role ``own``, and those on levels that the other side uses, with the
+        other role. Role 0 is met by the left side in its own cells, with right rows up to its level; role 1 by the right
+        side, with left rows below its level."""
+        least = F.col(p + "level") + int(own == 0)  # a left row below a right one's level goes up to it, not one beside it
+        up = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda k: k >= least)
+        places = F.concat(F.array(F.struct(F.lit(own).alias("role"), F.col(p + "level").alias("at"))), F.transform(up, lambda k: F.struct(F.lit(1 - own).alias("role"), k.alias("at"))))
+        df = df.withColumn(p + "place", F.explode(places)).withColumns({p + "role": F.col(f"{p}place.role"), p + "at": F.col(f"{p}place.at")}).drop(p + "place")
+        size = self.size(F.col(p + "at"))
+        along = lambda n, o: F.sequence(F.floor((F.col(f"{p}{n}min") - o) / size).cast("long"), F.floor((F.col(f"{p}{n}max") - o) / size).cast("long"))
+        return df.withColumn(p + "gx", F.explode(along("x", self.x0))).withColumn(p + "gy", F.explode(along("y", self.y0)))
+
+    def in_corner(self, p: str) -> Column:
+        """Whether a pair's cell holds the lower left corner of the boxes' common part."""
+        size = self.size(F.col(f"l.{p}at"))
+        corner = lambda c, o: F.floor((F.greatest(F.col(f"l.{p}{c}min"), F.col(f"r.{p}{c}min")) - o) / size)
+        return (corner("x", self.x0) == F.col(f"l.{p}gx")) & (corner("y", self.y0) == F.col(f"l.{p}gy"))
+
+
+KEY = ("role", "at", "gx", "gy")
+
+
+def _levels(df: DataFrame, p: str) -> list[int]:
+    return sorted(r[0] for r in df.select(p + "level").distinct().collect())  # a few dozen rows at most
+
+
+def _cut(left: DataFrame, right: DataFrame, p: str, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides' cell rows with salts for cells that are heavy on either side, and the salts' names."""
+    heavy = max(HEAVY, rows // HEAVY_CELLS)
+    names = [p + k for k in KEY]
+    counts = [df.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select(*names, F.ceil(F.col("n") / heavy).cast("int").alias(salts)) for df, salts in ((left, "ls"), (right, "rs"))]
+    found = {}
+    for frame, at in zip(counts, (0, 1), strict=True):
+        for r in frame.collect():  # rows / heavy at most
+            found.setdefault(tuple(r)[:4], [1, 1])[at] = r[4]
+    if not found:
+        return left, right, []
+    listed = left.sparkSession.createDataFrame([(*k, *v) for k, v in found.items()], ", ".join(f"{n} {t}" for n, t in zip(names, ("int", "int", "long", "long"), strict=True)) + f", {p}ls int, {p}rs int")
+
+    def salted(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.join(F.broadcast(listed), names, "left")
+        n, m = F.coalesce(p + own, F.lit(1)), F.coalesce(p + other, F.lit(1))
+        df = df.withColumns({p + "s_" + own: F.floor(F.rand(7) * n).cast("int"), p + "s_" + other: F.explode(F.sequence(F.lit(0), m - 1))})
+        return df.drop(p + own, p + other)
+
+    return salted(left, "ls", "rs"), salted(right, "rs", "ls"), [p + "s_ls", p + "s_rs"]
+
+
+def _pairs_by_grid(left: DataFrame, right: DataFrame, p: str, a: Extent, b: Extent, near: str | None = None) -> DataFrame:
+    """Pairs (l.*, r.*) with overlapping boxes, each once. ``near`` names a side to broadcast (l or r)."""
+    grid = Grid.over(a, b)
+    if grid is None:
+        return left.filter("false").alias("l").join(right.filter("false").alias("r"), overlap(p))
+    left, right = grid.clipped(left, p), grid.clipped(right, p)
+    levels = _levels(left, p), _levels(right, p)
+    left, right, salts = grid.celled(left, p, levels[1], 0), grid.celled(right, p, levels[0], 1), []
+    if near is None:
+        left, right, salts = _cut(left, right, p, a.n + b.n)
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*(p + k for k in KEY), *salts)]
+    left, right = (F.broadcast(df) if side == near else df for df, side in ((left, "l"), (right, "r")))
+    return left.alias("l").join(right.alias("r"), reduce(and_, same) & overlap(p) & grid.in_corner(p))
 
 
 def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: Relation | Distance | str, how: str = "inner", residual: Column | None = None, suffix: str = "_right", grid: bool | None = None) -> DataFrame:
     """Join on a spatial predicate.
 
     Right columns whose names the left has get ``suffix``. ``residual`` speaks of the output's column names. ``grid``
-    forces one of the two ways. Mark joins add a boolean column ``mark``; right semi, anti and mark joins return the right
-    side's rows."""
+    forces (true) or forbids (false) the grid. Mark joins add a boolean column ``mark``; right semi, anti and mark joins
+    return the right side's rows."""
     spark = left.sparkSession
     predicate = Relation(predicate.lower().removeprefix("st_").replace("_", "")) if isinstance(predicate, str) else predicate
     ensure(spark, functions_of(predicate))
     if how not in HOWS:
         raise ValueError(f"how: one of {', '.join(HOWS)}")
-    renamed = {c: c + suffix if c in left.columns else c for c in right.columns}
+    taken = {c.lower() for c in left.columns}
+    renamed = {c: c + suffix if c.lower() in taken else c for c in right.columns}
     out_right = right.withColumnsRenamed(renamed)
     right_geom = renamed[right_geom]
     within = None
     if isinstance(predicate, Distance):
-        within = F.lit(float(predicate.within)) if isinstance(predicate.within, (int, float)) else F.col(predicate.within if predicate.side == "left" else renamed[predicate.within])
+        within = F.lit(float(predicate.within)) if isinstance(predicate.within, (int, float)) else F.col(quote(predicate.within if predicate.side == "left" else renamed[predicate.within]))
     grow_left = within if isinstance(predicate, Distance) and predicate.side == "left" else None
     grow_right = within if isinstance(predicate, Distance) and predicate.side != "left" else None
 
-    use_grid = not (_small(left) or _small(right)) if grid is None else grid
-    exact = _exact(predicate, F.col(left_geom), F.col(right_geom), within)
+    p = own_prefix(left, out_right)
+    exact = _exact(predicate, F.col(quote(left_geom)), F.col(quote(right_geom)), within)
     full = exact if residual is None else exact & residual
-    a, b = _boxed(left, left_geom, grow_left), _boxed(out_right, right_geom, grow_right)
-    mine, yours = left.columns, list(renamed.values())
+    a, b = boxed(left, left_geom, grow_left, p), boxed(out_right, right_geom, grow_right, p)
+    mine, yours = [quote(c) for c in left.columns], [quote(c) for c in renamed.values()]
+    has = F.col(p + "xmin").isNotNull()
+    near, use_grid = ("r" if small(right) else "l" if small(left) else None), grid
+    extents = None
+    if grid is None:
+        use_grid = near is None
+        if near is not None and (n := Extent.of(b if near == "r" else a, p)).n > LOOP:
+            use_grid, extents = True, (Extent.of(a, p), n) if near == "r" else (n, Extent.of(b, p))
     if not use_grid and how not in ("left_mark", "right_mark"):
         if how.startswith("right_"):
-            near = F.broadcast(a).alias("l") if _small(left) else a.alias("l")
-            return b.alias("r").join(near, _overlap() & full, "left" + how[5:]).select(*yours)
-        near = F.broadcast(b) if _small(right) else b
-        far = F.broadcast(a) if not _small(right) and _small(left) and how in ("inner", "right") else a
-        joined = far.alias("l").join(near.alias("r"), _overlap() & full, how)
+            close = F.broadcast(a).alias("l") if small(left) else a.alias("l")
+            return b.alias("r").join(close, overlap(p) & full, "left" + how[5:]).select(*yours)
+        close = F.broadcast(b) if near == "r" else b
+        far = F.broadcast(a) if near == "l" and how in ("inner", "right") else a
+        joined = far.alias("l").join(close.alias("r"), overlap(p) & full, how)
         return joined.select(*mine) if how in ("left_semi", "left_anti") else joined.select(*mine, *yours)
 
     from geostrata.plans.staging import numbered
 
     if how != "inner":  # the others join back on row ids
-        a, b = numbered(a, "__lid"), numbered(b, "__rid")
-    has = F.col("__xmin").isNotNull()
-    met = _pairs_by_grid(a.filter(has), b.filter(has)) if use_grid else a.filter(has).alias("l").join(b.filter(has).alias("r"), _overlap())
+        a, b = numbered(a, p + "lid"), numbered(b, p + "rid")
+    if use_grid:
+        extents = extents or (Extent.of(a, p), Extent.of(b, p))
+        met = _pairs_by_grid(a.filter(has), b.filter(has), p, *extents, near if how == "inner" and grid is None else None)
+    else:
+        met = a.filter(has).alias("l").join(b.filter(has).alias("r"), overlap(p))
     met = met.filter(full)
     if how == "inner":
         return met.select(*(F.col(f"l.{c}") for c in mine), *(F.col(f"r.{c}") for c in yours))
-    pairs = met.select("__lid", "__rid")
+    lid, rid, mark = p + "lid", p + "rid", "mark"
+    pairs = met.select(lid, rid)
     if how in ("left_semi", "left_anti"):
-        return a.join(pairs.select("__lid").distinct(), "__lid", how).select(*mine)
+        return a.join(pairs.select(lid).distinct(), lid, how).select(*mine)
     if how in ("right_semi", "right_anti"):
-        return b.join(pairs.select("__rid").distinct(), "__rid", "left" + how[5:]).select(*yours)
+        return b.join(pairs.select(rid).distinct(), rid, "left" + how[5:]).select(*yours)
     if how in ("left_mark", "right_mark"):
-        side, key, cols = (a, "__lid", mine) if how == "left_mark" else (b, "__rid", yours)
-        marked = side.join(pairs.select(key).distinct().withColumn("mark", F.lit(True)), key, "left")
-        return marked.select(*cols, F.coalesce("mark", F.lit(False)).alias("mark"))
+        side, key, cols = (a, lid, mine) if how == "left_mark" else (b, rid, yours)
+        marked = side.join(pairs.select(key).distinct().withColumn(p + mark, F.lit(True)), key, "left")
+        return marked.select(*cols, F.coalesce(p + mark, F.lit(False)).alias(mark))
     outer = {"left": ("left", "left"), "right": ("inner", "right"), "full": ("left", "full")}[how]
-    return a.join(pairs, "__lid", outer[0]).join(b, "__rid", outer[1]).select(*mine, *yours)
+    return a.join(pairs, lid, outer[0]).join(b, rid, outer[1]).select(*mine, *yours)

@@ -15,7 +15,8 @@ _add = COMPAT.add
 _add("gcd(bigint, bigint) -> bigint", "aggregate(sequence(1, 93), named_struct('x', abs(a), 'y', abs(b)), (s, i) -> CASE WHEN s.y = 0 THEN s ELSE named_struct('x', s.y, 'y', s.x % s.y) END, s -> s.x)")
 _add("lcm(bigint, bigint) -> bigint", "CASE WHEN a = 0 OR b = 0 THEN 0 ELSE abs(a) DIV aggregate(sequence(1, 93), named_struct('x', abs(a), 'y', abs(b)), (s, i) -> CASE WHEN s.y = 0 THEN s ELSE named_struct('x', s.y, 'y', s.x % s.y) END, s -> s.x) * abs(b) END")
 _add("iszero(double) -> boolean", "a = 0")
-_add("truncate(double, bigint = 0) -> double", "sign(a) * floor(abs(a) * pow(10, coalesce(b, 0))) / pow(10, coalesce(b, 0))")
+# a product within two units of an integer is that integer: 0.29 * 100 is not 28
+_add("truncate(double, bigint = 0) -> double", "CASE WHEN abs(a) >= 4503599627370496D OR isnan(a) THEN a WHEN abs(a * pow(10, coalesce(b, 0)) - rint(a * pow(10, coalesce(b, 0)))) <= abs(a * pow(10, coalesce(b, 0))) * 4.5E-16D THEN rint(a * pow(10, coalesce(b, 0))) / pow(10, coalesce(b, 0)) ELSE sign(a) * floor(abs(a) * pow(10, coalesce(b, 0))) / pow(10, coalesce(b, 0)) END")
 _add("log_base(double, double) -> double", "ln(b) / ln(a)")
 # strings
 _add("to_hex(bigint) -> string", "lower(hex(a))")
@@ -31,13 +32,43 @@ _add("digest(binary, string) -> binary", "CASE lower(b) WHEN 'md5' THEN unhex(md
 for _bits in (224, 256, 384, 512):
     _add(f"sha{_bits}(binary) -> binary", f"unhex(sha2(a, {_bits}))")
 _add("string_to_array(string, string, string = NULL) -> list<string>", "transform(split(a, concat('\\\\Q', b, '\\\\E')), x -> CASE WHEN x = c THEN NULL ELSE x END)")
-_add("similar_to(string, string) -> boolean", "a RLIKE concat('^(?:', replace(replace(b, '%', '.*'), '_', '.'), ')$')")
+
+
+def similar_pattern(pattern: Column) -> Column:
+    """A SIMILAR TO pattern as a regular expression of the whole text: % and _ are wildcards, | * + ? { } ( ) [ ] work as in
+    regular expressions, a backslash takes a character's meaning away, and all else stands for itself."""
+    plain = F.regexp_replace(pattern, r"(?<!\\)((?<!\[)\^|[.$])", r"\\$1")
+    wild = F.regexp_replace(F.regexp_replace(plain, r"(?<!\\)%", ".*"), r"(?<!\\)_", ".")
+    return F.concat(F.lit("(?s)\\A(?:"), wild, F.lit(")\\z"))
+
+
+_add("pg_similar(string) -> string", similar_pattern)
+_add("similar_to(string, string) -> boolean", lambda a, b: F.regexp_like(a, similar_pattern(b)))
 _add("ilike(string, string) -> boolean", "lower(a) LIKE lower(b)")
 # regular expressions
-_add("regexp_match(string, string, string = '') -> list<string>", "CASE WHEN a RLIKE concat(CASE WHEN contains(coalesce(c, ''), 'i') THEN '(?i)' ELSE '' END, b) THEN array(regexp_extract(a, concat(CASE WHEN contains(coalesce(c, ''), 'i') THEN '(?i)' ELSE '' END, CASE WHEN b RLIKE '(?<!\\\\\\\\)\\\\((?!\\\\?)' THEN b ELSE concat('(', b, ')') END), 1)) END")
+# the groups of the first match, or the match itself where the pattern has none; a group that took no part is empty
+_WHOLE = "concat(CASE WHEN contains(coalesce(c, ''), 'i') THEN '(?i)' ELSE '' END, '(', b, ')')"
+_GROUPS = r"size(regexp_extract_all(regexp_replace(b, r'\\.|\[\^?\]?[^\]]*\]', ''), r'\((?!\?)|\(\?<[A-Za-z]', 0))"
+_add("regexp_match(string, string, string = '') -> list<string>", f"CASE WHEN a RLIKE {_WHOLE} THEN transform(sequence(least({_GROUPS}, 1), {_GROUPS}), i -> regexp_extract(a, {_WHOLE}, i + 1)) END")
 _add("pg_regexp_replace(string, string, string, string = '') -> string", "CASE WHEN contains(coalesce(d, ''), 'g') THEN regexp_replace(a, concat(CASE WHEN contains(d, 'i') THEN '(?i)' ELSE '' END, b), c) ELSE regexp_replace(a, concat(CASE WHEN contains(coalesce(d, ''), 'i') THEN '(?is)' ELSE '(?s)' END, '^(.*?)', '(?:', b, ')'), concat('$1', c)) END")
 # dates and times
-_add("date_bin(string, timestamp, timestamp = TIMESTAMP'1970-01-01 00:00:00') -> timestamp", "timestamp_micros(unix_micros(c) + CAST(floor((unix_micros(b) - unix_micros(c)) / (extract(DAY FROM CAST(a AS INTERVAL)) * 86400000000 + extract(HOUR FROM CAST(a AS INTERVAL)) * 3600000000 + extract(MINUTE FROM CAST(a AS INTERVAL)) * 60000000 + CAST(extract(SECOND FROM CAST(a AS INTERVAL)) * 1000000 AS BIGINT))) AS BIGINT) * (extract(DAY FROM CAST(a AS INTERVAL)) * 86400000000 + extract(HOUR FROM CAST(a AS INTERVAL)) * 3600000000 + extract(MINUTE FROM CAST(a AS INTERVAL)) * 60000000 + CAST(extract(SECOND FROM CAST(a AS INTERVAL)) * 1000000 AS BIGINT)))")
+
+
+def date_bin() -> str:
+    """The start of the bin that holds a time; bins of months keep the origin's day and time. A stride of months and days
+    together, and one of nothing, raise an error."""
+    unit = lambda u: f"extract({u} FROM CAST(a AS INTERVAL))"
+    months = f"({unit('YEAR')} * 12 + {unit('MONTH')})"
+    micros = f"({unit('DAY')} * 86400000000 + {unit('HOUR')} * 3600000000 + {unit('MINUTE')} * 60000000 + CAST({unit('SECOND')} * 1000000 AS BIGINT))"
+    apart = "((year(b) - year(c)) * 12 + month(b) - month(c))"
+    apart = f"({apart} - CASE WHEN c + make_ym_interval(0, {apart}) > b THEN 1 ELSE 0 END)"
+    by_month = f"c + make_ym_interval(0, CAST(floor({apart} / {months}) * {months} AS INT))"
+    by_time = f"timestamp_micros(unix_micros(c) + CAST(floor((unix_micros(b) - unix_micros(c)) / {micros}) AS BIGINT) * {micros})"
+    wrong = "CAST(raise_error(concat('date_bin: stride ', a)) AS TIMESTAMP)"
+    return f"CASE WHEN {months} > 0 AND {micros} = 0 THEN {by_month} WHEN {months} = 0 AND {micros} > 0 THEN {by_time} ELSE {wrong} END"
+
+
+_add("date_bin(string, timestamp, timestamp = TIMESTAMP'1970-01-01 00:00:00') -> timestamp", "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN " + date_bin() + " END")
 _add("pg_date_part(string, timestamp) -> double", "CASE lower(a) WHEN 'dow' THEN dayofweek(b) - 1 WHEN 'isodow' THEN weekday(b) + 1 WHEN 'doy' THEN dayofyear(b) WHEN 'year' THEN year(b) WHEN 'quarter' THEN quarter(b) WHEN 'month' THEN month(b) WHEN 'week' THEN weekofyear(b) WHEN 'day' THEN day(b) WHEN 'hour' THEN hour(b) WHEN 'minute' THEN minute(b) WHEN 'second' THEN CAST(unix_micros(b) % 60000000 AS DOUBLE) / 1000000 WHEN 'epoch' THEN CAST(unix_micros(b) AS DOUBLE) / 1000000 END")
 _add("to_timestamp_seconds(bigint) -> timestamp", "timestamp_seconds(a)")
 _add("to_timestamp_millis(bigint) -> timestamp", "timestamp_millis(a)")
@@ -45,7 +76,13 @@ _add("to_timestamp_micros(bigint) -> timestamp", "timestamp_micros(a)")
 _add("to_timestamp_nanos(bigint) -> timestamp", "timestamp_micros(a DIV 1000)")
 _add("to_unixtime(timestamp) -> bigint", "unix_timestamp(a)")
 _add("to_local_time(timestamp) -> string", "date_format(a, 'yyyy-MM-dd HH:mm:ss')")
-_add("strftime_to_char(timestamp, string) -> string", "date_format(a, replace(replace(replace(replace(replace(replace(b, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'))")
+
+# Arrow's names of types and Spark's.
+ARROW_TYPES = {
+    "boolean": "BOOLEAN", "int8": "TINYINT", "int16": "SMALLINT", "int32": "INT", "int64": "BIGINT", "uint8": "SMALLINT", "uint16": "INT", "uint32": "BIGINT", "uint64": "DECIMAL(20, 0)", "float16": "FLOAT", "float32": "FLOAT", "float64": "DOUBLE",
+    "utf8": "STRING", "largeutf8": "STRING", "utf8view": "STRING", "binary": "BINARY", "largebinary": "BINARY", "binaryview": "BINARY", "date32": "DATE", "date64": "DATE",
+    "timestamp(second,none)": "TIMESTAMP_NTZ", "timestamp(millisecond,none)": "TIMESTAMP_NTZ", "timestamp(microsecond,none)": "TIMESTAMP_NTZ", "timestamp(nanosecond,none)": "TIMESTAMP_NTZ",
+}
 
 #: Names in SQL text that Spark spells otherwise; arguments are the same.
 RENAMED = {
@@ -93,6 +130,15 @@ MACROS = {
     ("trunc", 1): "truncate({0})",
     ("trunc", 2): "truncate({0}, {1})",
     ("log", 1): "log10({0})",
+    ("array_slice", 4): "transform(filter(transform(slice({0}, greatest(" + _PLACE + ", 1), greatest(least(" + _PLACE.replace("{1}", "{2}") + ", size({0})) - greatest(" + _PLACE + ", 1) + 1, 0)), (x, i) -> struct(x AS x, i AS i)), s -> s.i % {3} = 0), s -> s.x)",
+    ("array_any_value", 1): "try_element_at(filter({0}, x -> x IS NOT NULL), 1)",
+    ("list_any_value", 1): "try_element_at(filter({0}, x -> x IS NOT NULL), 1)",
+    ("array_upper", 2): "CASE WHEN {1} < 1 THEN NULL WHEN {1} = 1 THEN CAST(size({0}) AS BIGINT) WHEN {1} > 1 THEN CAST(raise_error('array_upper: only dimension 1') AS BIGINT) END",
+    ("generate_series", 2): "CASE WHEN {0} <= {1} THEN sequence({0}, {1}) ELSE slice(array({0}), 1, 0) END",
+    ("__range", 1): "CASE WHEN {0} > 0 THEN sequence(0, {0} - 1) ELSE slice(array({0}), 1, 0) END",
+    ("__range", 2): "CASE WHEN {0} < {1} THEN sequence({0}, {1} - 1) ELSE slice(array({0}), 1, 0) END",
+    ("__range", 3): "filter(CASE WHEN ({1} - {0}) * {2} > 0 THEN sequence({0}, {1}, {2}) ELSE slice(array({0}), 1, 0) END, x -> x <> {1})",
+    ("approx_percentile_cont_with_weight", 3): "percentile({0}, {2}, CAST({1} AS BIGINT))",
 }
 
 

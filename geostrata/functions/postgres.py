@@ -63,6 +63,5 @@ POSTGRES.add("current_schemas(boolean) -> list<string>", "CASE WHEN a THEN array
 POSTGRES.add("format_type(bigint, bigint = NULL) -> string", _format_type())
 POSTGRES.add("pg_get_expr(string, bigint = NULL, boolean = NULL) -> string", "''")
 POSTGRES.add("pg_get_partkeydef(string) -> string", "''")
-# of the first dimension only: NULL below it, an error above it
-for _kind in ("string",):
-    POSTGRES.add(f"array_upper(list<{_kind}>, bigint) -> bigint", "CASE WHEN b < 1 THEN NULL WHEN b = 1 THEN CAST(size(a) AS BIGINT) WHEN b > 1 THEN CAST(raise_error('array_upper: only dimension 1') AS BIGINT) END")
+# of the first dimension only: NULL below it, an error above it; SQL text takes arrays of any kind (compat.MACROS)
+POSTGRES.add("array_upper(list<string>, bigint) -> bigint", "CASE WHEN b < 1 THEN NULL WHEN b = 1 THEN CAST(size(a) AS BIGINT) WHEN b > 1 THEN CAST(raise_error('array_upper: only dimension 1') AS BIGINT) END")

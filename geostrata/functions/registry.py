@@ -7,7 +7,7 @@
 A signature names argument types and, for trailing optional arguments, default literals. An argument marked
 ``strict`` (the rule) makes the result NULL where it is NULL; ``type?`` lets the function see the NULL. Functions
 become temporary SQL functions: types coerce, names are case-insensitive, optional arguments may be left out. Several
-signatures under one name are overloads by number of arguments."""
+signatures under one name are overloads by number of arguments; overloads by types alone are refused."""
 
 from __future__ import annotations
 
@@ -100,16 +100,18 @@ class Registry:
         own = self.functions.setdefault(fn.signature.name.lower(), [])
         if own and own[0].signature.result != fn.signature.result:
             raise SignatureError(f"{fn.signature.name}: overloads must have one result type")
-        if any(len(o.signature.arguments) == len(fn.signature.arguments) for o in own):
-            own[:] = [o for o in own if len(o.signature.arguments) != len(fn.signature.arguments)]
-        own.append(fn)
+        same = [o for o in own if len(o.signature.arguments) == len(fn.signature.arguments)]
+        if any([a.type for a in o.signature.arguments] != [a.type for a in fn.signature.arguments] for o in same):
+            raise SignatureError(f"{fn.signature.name}: overloads differ in the number of arguments, not in types alone: SQL functions coerce their arguments")
+        own[:] = [o for o in own if o not in same] + [fn]  # a function of the same types is replaced
         return fn
 
-    def function(self, text: str) -> Callable:
-        """Decorator: register a function of Columns under a signature; repeat it for overloads."""
+    def function(self, *texts: str) -> Callable:
+        """Decorator: register a function of Columns under one signature, or under several as overloads."""
 
         def wrap(f: Callable[..., Column]) -> Callable[..., Column]:
-            self.add(text, f, f.__doc__ or "")
+            for text in texts:
+                self.add(text, f, f.__doc__ or "")
             return f
 
         return wrap

@@ -29,7 +29,7 @@ SAME = {
     "scan_filter_project": "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 300000 AND o_orderstatus IN ('F', 'O') AND o_orderpriority LIKE '1%'",
     "filter_predicates": "SELECT count(*) AS n, sum(CASE WHEN c_acctbal IS NOT DISTINCT FROM NULL THEN 1 ELSE 0 END) AS d FROM customer WHERE c_acctbal BETWEEN -500 AND 5000 AND c_mktsegment NOT IN ('BUILDING') AND (c_name LIKE '%1' OR NOT c_name LIKE '%2%') AND (c_acctbal > 0) IS NOT FALSE",
     "values_rows": "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b)",
-    "cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 5",
+    "cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_inner": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000 GROUP BY c_custkey",
     "join_right": "SELECT p_partkey, l_orderkey FROM lineitem RIGHT JOIN part ON l_partkey = p_partkey AND l_quantity = 50",
@@ -56,6 +56,7 @@ SAME = {
     "window_distribution": "SELECT o_orderkey, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)",
     "window_offsets": "SELECT o_orderkey, lag(o_orderkey, 1, -1) OVER w AS a, lead(o_orderkey, 2) OVER w AS b, first_value(o_orderkey) OVER w AS c, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d, nth_value(o_orderkey, 2) OVER w AS e FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "window_frames": "SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 200 PRECEDING AND CURRENT ROW) AS a FROM orders",
+    "window_groups": "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders WHERE o_totalprice > 1000",
     "sort_nulls": "SELECT c_custkey, nullif(c_nationkey, 7) AS k FROM customer ORDER BY k DESC NULLS LAST, c_custkey LIMIT 30",
     "limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10",
     "union_all": "SELECT n_nationkey AS k FROM nation UNION ALL SELECT s_nationkey AS k FROM supplier",
@@ -67,6 +68,10 @@ SAME = {
     "distinct": "SELECT DISTINCT p_brand, p_size FROM part",
     "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey",
     "qualify": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
+    "qualify_in_queries": "WITH dear AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) = 1) SELECT o_custkey AS k, o_orderkey AS v FROM dear UNION ALL SELECT k, v FROM (SELECT c_nationkey AS k, c_custkey AS v FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) QUALIFY row_number() OVER w = 1) x",
+    "distinct_on_in_queries": "WITH firsts AS (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice, o_orderkey) SELECT c_custkey, o_orderkey FROM customer LEFT JOIN firsts ON c_custkey = o_custkey",
+    "filter_ilike": "SELECT p_partkey FROM part WHERE p_brand ILIKE 'bRAND#1%' AND NOT p_name ILIKE '%A%'",
+    "array_agg_order": "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_name DESC), '|') AS names FROM nation GROUP BY n_regionkey",
     "subquery_scalar": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM orders)",
     "subquery_correlated": "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT max(l_extendedprice) / 60 FROM lineitem WHERE l_partkey = p_partkey)",
     "cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT count(*) AS n, round(max(t), 2) AS m FROM big WHERE t > 500000",
@@ -77,12 +82,19 @@ SAME = {
 }
 #: name: (engine's statement, DuckDB's statement).
 PAIRS = {
-    "unnest": ("SELECT vec_id, explode(slice(embedding, 1, 3)) AS e FROM embeddings", "SELECT vec_id, unnest(embedding[1:3]) AS e FROM embeddings"),
-    "unnest_position": ("SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 4)) AS pos, x WHERE vec_id < 50", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 5) r(i) WHERE vec_id < 50"),
-    "generate_series": ("SELECT CAST(i AS BIGINT) AS i FROM (SELECT explode(sequence(1, 100, 7)) AS i)", "SELECT CAST(i AS BIGINT) AS i FROM generate_series(1, 100, 7) g(i)"),
+    "unnest": ("SELECT vec_id, e FROM embeddings, UNNEST(embedding) AS u(e)", "SELECT vec_id, unnest(embedding) AS e FROM embeddings"),
+    "unnest_select": ("SELECT event_id, UNNEST(string_to_array(event_type, 'e')) AS part FROM events", "SELECT event_id, unnest(string_split(event_type, 'e')) AS part FROM events"),
+    "unnest_position": ("SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM embeddings CROSS JOIN UNNEST(embedding) WITH ORDINALITY AS u(x, pos)", "SELECT vec_id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"),
+    "generate_series": ("SELECT n_nationkey, CAST(i AS BIGINT) AS i FROM nation, generate_series(1, n_nationkey, 7) AS g(i)", "SELECT n_nationkey, i FROM nation, generate_series(1, n_nationkey, 7) g(i)"),
     "range_function": ("SELECT id FROM range(5, 25, 5)", "SELECT range AS id FROM range(5, 25, 5)"),
-    "agg_approx_distinct": ("SELECT abs(approx_distinct(o_custkey) - count(DISTINCT o_custkey)) < 0.15 * count(DISTINCT o_custkey) AS near FROM orders", "SELECT true AS near"),
-    "agg_approx_percentile": ("SELECT abs(approx_percentile_cont(l_quantity, 0.5) - median(l_quantity)) <= 1 AS near FROM lineitem", "SELECT true AS near"),
+    "similar_to": ("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|3)_' AND p_name NOT SIMILAR TO '%(a|e)%'", "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|3).' AND NOT p_name SIMILAR TO '.*(a|e).*'"),
+    "extract_dow": ("SELECT o_orderkey, EXTRACT(dow FROM o_orderdate) AS d, EXTRACT(isodow FROM o_orderdate) AS i FROM orders", "SELECT o_orderkey, CAST(EXTRACT(dow FROM o_orderdate) AS INTEGER) AS d, CAST(EXTRACT(isodow FROM o_orderdate) AS INTEGER) AS i FROM orders"),
+    "agg_ordered": ("SELECT o_custkey, first_value(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS dear, last_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS late FROM orders GROUP BY o_custkey", "SELECT o_custkey, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS dear, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS late FROM orders GROUP BY o_custkey"),
+    "join_merge": ("SELECT /*+ MERGE(orders) */ c_nationkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey", "SELECT c_nationkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey"),
+    "repartition": ("SELECT /*+ REPARTITION(7, o_custkey) */ o_custkey, o_orderkey FROM orders", "SELECT o_custkey, o_orderkey FROM orders"),
+    "agg_approx_distinct": ("SELECT count(DISTINCT o_custkey) AS n, abs(approx_distinct(o_custkey) - count(DISTINCT o_custkey)) < 0.15 * count(DISTINCT o_custkey) AS near FROM orders", "SELECT count(DISTINCT o_custkey) AS n, abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) < 0.4 * count(DISTINCT o_custkey) AS near FROM orders"),
+    "agg_approx_percentile": ("SELECT median(l_quantity) AS m, abs(approx_percentile_cont(l_quantity, 0.5) - median(l_quantity)) <= 1 AS near, abs(approx_percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) - median(l_quantity)) <= 1 AS close FROM lineitem", "SELECT median(l_quantity) AS m, abs(approx_quantile(l_quantity, 0.5) - median(l_quantity)) <= 2 AS near, abs(approx_quantile(l_quantity, 0.5) - median(l_quantity)) <= 2 AS close FROM lineitem"),
+    "agg_weighted_percentile": ("SELECT approx_percentile_cont_with_weight(l_quantity, l_linenumber, 0.5) AS q FROM lineitem", "SELECT quantile_cont(l_quantity, 0.5) AS q FROM lineitem, range(l_linenumber)"),
     "agg_percentile": ("SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity) AS q FROM lineitem", "SELECT quantile_cont(l_quantity, 0.25) AS q FROM lineitem"),
     "agg_string": ("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "agg_array": ("SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), '|') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
@@ -120,10 +132,9 @@ def left_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.join(spark.table("customer"), spark.table("orders").filter("o_totalprice > 300000"), F.expr("c_custkey = o_custkey"), "left_mark").select("c_custkey", "mark")
 
 
-def skewed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events joined to themselves by a hot key through salted partial counts: no pair is made."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "user_id")
-    return R.salted_count(events, ["event_type"], "n")
+def hot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type, counted through salted partial counts."""
+    return R.salted_count(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type"), ["event_type"], "n")
 
 
 def external_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,31 +149,35 @@ def prepared_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that executors see: under spark.checkpoint.dir where that is a file system path, else a temporary one."""
+    """A new folder that executors see: under spark.checkpoint.dir where that is a file system path; on one machine a
+    temporary one will do."""
     base = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if not base.startswith("/") and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return tempfile.mkdtemp(prefix="geostrata-", dir=base if base.startswith("/") and os.path.isdir(base) else None)
 
 
 def sqlite_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sqlite_scan over a file with the nation table (25 rows); the filter runs in SQLite."""
-    path = f"{_scratch(spark)}/nation.sqlite"
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    """sqlite_scan over a file with the customer table, which is streamed into it; the filter runs in SQLite."""
+    path = f"{_scratch(spark)}/customer.sqlite"
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
     with sqlite3.connect(path) as c:
-        c.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
-        c.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
-    return sql(spark, f"SELECT n_name, n_regionkey FROM sqlite_scan('{path}', 'nation') WHERE n_nationkey > 10")
+        c.execute("CREATE TABLE customer (c_custkey INTEGER, c_name TEXT, c_acctbal REAL)")
+        c.executemany("INSERT INTO customer VALUES (?, ?, ?)", map(tuple, rows.toLocalIterator()))
+    return sql(spark, f"SELECT c_custkey, c_name FROM sqlite_scan('{path}', 'customer') WHERE c_acctbal > 1000.5")
 
 
 def duckdb_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """duckdb_scan over a file with the nation table (25 rows)."""
+    """duckdb_scan over a view of a file's table."""
     import duckdb
 
     path = f"{_scratch(spark)}/nation.duckdb"
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    rows = map(tuple, spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").toLocalIterator())
     with duckdb.connect(path) as c:
         c.execute("CREATE TABLE nation (n_nationkey BIGINT, n_name VARCHAR, n_regionkey BIGINT)")
         c.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
-    return sql(spark, f"SELECT n_regionkey, count(*) AS n FROM duckdb_scan('{path}', 'main', 'nation') WHERE n_nationkey < 20 GROUP BY n_regionkey")
+        c.execute("CREATE VIEW named AS SELECT n_regionkey, n_nationkey FROM nation WHERE n_name IS NOT NULL")
+    return sql(spark, f"SELECT n_regionkey, count(*) AS n FROM duckdb_scan('{path}', 'main', 'named') WHERE n_nationkey < 20 GROUP BY n_regionkey")
 
 
 def ddl_dml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +201,7 @@ def user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CODE = {
-    "scan_sqlite": (sqlite_table, "SELECT n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation WHERE n_nationkey > 10"),
+    "scan_sqlite": (sqlite_table, "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 1000.5"),
     "scan_duckdb": (duckdb_table, "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 20 GROUP BY n_regionkey"),
     "ddl_dml": (ddl_dml, "SELECT * FROM (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT r_regionkey + 100, r_name FROM region) WHERE n_nationkey > 2"),
     "user_function": (user_function, "SELECT p_partkey, round(p_retailprice * 1.1, 4) AS a, round(p_retailprice * 1.5, 4) AS b, true AS c FROM part"),
@@ -194,7 +209,7 @@ CODE = {
     "join_right_semi": (right_semi, "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9500)"),
     "join_right_anti": (right_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "join_left_mark": (left_mark, "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS mark FROM customer"),
-    "salted_count": (skewed_join, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
+    "salted_count": (hot_counts, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
     "external_table": (external_table, "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus"),
     "prepared_statement": (prepared_statement, "SELECT n_name FROM nation WHERE n_regionkey = 2 AND n_nationkey > 5"),
 }

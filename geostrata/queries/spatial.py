@@ -19,7 +19,7 @@ PAIRS = {
     "st_coordinates": (f"SELECT p_partkey, ST_X({POINT}) AS x, ST_Y({POINT}) AS y, ST_XMin({BOX}) AS a, ST_XMax({BOX}) AS b, ST_YMin({BOX}) AS c, ST_YMax({BOX}) AS d, ST_X({BOX}) AS e FROM part", "SELECT p_partkey, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y, 0.0::DOUBLE AS a, CAST(p_size AS DOUBLE) AS b, 0.0::DOUBLE AS c, p_retailprice AS d, NULL::DOUBLE AS e FROM part"),
     "st_area_length": (f"SELECT p_partkey, round(ST_Area({BOX}), 4) AS a, round(ST_Length({BOX}), 4) AS l, ST_Area({POINT}) AS z FROM part", "SELECT p_partkey, round(p_size * p_retailprice, 4) AS a, round(2 * (p_size + p_retailprice), 4) AS l, 0.0::DOUBLE AS z FROM part"),
     "st_text": ("SELECT p_partkey, ST_AsText(ST_MakePoint(p_partkey, p_size)) AS t, ST_AsEWKT(ST_SetSRID(ST_MakePoint(p_partkey, p_size), 4326)) AS e, ST_AsText(ST_GeomFromText(concat('LINESTRING(0 0,', p_size, ' 1)'))) AS l FROM part", "SELECT p_partkey, 'POINT (' || p_partkey || ' ' || p_size || ')' AS t, 'SRID=4326;POINT (' || p_partkey || ' ' || p_size || ')' AS e, 'LINESTRING (0 0, ' || p_size || ' 1)' AS l FROM part"),
-    "st_geojson": ("SELECT p_partkey, ST_AsGeoJSON(ST_MakePoint(p_partkey, p_size)) AS j, ST_AsText(ST_GeomFromGeoJSON(concat('{\"type\":\"Point\",\"coordinates\":[', p_size, ',1]}'))) AS t FROM part WHERE p_partkey < 1000000", "SELECT p_partkey, '{\"type\":\"Point\",\"coordinates\":[' || p_partkey || '.0,' || p_size || '.0]}' AS j, 'POINT (' || p_size || ' 1)' AS t FROM part WHERE p_partkey < 1000000"),
+    "st_geojson": ("SELECT p_partkey, ST_AsGeoJSON(ST_MakePoint(p_size, p_size / 2)) AS j, ST_AsText(ST_GeomFromGeoJSON(concat('{\"type\":\"Point\",\"coordinates\":[', p_size, ',1]}'))) AS t FROM part", "SELECT p_partkey, '{\"type\":\"Point\",\"coordinates\":[' || p_size || '.0,' || CAST(p_size / 2 AS VARCHAR) || ']}' AS j, 'POINT (' || p_size || ' 1)' AS t FROM part"),
     "st_round_trips": ("SELECT p_partkey, ST_AsEWKT(ST_GeomFromWKB(ST_MakePoint(p_size, 1), 4269)) AS a, ST_AsEWKT(ST_GeomFromEWKB(ST_SetSRID(ST_MakePoint(p_size, 2), 7))) AS b, ST_AsEWKT(ST_GeomFromEWKT(concat('srid = 4326 ;POINT(', p_size, ' 3)'))) AS c, ST_SRID(ST_GeomFromText('POINT(1 2)', 4326)) AS d, ST_SRID(ST_MakePoint(1, 2)) AS e, ST_GeomFromText('nonsense') IS NULL AS f FROM part", "SELECT p_partkey, 'SRID=4269;POINT (' || p_size || ' 1)' AS a, 'SRID=7;POINT (' || p_size || ' 2)' AS b, 'SRID=4326;POINT (' || p_size || ' 3)' AS c, CAST(4326 AS BIGINT) AS d, CAST(NULL AS BIGINT) AS e, true AS f FROM part"),
     "st_types_counts": (f"SELECT p_partkey, ST_GeometryType({POINT}) AS a, ST_GeometryType({BOX}) AS b, ST_NPoints({BOX}) AS c, ST_NumPoints({BOX}) AS d, ST_NumPoints(ST_GeomFromText('LINESTRING(0 0,1 1,2 2)')) AS e, ST_IsEmpty({POINT}) AS f, ST_IsValid({BOX}) AS g, ST_IsEmpty(ST_GeomFromText('POLYGON EMPTY')) AS h FROM part", "SELECT p_partkey, 'Point' AS a, 'Polygon' AS b, CAST(5 AS BIGINT) AS c, CAST(NULL AS BIGINT) AS d, CAST(3 AS BIGINT) AS e, false AS f, true AS g, true AS h FROM part"),
     "st_centroid_envelope": (f"SELECT p_partkey, round(ST_X(ST_Centroid({BOX})), 6) AS x, round(ST_Y(ST_Centroid({BOX})), 4) AS y, ST_AsText(ST_Envelope(ST_MakePoint(p_size, 1))) AS e, ST_GeometryType(ST_Boundary({BOX})) AS b, round(ST_Area(ST_ConvexHull({BOX})), 4) AS h, ST_AsText(ST_Envelope(ST_GeomFromText(concat('LINESTRING(0 0,', p_size, ' 3)')))) AS l FROM part", "SELECT p_partkey, round(p_size / 2, 6) AS x, round(p_retailprice / 2, 4) AS y, 'POINT (' || p_size || ' 1)' AS e, 'LineString' AS b, round(p_size * p_retailprice, 4) AS h, 'POLYGON ((0 0, ' || p_size || ' 0, ' || p_size || ' 3, 0 3, 0 0))' AS l FROM part"),
@@ -44,11 +44,15 @@ PAIRS = {
     "st_null_contract": ("SELECT p_partkey, ST_Area(NULL) IS NULL AS a, ST_Buffer(ST_MakePoint(1, 1), 1, NULL) IS NOT NULL AS b, ST_Contains(ST_MakePoint(1, 1), NULL) IS NULL AS c, ST_AsText(X'00') IS NULL AS d, ST_Split(ST_MakePoint(0, 0), ST_MakePoint(0, 0)) IS NULL AS e FROM part", "SELECT p_partkey, true AS a, true AS b, true AS c, true AS d, true AS e FROM part"),
     "st_join_in_sql": ("SELECT s_suppkey, count(*) AS n FROM supplier JOIN customer ON ST_Covers(ST_MakeEnvelope(s_acctbal - 500, -1, s_acctbal + 500, 30), ST_MakePoint(c_acctbal, c_nationkey)) GROUP BY s_suppkey", "SELECT s_suppkey, count(*) AS n FROM supplier JOIN customer ON c_acctbal >= s_acctbal - 500 AND c_acctbal <= s_acctbal + 500 AND c_nationkey BETWEEN -1 AND 30 GROUP BY s_suppkey"),
     "st_left_join_in_sql": ("SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN customer ON ST_DWithin(ST_MakePoint(s_acctbal, s_nationkey), ST_MakePoint(c_acctbal, c_nationkey), 3) AND c_custkey > s_suppkey", "SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN customer ON sqrt(pow(s_acctbal - c_acctbal, 2) + pow(s_nationkey - c_nationkey, 2)) <= 3 AND c_custkey > s_suppkey"),
+    "st_joins_in_sql": (
+        "SELECT s_suppkey, count(*) AS n, min(r_name) AS r FROM supplier s JOIN customer c ON ST_Distance(ST_MakePoint(s_acctbal, s_nationkey), ST_MakePoint(c.c_acctbal, c.c_nationkey)) < s.s_nationkey + 5 AND c_acctbal > 0 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey IN (SELECT q.s_suppkey FROM supplier q JOIN customer d ON ST_DWithin(ST_MakePoint(q.s_acctbal, 0), ST_MakePoint(d.c_acctbal, 0), 1.5)) GROUP BY s_suppkey",
+        "SELECT s_suppkey, count(*) AS n, min(r_name) AS r FROM supplier s JOIN customer c ON sqrt(pow(s_acctbal - c_acctbal, 2) + pow(s_nationkey - c_nationkey, 2)) < s_nationkey + 5 AND c_acctbal > 0 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE EXISTS (SELECT 1 FROM customer d WHERE abs(s.s_acctbal - d.c_acctbal) <= 1.5) GROUP BY s_suppkey",
+    ),
 }
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey", S.call("ST_MakePoint", F.col("c_acctbal"), F.col("c_nationkey") * 400.0).alias("g"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment", S.call("ST_MakePoint", F.col("c_acctbal"), F.col("c_nationkey") * 400.0).alias("g"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,14 +76,14 @@ JOINS = {
     "spatial_join_inner": (_join("inner", Relation("covers")), f"SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON {_COVERS}"),
     "spatial_join_contains": (_join("inner", Relation("contains")), f"SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON {_STRICT}"),
     "spatial_join_intersects_loop": (_join("inner", Relation("intersects"), grid=False), f"SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON {_COVERS}"),
-    "spatial_join_left": (_join("left", Relation("covers"), "c_custkey % 7 = 0"), f"SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN customer ON {_COVERS} AND c_custkey % 7 = 0"),
+    "spatial_join_left": (_join("left", Relation("covers"), "c_acctbal > 0"), f"SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN customer ON {_COVERS} AND c_acctbal > 0"),
     "spatial_join_right": (_join("right", Relation("covers")), f"SELECT s_suppkey, c_custkey FROM supplier RIGHT JOIN customer ON {_COVERS}"),
-    "spatial_join_full": (_join("full", Relation("covers"), "c_custkey % 5 = 0"), f"SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON {_COVERS} AND c_custkey % 5 = 0"),
-    "spatial_join_semi": (_join("left_semi", Relation("covers"), "c_custkey % 50 = 0"), f"SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE {_COVERS} AND c_custkey % 50 = 0)"),
-    "spatial_join_anti": (_join("left_anti", Relation("covers"), "c_custkey % 50 = 0"), f"SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE {_COVERS} AND c_custkey % 50 = 0)"),
+    "spatial_join_full": (_join("full", Relation("covers"), "c_mktsegment <> 'BUILDING'"), f"SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON {_COVERS} AND c_mktsegment <> 'BUILDING'"),
+    "spatial_join_semi": (_join("left_semi", Relation("covers"), "c_acctbal > 9000"), f"SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE {_COVERS} AND c_acctbal > 9000)"),
+    "spatial_join_anti": (_join("left_anti", Relation("covers"), "c_acctbal > 9000"), f"SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE {_COVERS} AND c_acctbal > 9000)"),
     "spatial_join_right_semi": (_join("right_semi", Relation("covers")), f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE {_COVERS})"),
     "spatial_join_right_anti": (_join("right_anti", Relation("covers")), f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE {_COVERS})"),
-    "spatial_join_mark": (_join("left_mark", Relation("covers"), "c_custkey % 50 = 0"), f"SELECT s_suppkey, EXISTS (SELECT 1 FROM customer WHERE {_COVERS} AND c_custkey % 50 = 0) AS mark FROM supplier"),
+    "spatial_join_mark": (_join("left_mark", Relation("covers"), "c_acctbal > 9000"), f"SELECT s_suppkey, EXISTS (SELECT 1 FROM customer WHERE {_COVERS} AND c_acctbal > 9000) AS mark FROM supplier"),
     "spatial_join_dwithin": (_join("inner", Distance(250.0, side="right")), f"SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON {_FAR} <= 250"),
     "spatial_join_distance": (_join("inner", Distance(100.0, strict=True)), f"SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON {_FAR} < 100"),
 }

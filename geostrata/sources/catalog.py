@@ -38,19 +38,27 @@ TABLES = {f.__name__: f for f in (pg_type, pg_namespace, pg_database, pg_class,
 PUBLIC_ONLY = {"pg_database"}
 
 
+def _listed(spark: SparkSession) -> list[tuple[str, str, str]]:
+    """(schema, name, kind) of every table of every database, and of the temporary views, which count as public."""
+    out = [("public", t.name, "VIEW") for t in spark.catalog.listTables() if not t.namespace]
+    for db in spark.catalog.listDatabases():
+        out += [(db.name, t.name, "VIEW" if t.tableType == "VIEW" else "BASE TABLE") for t in spark.catalog.listTables(db.name) if t.namespace]
+    return out
+
+
 def tables(spark: SparkSession) -> DataFrame:
     """information_schema.tables over the current catalog: names only, no data is read."""
-    rows = [("spark_catalog", t.namespace[0] if t.namespace else "public", t.name, "VIEW" if t.tableType in ("VIEW", "TEMPORARY") else "BASE TABLE") for t in spark.catalog.listTables()]
+    rows = [("spark_catalog", *r) for r in _listed(spark)]
     return spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, table_type string")
 
 
 def columns(spark: SparkSession) -> DataFrame:
     """information_schema.columns over the current catalog."""
-    rows = []
-    for t in spark.catalog.listTables():
-        schema = t.namespace[0] if t.namespace else "public"
-        for i, f in enumerate(spark.table(f"`{schema}`.`{t.name}`" if t.namespace else f"`{t.name}`").schema.fields):
-            rows.append(("spark_catalog", schema, t.name, f.name, i + 1, "YES" if f.nullable else "NO", f.dataType.simpleString()))
+    rows, temporary = [], {t.name for t in spark.catalog.listTables() if not t.namespace}
+    for schema, name, _ in _listed(spark):
+        own = f"`{name}`" if schema == "public" and name in temporary else f"`{schema}`.`{name}`"
+        for i, f in enumerate(spark.table(own).schema.fields):
+            rows.append(("spark_catalog", schema, name, f.name, i + 1, "YES" if f.nullable else "NO", f.dataType.simpleString()))
     return spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, is_nullable string, data_type string")
 
 
@@ -60,10 +68,3 @@ def schemata(spark: SparkSession) -> DataFrame:
 
 
 INFORMATION = {"tables": tables, "columns": columns, "schemata": schemata}
-
-
-def register(spark: SparkSession) -> None:
-    """Catalog tables as temporary views. Qualified names (pg_catalog.x, public.x, information_schema.x) are resolved
-    by plans.sql, as temporary views have no schema."""
-    for name, make in TABLES.items():
-        make(spark).createOrReplaceTempView(name)

@@ -2,8 +2,10 @@
 
 DuckDB and SQLite files are read by Python data sources (spark.read.format("geostrata_duckdb" / "geostrata_sqlite"))
 that push columns and simple filters into the other database and split a table over tasks by row ids, so no table
-passes through the driver; PostgreSQL and MySQL go through Spark's JDBC source, with its push-down. Arguments beyond
-those named are ignored. Paths must be reachable by the executors."""
+passes through the driver; what has no row ids (a view, a table WITHOUT ROWID, one with columns of that name) is read by
+one task. PostgreSQL and MySQL go through Spark's JDBC source, with its push-down; their driver jars are the user's to add
+(spark.jars), and without them the scan fails with Spark's own error. Arguments beyond those named are ignored. Paths must
+be reachable by the executors."""
 
 from __future__ import annotations
 
@@ -16,6 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from geostrata.plans.staging import ship
+
 
 class ScanError(ValueError):
     """Arguments that a scan cannot use."""
@@ -26,7 +30,9 @@ def quoted(name: str) -> str:
 
 
 class _Part(InputPartition):
-    def __init__(self, low: int, high: int):
+    """Row ids from low to high; all rows where they are None."""
+
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
@@ -52,15 +58,18 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        low, high = self.bounds()
+        found = self.bounds()
+        if found is None:
+            return [_Part(None, None)]
+        low, high = found
         n = max(1, int(self.options.get("numpartitions", 8)))
         step = max(1, -(-(high - low + 1) // n))
         return [_Part(i, min(i + step - 1, high)) for i in range(low, high + 1, step)] or [_Part(0, -1)]
 
     def statement(self, part: _Part) -> tuple[str, list]:
         columns = ", ".join(quoted(f.name) for f in self.schema.fields)
-        where = " AND ".join([f"rowid BETWEEN {part.low} AND {part.high}", *self.where])
-        return f"SELECT {columns} FROM {self.table()} WHERE {where}", self.values
+        where = [*([] if part.low is None else [f"rowid BETWEEN {part.low} AND {part.high}"]), *self.where]
+        return f"SELECT {columns or '1'} FROM {self.table()}" + (f" WHERE {' AND '.join(where)}" if where else ""), self.values
 
 
 class DuckDBReader(_Reader):
@@ -72,16 +81,25 @@ class DuckDBReader(_Reader):
     def table(self) -> str:
         return f"{quoted(self.options.get('schema', 'main'))}.{quoted(self.options['table'])}"
 
-    def bounds(self) -> tuple[int, int]:
+    def bounds(self) -> tuple[int, int] | None:
+        import duckdb
+
         with self.connect() as c:
-            low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {self.table()}").fetchone()
-        return (0, -1) if low is None else (low, high)
+            columns = {r[0].lower() for r in c.execute(f"DESCRIBE SELECT * FROM {self.table()}").fetchall()}
+            try:
+                low, high = (None, None) if "rowid" in columns else c.execute(f"SELECT min(rowid), max(rowid) FROM {self.table()}").fetchone()
+            except duckdb.Error:
+                return None
+        return None if "rowid" in columns else (0, -1) if low is None else (low, high)
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         sql, values = self.statement(partition)
         want = to_arrow_schema(self.schema)
         with self.connect() as c:
-            for batch in c.execute(sql, values).to_arrow_reader(8192):
+            for batch in c.sql(sql, params=values).to_arrow_reader(8192):
+                if not len(want):
+                    yield pa.RecordBatch.from_struct_array(pa.array([{}] * batch.num_rows, pa.struct([])))
+                    continue
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(batch.columns, want, strict=True)], schema=want)
 
 
@@ -93,7 +111,7 @@ class DuckDBSource(DataSource):
     def schema(self) -> T.StructType:
         reader = DuckDBReader(self.options, T.StructType())
         with reader.connect() as c:
-            return from_arrow_schema(c.execute(f"SELECT * FROM {reader.table()} LIMIT 0").to_arrow_reader(1).schema)
+            return from_arrow_schema(c.sql(f"SELECT * FROM {reader.table()} LIMIT 0").to_arrow_reader(1).schema)
 
     def reader(self, schema: T.StructType) -> DuckDBReader:
         return DuckDBReader(self.options, schema)
@@ -108,10 +126,18 @@ class SQLiteReader(_Reader):
     def table(self) -> str:
         return quoted(self.options["table"])
 
-    def bounds(self) -> tuple[int, int]:
+    def bounds(self) -> tuple[int, int] | None:
+        import sqlite3
+
         c = self.connect()
         try:
+            kind = c.execute("SELECT type FROM sqlite_master WHERE lower(name) = lower(?)", [self.options["table"]]).fetchone()
+            columns = {r[1].lower() for r in c.execute(f"PRAGMA table_info({self.table()})")}
+            if kind is None or kind[0] != "table" or "rowid" in columns:
+                return None
             low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {self.table()}").fetchone()
+        except sqlite3.OperationalError:  # no row ids
+            return None
         finally:
             c.close()
         return (0, -1) if low is None else (low, high)
@@ -217,6 +243,8 @@ SCANS = {f.__name__: f for f in (duckdb_scan, sqlite_scan, postgres_scan, mysql_
 
 
 def register(spark: SparkSession) -> None:
+    """Register the data sources, and send this package to the executors, where their readers run."""
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DuckDBSource)
     spark.dataSource.register(SQLiteSource)

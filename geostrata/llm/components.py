@@ -25,14 +25,23 @@ HUB, HUBS = 500, 20_000
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
+    """Edges, different b, and a checksum."""
+    return tuple(edges.agg(F.count("*"), F.countDistinct("b"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
+
+
+def _stars(edges: DataFrame, mark: tuple) -> bool:
+    """Whether every node is either a centre or tied to one centre: nothing is left to do."""
+    return mark[0] == mark[1] and not edges.join(edges.select(F.col("b").alias("c")), F.col("a") == F.col("c"), "left_semi").take(1)
 
 
 def _told(edges: DataFrame, least: DataFrame, key: str, hub: int) -> DataFrame:
-    """edges with m, the least of their key."""
-    few = F.broadcast(least.filter(F.col("n") > hub).select(key, "m"))
-    most = edges.join(few.select(key), key, "left_anti").join(least.filter(F.col("n") <= hub).select(key, "m"), key)
-    return edges.join(few, key).select("a", "b", "m").union(most.select("a", "b", "m"))
+    """edges with m, the least of their key. Edges of hubs are told by broadcast and go on under keys of their own, so that
+    the shuffle spreads them."""
+    few = F.broadcast(least.filter(F.col("n") > hub).select(F.col(key).alias("of"), F.col("m").alias("told")))
+    spread = F.when(F.col("told").isNull(), F.col(key)).otherwise(F.xxhash64("a", "b"))
+    e = edges.join(few, F.col(key) == F.col("of"), "left").select("a", "b", "told", spread.alias("to"))
+    rest = least.filter(F.col("n") <= hub).select(F.col(key).alias("to"), "m")
+    return e.join(rest, "to", "left").select("a", "b", F.coalesce("told", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame, hub: int) -> DataFrame:
@@ -54,7 +63,7 @@ def connected_components(links: DataFrame, folder: str, name: str) -> DataFrame:
     edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = common.staged(edges, folder, f"{name}-0")
     before, step = _mark(edges), 0
-    while before[0]:
+    while before[0] and not _stars(edges, before):
         step += 1
         hub = max(HUB, 2 * before[0] // HUBS)
         edges = common.staged(_small_star(_large_star(edges, hub), hub), folder, f"{name}-{step}")

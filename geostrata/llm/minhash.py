@@ -349,12 +349,24 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 def _dealt(marked: DataFrame, queries: DataFrame, payload: list[str], side: int, n: int) -> DataFrame:
     """Members (g, id, label, query, ..) and queries (g, id, label, ..) of groups g, dealt to cells of about ``side`` of
     each; the rows of a cell are neighbours."""
-    sizes = marked.groupBy("g").agg(F.ceil(F.count("*") / side).cast("int").alias("cs")).join(queries.groupBy("g").agg(F.ceil(F.count("*") / side).cast("int").alias("qs")), "g")
+    count = lambda df, name, rows: df.groupBy("g").agg(F.ceil(F.count("*") / side).cast("int").alias(name), F.count("*").alias(rows))
+    sizes = count(marked, "cs", "m").join(count(queries, "qs", "k"), "g").withColumn("m", F.col("m") + F.col("k")).drop("k")
+    heavy = max(4 * side, marked.count() // 10_000)  # so that at most some 10,000 groups of 16 bytes are broadcast
     part = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     cols = ["g", "id", "label", *payload]
-    left = marked.join(sizes, "g").select(*cols, F.lit(False).alias("query"), part("cs", 1).alias("c"), every("qs").alias("q"))
-    right = queries.join(sizes, "g").select(*cols, F.lit(True).alias("query"), part("qs", 2).alias("q"), every("cs").alias("c"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        """Rows with their group's numbers of cells; those of large groups get them by broadcast and are spread."""
+        large = F.broadcast(sizes.filter(F.col("m") > heavy).select(F.col("g").alias("of"), F.col("cs").alias("c1"), F.col("qs").alias("q1")))
+        to = F.when(F.col("c1").isNull(), F.col("g")).otherwise(F.xxhash64("id", "g"))
+        told = df.join(large, F.col("g") == F.col("of"), "left").withColumn("to", to)
+        small = sizes.filter(F.col("m") <= heavy).select(F.col("g").alias("to"), "cs", "qs")
+        both = told.join(small, "to", "left").withColumns({"cs": F.coalesce("c1", "cs"), "qs": F.coalesce("q1", "qs")})
+        return both.filter("qs is not null")
+
+    left = sized(marked).select(*cols, F.lit(False).alias("query"), part("cs", 1).alias("c"), every("qs").alias("q"))
+    right = sized(queries).select(*cols, F.lit(True).alias("query"), part("qs", 2).alias("q"), every("cs").alias("c"))
     cells = left.unionByName(right).withColumn("cell", F.xxhash64("g", "c", "q"))
     return cells.repartitionByRange(n, "cell").sortWithinPartitions("cell", "g", "c", "q", "query", "id").select("cell", "g", "c", "q", "id", "label", "query", *payload)
 

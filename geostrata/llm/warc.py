@@ -3,11 +3,12 @@
 Records are gzip members of their own (so that a range of bytes is a record), written in the order in which tasks
 read them, without a shuffle; a task begins a new file after FILE_BYTES. A file's leaves are its ordered offset ranges: the hash of a range
 covers its bounds and its bytes as they are on disk, so damage to headers is found like damage to payloads. Leaves
-pair up to a tree for each file (one row with all its node hashes), and the roots of the files, in order, to a
-root of the replica. An audit compares replica roots first; where they differ it compares file roots, and only of
-differing files the trees, level by level, below differing nodes only. What it returns are the ranges that differ.
+pair up to a tree for each file (one row with the hashes of all its nodes, by level), and the roots of the files, in
+order, to a root of the replica (one task for that: a row a file). An audit compares replica roots first; where they differ
+it compares file roots, and only of differing files the stored trees, level by level, below differing nodes only. What it
+returns are the ranges that differ.
 
-Cases: null url or html are written as empty; null ids have no id in results; repeated rows are
+Cases: null url or html are written as empty; a url that a header cannot hold as it is has its exact form in a header of its own; null ids have no id in results; repeated rows are
 records of their own; a missing or short file differs in all ranges that it lacks, bytes past the last range are a
 range of their own; an empty table gives no files and an empty result. Only the id, url and html columns are read.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,6 +31,7 @@ from geostrata.llm import common
 
 # Fixed values of the WARC format.
 VERSION, BREAK = b"WARC/1.1\r\n", b"\r\n"
+#: Date of records, unless write_warc is given another.
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "file string, seq long, id long, offset long, length long"
 HASH = 32
@@ -36,13 +39,14 @@ HASH = 32
 FILE_BYTES = 1 << 30
 
 
-def record(page_id: int | None, url: str | None, html: str | None, kind: str = "response") -> bytes:
+def record(page_id: int | None, url: str | None, html: str | None, kind: str = "response", date: str = DATE) -> bytes:
     """One WARC response record."""
+    plain = " ".join((url or "").split())
     payload = (html or "").encode("utf-8", "replace")
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}")
     head = {
-        "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": DATE, "WARC-Target-URI": " ".join((url or "").split()),
+        "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": date, "WARC-Target-URI": plain, **({"X-Url": json.dumps(url)} if url and url != plain else {}),
         "X-Page-Id": "" if page_id is None else str(page_id), "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}",
         "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(body)),
     }
@@ -67,6 +71,18 @@ def leaf(offset: int, data: bytes) -> bytes:
     return hashlib.sha256(b"\x00" + offset.to_bytes(8, "big") + len(data).to_bytes(8, "big") + data).digest()
 
 
+def _tail(f, offset: int) -> bytes:
+    """The leaf of all bytes from ``offset`` on, read piece by piece."""
+    size = f.size() - offset
+    digest = hashlib.sha256(b"\x00" + offset.to_bytes(8, "big") + size.to_bytes(8, "big"))
+    f.seek(offset)
+    while size > 0:
+        data = f.read(min(size, 1 << 20))
+        digest.update(data)
+        size -= len(data) or size
+    return digest.digest()
+
+
 def levels(leaves: list[bytes]) -> list[list[bytes]]:
     """Levels of a tree from its leaves to its root; an odd node goes up as it is."""
     out = [leaves or [hashlib.sha256(b"\x02").digest()]]
@@ -76,22 +92,24 @@ def levels(leaves: list[bytes]) -> list[list[bytes]]:
     return out
 
 
-def differing(a: list[list[bytes]], b: list[list[bytes]]) -> tuple[list[int], int]:
-    """Leaves that differ, and how many node pairs were compared on the way."""
-    if len(a[0]) != len(b[0]):
-        wide = max(len(a[0]), len(b[0]))
-        return [i for i in range(wide) if i >= len(a[0]) or i >= len(b[0]) or a[0][i] != b[0][i]], wide
+def differing(a: list[bytes], b: list[bytes]) -> tuple[list[int], int]:
+    """Leaves that differ, and how many node pairs were compared on the way. Trees are their levels' hashes in a row, the
+    leaves first."""
+    same = lambda level, i: a[level][i * HASH : (i + 1) * HASH] == b[level][i * HASH : (i + 1) * HASH]
+    if not a or not b or len(a[0]) != len(b[0]):
+        wide = max((len(x[0]) // HASH for x in (a, b) if x), default=0)
+        return [i for i in range(wide) if not a or not b or (i + 1) * HASH > min(len(a[0]), len(b[0])) or not same(0, i)], wide
     todo, compared = [0], 0
     for level in range(len(a) - 1, -1, -1):
         compared += len(todo)
-        bad = [i for i in todo if a[level][i] != b[level][i]]
+        bad = [i for i in todo if not same(level, i)]
         if not level:
             return bad, compared
-        todo = [j for i in bad for j in (2 * i, 2 * i + 1) if j < len(a[level - 1])]
+        todo = [j for i in bad for j in (2 * i, 2 * i + 1) if j < len(a[level - 1]) // HASH]
     return [], compared
 
 
-def _write(folder: str):
+def _write(folder: str, date: str):
     kinds = (pa.string(), *[pa.int64()] * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +126,7 @@ def _write(folder: str):
                         where.create_dir(base, recursive=True)
                         name, at, seq = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = where.open_output_stream(f"{base}/{name}", compression=None)
-                    data = gzip.compress(record(i, url, html), 6, mtime=0)
+                    data = gzip.compress(record(i, url, html, date=date), 6, mtime=0)
                     out.write(data)
                     rows.append((name, seq, i, at, len(data)))
                     at += len(data)
@@ -120,11 +138,11 @@ def _write(folder: str):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """Write pages as WARC files under folder/files and return their index (file, seq, id, offset, length)."""
     common.ship(pages.sparkSession)
     plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return common.staged(plain.mapInArrow(_write(f"{folder}/files"), INDEX), folder, "index")
+    return common.staged(plain.mapInArrow(_write(f"{folder}/files", date), INDEX), folder, "index")
 
 
 def _dealt(index: DataFrame) -> DataFrame:
@@ -169,7 +187,8 @@ def copy_replica(index: DataFrame, source: str, target: str, fault: Callable[[in
 
 
 def trees(index: DataFrame, folder: str, name: str = "trees") -> DataFrame:
-    """(file, root, leaves): root and leaf hashes of every file's tree, as they are on disk now. A row a file."""
+    """(file, root, levels): every file's tree, as the file is on disk now: each level's hashes in a row, the leaves first.
+    A missing file has no levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = fs.FileSystem.from_uri(f"{folder}/files")
@@ -182,11 +201,11 @@ def trees(index: DataFrame, folder: str, name: str = "trees") -> DataFrame:
                         leaves.append(leaf(r["offset"], f.read(r["length"])))
                     end = rows[-1]["offset"] + rows[-1]["length"]
                     if f.size() > end:
-                        f.seek(end)
-                        leaves.append(leaf(end, f.read()))
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([levels(leaves)[-1][0]], pa.binary()), pa.array([b"".join(leaves)], pa.binary())], ["file", "root", "leaves"])
+                        leaves.append(_tail(f, end))
+            tree = levels(leaves)
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([tree[-1][0]], pa.binary()), pa.array([[b"".join(x) for x in tree] if leaves else []], pa.list_(pa.binary()))], ["file", "root", "levels"])
 
-    return common.staged(_dealt(index).mapInArrow(run, "file string, root binary, leaves binary"), folder, name)
+    return common.staged(_dealt(index).mapInArrow(run, "file string, root binary, levels array<binary>"), folder, name)
 
 
 def replica_root(tree: DataFrame) -> bytes | None:
@@ -202,13 +221,12 @@ def audit(index: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
     if replica_root(one) == replica_root(two):
         return index.sparkSession.createDataFrame([], "file string, seq long, compared long")
     roots = one.select("file", F.col("root").alias("r1")).join(two.select("file", F.col("root").alias("r2")), "file", "full").filter(~F.col("r1").eqNullSafe(F.col("r2"))).select("file")
-    pairs = roots.join(one.select("file", F.col("leaves").alias("a")), "file", "left").join(two.select("file", F.col("leaves").alias("b")), "file", "left").select("file", "a", "b")
+    pairs = roots.join(one.select("file", F.col("levels").alias("a")), "file", "left").join(two.select("file", F.col("levels").alias("b")), "file", "left").select("file", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = lambda x: [x[i : i + HASH] for i in range(0, len(x or b""), HASH)]
         for batch in batches:
             for r in batch.to_pylist():
-                bad, compared = differing(levels(cut(r["a"])), levels(cut(r["b"])))
+                bad, compared = differing(r["a"] or [], r["b"] or [])
                 yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(bad), pa.string()), pa.array(bad, pa.int64()), pa.array(np.full(len(bad), compared), pa.int64())], ["file", "seq", "compared"])
 
     return pairs.mapInArrow(run, "file string, seq long, compared long")
@@ -226,7 +244,7 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
                     for r in own:
                         f.seek(r["offset"])
                         parsed.append(parse(f.read(r["length"])))
-                    cols = [[file] * len(own), [r["seq"] for r in own], [int(h["x-page-id"]) if h.get("x-page-id") else None for h, _ in parsed], [h.get("warc-target-uri", "") for h, _ in parsed], [p for _, p in parsed]]
+                    cols = [[file] * len(own), [r["seq"] for r in own], [int(h["x-page-id"]) if h.get("x-page-id") else None for h, _ in parsed], [json.loads(h["x-url"]) if "x-url" in h else h.get("warc-target-uri", "") for h, _ in parsed], [p for _, p in parsed]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["file", "seq", "id", "url", "payload"])
 
     return _dealt(index).mapInArrow(run, "file string, seq long, id long, url string, payload binary")

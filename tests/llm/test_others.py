@@ -150,7 +150,7 @@ def test_warc_audit(spark, tmp_path):
     records = {r["id"]: r for r in warc.read_warc(index, a).collect()}
     want = {r["page_id"]: r for r in pages.collect()}
     assert all(records[i]["payload"].decode() == w["html"] and records[i]["url"] == w["url"] for i, w in want.items())
-    assert records[None]["payload"] == b"" and records[7777]["url"] == "u v"
+    assert records[None]["payload"] == b"" and records[7777]["url"] == "u\nv"
     none = warc.write_warc(df.limit(0), f"file://{tmp_path}/c")
     assert none.count() == 0 and warc.read_warc(none, f"file://{tmp_path}/c").count() == 0
 
@@ -161,9 +161,10 @@ def test_trees():
         other = list(leaves)
         for i in range(0, n, 9):
             other[i] = b"x" * 32
-        bad, compared = warc.differing(warc.levels(leaves), warc.levels(other))
+        bad, compared = warc.differing(*([b"".join(x) for x in warc.levels(y)] for y in (leaves, other)))
         assert bad == list(range(0, n, 9))
-    assert warc.differing(warc.levels(leaves), warc.levels(leaves)) == ([], 1)
+    tree = [b"".join(x) for x in warc.levels(leaves)]
+    assert warc.differing(tree, tree) == ([], 1) and warc.differing(tree, []) == (list(range(100)), 100)
 
 
 # the pipeline

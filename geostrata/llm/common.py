@@ -6,27 +6,20 @@ import atexit
 import contextlib
 import ctypes
 import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
+from geostrata.plans.staging import checkpoint_dir, ship
+
+__all__ = ["ship"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one only where that setting is absent (tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="geostrata-")
-        sc.setCheckpointDir(base)
+    """A fresh folder under spark.checkpoint.dir; a local one only where that setting is absent and there is one machine."""
+    base, sc = checkpoint_dir(spark), spark.sparkContext
     if "://" not in base:  # as Hadoop would read it
         at = sc._jvm.org.apache.hadoop.fs.Path(base)
         root = at.getFileSystem(sc._jsc.hadoopConfiguration()).getUri().toString().rstrip("/")
@@ -80,20 +73,6 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers where neither PYTHONPATH nor the working folder holds it."""
-    roots = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
-    sc = spark.sparkContext
-    if str(ROOT) in roots or getattr(sc, "_geostrata_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="geostrata-zip-")) / "geostrata.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in (ROOT / "geostrata").rglob("*.py"):
-            z.write(p, p.relative_to(ROOT))
-    sc.addPyFile(str(archive))
-    sc._geostrata_shipped = True
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -104,6 +83,18 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_of(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -11,7 +11,8 @@ Runs of WINDOW words are as many as there are words; so only anchors, some 2 of
 a second reading makes the windows around those that occur twice and groups them.
 
 The digests are grouped with map-side partial minima: a very common passage costs one row for each task, and only
-(digest, first id) of units that occur twice come back, joined by digest; that join's hot keys are split by AQE.
+(digest, first id) of units that occur twice come back, joined by digest; that join's hot keys are split by AQE. Digests
+have 128 bits, so that equal ones mean equal units at any size; anchors, which only point at windows, have 64.
 
 Cases: a null or empty text has no units and stays as it is; rows repeated under one id count as one
 document and keep or lose the same; rows without an id are kept whole and take no part; an empty table gives an empty result; only
@@ -29,8 +30,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geostrata.llm import common
+from geostrata.llm.common import own_prefix, quote
 
 MIN_WORDS = 25
 #: Words of a window, and of an anchor: of the anchors of a window, the one of the least hash is sent.
@@ -39,7 +42,8 @@ FIRST, INNER, OVER, NEAR = 0, 1, 2, 3
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*(?:[.!?]+(?=\s|$)|\n|$)[^\S\n]*\n?")
 _NORMAL = re.compile(r"[\W_]+")
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_BASE2 = 0xC2B2AE3D27D4EB4F
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 @functools.cache
@@ -55,13 +59,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _sums(x: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+def _sums(x: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, base: int = _BASE) -> np.ndarray:
     """Digests of the parts of x from start to end, wherever they stand: rolling hashes modulo 2^64, mixed."""
-    global _powers
     n = len(x) + 1
-    if len(_powers[0]) < n:
-        _powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(max(n + n // 8, 1 << 16), b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 2**64)))
-    up, down = _powers
+    if base not in _powers or len(_powers[base][0]) < n:
+        _powers[base] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(max(n + n // 8, 1 << 16), b, np.uint64)]) for b in (base, pow(base, -1, 2**64)))
+    up, down = _powers[base]
     sums = np.zeros(n, np.uint64)
     np.cumsum(x * up[: n - 1], out=sums[1:])
     return _mixed((sums[end] - sums[start]) * down[:n][start])
@@ -76,9 +79,9 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2], _sums(x, edges[::2], edges[1::2])
 
 
-def rolled(x: np.ndarray, size: int) -> np.ndarray:
+def rolled(x: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     """The digest of each run of ``size`` words, of the words' digests."""
-    return _sums(x, slice(0, len(x) + 1 - size), slice(size, None)).view(np.int64) if len(x) >= size else np.empty(0, np.int64)
+    return _sums(x, slice(0, len(x) + 1 - size), slice(size, None), base).view(np.int64) if len(x) >= size else np.empty(0, np.int64)
 
 
 def _sliding(best: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
@@ -102,11 +105,12 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, x[at]
 
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, digest) of each run of WINDOW words of a text, from its first letter to its last."""
-    start, end, x = words(text)
-    x = rolled(x, WINDOW)
-    return start[: len(x)], end[WINDOW - 1 :][: len(x)], x
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, both halves of the digest) of each run of WINDOW words of a text, from its first letter to its last."""
+    start, end, own = words(text)
+    x = rolled(own, WINDOW)
+    y = rolled(_mixed(own ^ np.uint64(_BASE2)), WINDOW, _BASE2)
+    return start[: len(x)], end[WINDOW - 1 :][: len(x)], x, y
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -148,7 +152,7 @@ def _runs(text: str, min_words: int) -> list[tuple[int, int, int]]:
     out = []
     for i, end in sorted(found, key=lambda x: (x[0], -x[1])):
         body = " ".join(x for x in joined[i:end] if x)
-        out.append((spans[i][0], spans[end - 1][1], xxhash.xxh3_64_intdigest(body.encode("utf-8", "replace")) - 2**63))
+        out.append((spans[i][0], spans[end - 1][1], xxhash.xxh3_128_intdigest(body.encode("utf-8", "replace"))))
     return out
 
 
@@ -167,19 +171,21 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(start, end, digest) of the units of a text: its lines and paragraphs of any length, and each sentence with as
     many of the following as it takes to reach ``min_words`` words, and each run of WINDOW words; without those that
     overlap their like."""
-    every = zip(*(x.tolist() for x in windows(text)), strict=True)
+    start, end, x, y = (x.tolist() for x in windows(text))
+    every = zip(start, end, zip(x, y, strict=True), strict=True)
     return [(s, e, d) for found in (_runs(text, min_words), every) for s, e, d, state in _states(found) if state != OVER]
 
 
-_UNITS = "id long, start long, end long, digest long, state byte"
+_UNITS = "id long, start long, end long, digest long, digest2 long, state byte"
 
 
 def _batch(rows: list[tuple], more: list[tuple]) -> pa.RecordBatch:
-    """Rows of _UNITS, and more of them as columns."""
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = [np.int64] * 4 + [np.int8]
+    """Rows of _UNITS with one digest of 128 bits, and more of them as columns."""
+    rows = [(i, s, e, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, state) for i, s, e, d, state in rows]
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = [np.int64] * 5 + [np.int8]
     cols = [np.concatenate([np.array(c, k), *(x[i] for x in more)]) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "start", "end", "digest", "state"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "start", "end", "digest", "digest2", "state"])
 
 
 def _digests(min_words: int):
@@ -193,16 +199,16 @@ def _digests(min_words: int):
                     text = text.as_py() or ""
                     rows += ((doc_id, *x) for x in _states(_runs(text, min_words)))
                     word, digest = anchors(text)
-                    more.append((np.full(len(word), doc_id), word, word, digest, np.full(len(word), NEAR, np.int8)))
+                    more.append((np.full(len(word), doc_id), word, word, digest, np.zeros(len(word), np.int64), np.full(len(word), NEAR, np.int8)))
                 yield _batch(rows, more)
 
     return run
 
 
 def _candidates(text: str, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, end, digest, state) of the windows around anchors that occur twice. Those inside one unit that goes are
+    """(start, end, digests, state) of the windows around anchors that occur twice. Those inside one unit that goes are
     left out: they go with it, and its earliest occurrence holds them too."""
-    start, end, digest = windows(text)
+    start, end, digest, digest2 = windows(text)
     near = np.zeros(len(start) + WINDOW, np.int64)
     at = first[kind == NEAR]
     np.add.at(near, np.maximum(at - (WINDOW - ANCHOR), 0), 1)
@@ -214,11 +220,12 @@ def _candidates(text: str, first: np.ndarray, last: np.ndarray, kind: np.ndarray
         s, e = first[order], last[order]
         at = np.searchsorted(s, start, "right") - 1
         use &= (at < 0) | (np.maximum.accumulate(e)[at] < end)
-    start, end, digest = start[use], end[use], digest[use]
+    start, end, digest, digest2 = start[use], end[use], digest[use], digest2[use]
     state = np.zeros(len(start), np.int8)
     if len(np.unique(digest)) < len(digest):
-        state = np.array([x[3] for x in _states(zip(start.tolist(), end.tolist(), digest.tolist(), strict=True))], np.int8)
-    return start, end, digest, state
+        both = zip(digest.tolist(), digest2.tolist(), strict=True)
+        state = np.array([x[3] for x in _states(zip(start.tolist(), end.tolist(), both, strict=True))], np.int8)
+    return start, end, digest, digest2, state
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +243,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_spans(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, start, end): code-point spans of units that occurred before, at a smaller (id, start)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    plain = docs.select(F.col(quote(id_col)).cast("long").alias("id"), F.col(quote(text_col)).cast("string").alias("text")).filter("id is not null")
     found = common.staged(plain.mapInArrow(common.tidy(_digests(min_words)), _UNITS), folder, "units")
     again = _again(found, folder, "again")
     hits = common.staged(_hits(found, again), folder, "hits")
@@ -247,15 +254,15 @@ def duplicate_spans(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
 
 
 def _again(found: DataFrame, folder: str, name: str) -> DataFrame:
-    """(digest, first id) of units in two documents, and of anchors in two places."""
+    """(digests, first id) of units in two documents, and of anchors in two places."""
     firsts = found.filter(F.col("state").isin(FIRST, NEAR))
-    return common.staged(firsts.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "first"), folder, name)
+    return common.staged(firsts.groupBy("digest", "digest2").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "digest2", "first"), folder, name)
 
 
 def _hits(found: DataFrame, again: DataFrame) -> DataFrame:
     """(id, start, end, state) of units that occurred before, and of anchors that occur twice."""
     own = found.filter(F.col("state") == INNER).select("id", "start", "end", "state")
-    met = found.filter(F.col("state") != INNER).join(again, "digest").filter((F.col("state") == NEAR) | (F.col("id") > F.col("first")))
+    met = found.filter(F.col("state") != INNER).join(again, ["digest", "digest2"]).filter((F.col("state") == NEAR) | (F.col("id") > F.col("first")))
     return met.select("id", "start", "end", "state").union(own)
 
 
@@ -279,18 +286,18 @@ def _merged(spans: pa.ListScalar) -> list[tuple[int, int]]:
     return list(zip(start[at].tolist(), upto[np.r_[at[1:], len(end)] - 1].tolist(), strict=True))
 
 
-def _rewrite(text_at: int, columns: int):
+def _rewrite(text_at: int, names: list[str], clean: str, kept_name: str):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kept = [], []
-            for text, spans in zip(batch.column(text_at), batch.column(columns), strict=True):
+            for text, spans in zip(batch.column(text_at), batch.column(len(names)), strict=True):
                 text = text.as_py()
-                clean, own = (None, []) if text is None else _cut(text, _merged(spans) if spans.is_valid else [])
-                texts.append(clean)
+                rest, own = (None, []) if text is None else _cut(text, _merged(spans) if spans.is_valid else [])
+                texts.append(rest)
                 kept.append([{"start": s, "end": e} for s, e in own])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(texts, pa.string()), pa.array(kept, kind)], [*batch.schema.names[:columns], "__clean", "__kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array(kept, kind)], [*names, clean, kept_name])
 
     return run
 
@@ -298,25 +305,28 @@ def _rewrite(text_at: int, columns: int):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text, kept_spans, removed): every document without its repeated units. kept_spans are the [start, end)
     code points of what is left, in the original text; removed is the number of code points gone."""
-    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    out = _cleaned(plain, "__id", "__text", min_words)
-    removed = F.coalesce(F.length("__text") - F.length("__clean"), F.lit(0)).cast("long")
-    return out.select(F.col("__id").alias(id_col), F.col("__clean").alias(text_col), F.col("__kept").alias("kept_spans"), removed.alias("removed"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out, clean, kept = _cleaned(plain, "id", "text", min_words)
+    removed = F.coalesce(F.length("text") - F.length(clean), F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(id_col), F.col(clean).alias(text_col), F.col(kept).alias("kept_spans"), removed.alias("removed"))
 
 
-def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """docs with __clean and __kept. Texts are shuffled to meet their spans."""
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the text left and the kept spans. Texts are shuffled to meet their
+    spans. The columns may have any names: those added have a prefix that none of them has."""
     spark = docs.sparkSession
     common.ship(spark)
+    p = own_prefix(docs)
+    of, cut, clean, kept = (p + x for x in ("of", "spans", "clean", "kept"))
     spans = duplicate_spans(docs, common.shared_dir(spark), id_col, text_col, min_words)
-    by_doc = spans.groupBy(F.col("id").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    both = docs.join(by_doc, F.col(id_col).cast("long") == F.col("__of"), "left").select(*docs.columns, "__spans")
-    extra = "__clean string, __kept array<struct<start:long,end:long>>"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return both.mapInArrow(common.tidy(_rewrite(docs.columns.index(text_col), len(docs.columns))), f"{fields}, {extra}")
+    by_doc = spans.groupBy(F.col("id").alias(of)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cut))
+    both = docs.join(by_doc, F.col(quote(id_col)).cast("long") == F.col(of), "left").select(*map(quote, docs.columns), cut)
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    fields = T.StructType([*docs.schema.fields, T.StructField(clean, T.StringType()), T.StructField(kept, span)])
+    return both.mapInArrow(common.tidy(_rewrite(docs.columns.index(text_col), docs.columns, clean, kept)), fields), clean, kept
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all columns as they were, with repeated units taken out of the text."""
-    out = _cleaned(docs, id_col, text_col, min_words)
-    return out.select(*(F.col("__clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    out, clean, _ = _cleaned(docs, id_col, text_col, min_words)
+    return out.select(*(F.col(clean).alias(c) if c == text_col else F.col(quote(c)) for c in docs.columns))

@@ -10,11 +10,15 @@ As a string: threshold:hashes, all as 16 hex digits in ascending order, hashes j
 
 Cases: a null, empty or wordless text has the fingerprint of no hashes; two of those are alike (1), one of them
 and another text are not (0). Texts of fewer than five words have one shingle, of all their words. Repeated ids
-are ordered by their text. Null ids come last in descending order and count as documents.
+are ordered by a hash of their text, equal rows among them anyhow. Null ids come last in descending order and count as
+documents.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,36 +115,54 @@ def range_bucket(value: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
-def bucket_bounds(ids: DataFrame, column: str, buckets: int) -> list[int]:
-    """Approximate quantiles of an id column: at most ``buckets`` numbers, whatever the rows."""
+def bucket_bounds(ids: DataFrame, column: str, buckets: int) -> tuple[list[int], dict[int, int]]:
+    """Approximate quantiles of an id column, at most 2 * ``buckets`` numbers whatever the rows; and the ids that fill
+    several buckets, with the buckets they fill. Those have a bound below and above them."""
     if buckets < 2:
-        return []
+        return [], {}
     at = [i / buckets for i in range(1, buckets)]
-    found = ids.agg(F.percentile_approx(column, at, 10 * buckets).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    found = ids.agg(F.percentile_approx(column, at, 10 * buckets).alias("q")).first()["q"] or []
+    hot = {v: n for v, n in Counter(found).items() if n > 1}
+    return sorted({*found, *(v + 1 for v in hot)}), hot
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str], derive=lambda df: df, rows_per_bucket: int = 512) -> DataFrame:
-    """derive(docs) with next_<column>: the value in the row that follows in descending (id, first of columns)
-    order; the last row is followed by the first.
-
-    One shuffle, by id ranges of about ``rows_per_bucket`` rows. The first row of each bucket follows the last of
-    the one above; those rows are found by their ids and joined by bucket: as many rows as buckets."""
-    total = docs.count()
-    bounds = bucket_bounds(docs.select(id_col), id_col, min(20_000, -(-total // rows_per_bucket)))
-    keyed = docs.withColumn("__bucket", F.coalesce(range_bucket(F.col(id_col), bounds), F.lit(-1)))
-    order = [F.col(id_col).desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in columns[:1])]
+    """derive(docs) with next_<column>: the value in the row that follows in descending (id, hash of the first of columns,
+    that column) order; the last row is followed by the first.
+
+    One shuffle, by id ranges of about ``rows_per_bucket`` rows; rows of one id (or without one) that fill several of
+    those are dealt over as many by their hashes. The first row of each bucket follows the last of the one above; those
+    rows are found by their ids and hashes and joined by bucket: as many rows as buckets."""
+    sizes = docs.agg(F.count("*").alias("n"), F.count(id_col).alias("known")).first()
+    bounds, hot = bucket_bounds(docs.select(id_col), id_col, min(20_000, -(-sizes["known"] // rows_per_bucket)))
+    parts = {-1: -(-(sizes["n"] - sizes["known"]) // rows_per_bucket)} | {bisect_right(bounds, v): n for v, n in hot.items()}
+    parts = {k: n for k, n in parts.items() if n > 1}
+    mixed = F.xxhash64(columns[0])
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        """df with __hash (of rows of one id only; else 0) and __bucket."""
+        bucket = F.coalesce(range_bucket(F.col(id_col), bounds), F.lit(-1)).cast("long")
+        if not parts:
+            return df.withColumns({"__hash": F.lit(0).cast("long"), "__bucket": bucket})
+        many = F.create_map(*(F.lit(x) for k, n in parts.items() for x in (k, n)))
+        df = df.withColumn("__range", bucket).withColumn("__parts", F.coalesce(many[F.col("__range").cast("int")], F.lit(1)))
+        df = df.withColumn("__hash", F.when(F.col("__parts") > 1, mixed).otherwise(F.lit(0)).cast("long"))
+        part = F.least(F.floor((F.col("__hash") / 2.0**64 + 0.5) * F.col("__parts")), F.col("__parts") - 1)
+        return df.withColumn("__bucket", F.col("__range") * (1 << 24) + part).drop("__range", "__parts")
+
+    keyed = bucketed(docs)
+    order = [F.col(id_col).desc_nulls_last(), F.col("__hash").desc(), *(F.col(c).desc_nulls_last() for c in columns[:1])]
     w = Window.partitionBy("__bucket").orderBy(*order)
     lead = derive(keyed).withColumn("__next", F.lead(F.struct(*columns)).over(w))
 
-    ids = docs.select(F.col(id_col).alias("__top")).withColumn("__bucket", F.coalesce(range_bucket(F.col("__top"), bounds), F.lit(-1)))
-    tops = ids.groupBy("__bucket").agg(F.max("__top").alias("__top"))
+    place = F.struct(F.col(id_col).alias("id"), F.col("__hash").alias("hash"))
+    tops = bucketed(docs.select(id_col, *(columns[:1] if parts else []))).groupBy("__bucket").agg(F.max(place).alias("__top"))
     every = Window.orderBy(F.col("__bucket").desc())
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # one row per bucket; the last bucket is followed by the first
     after = tops.select(F.col("__bucket").alias("__of"), F.coalesce(F.lead("__bucket").over(every), F.first("__bucket").over(whole)).alias("__bucket"))
     tops = tops.join(after, "__bucket")
-    heads = keyed.join(F.broadcast(tops.select("__bucket", "__top", "__of")), "__bucket").filter(F.col(id_col).eqNullSafe(F.col("__top"))).drop("__bucket", "__top")
+    heads = keyed.join(F.broadcast(tops.select("__bucket", "__top", "__of")), "__bucket").filter(place.eqNullSafe(F.col("__top"))).drop("__bucket", "__top")
     heads = derive(heads).groupBy(F.col("__of").alias("__bucket")).agg(F.max_by(F.struct(*columns), F.struct(F.col(columns[0]))).alias("__head"))
     both = lead.join(heads, "__bucket", "left")
     nxt = F.coalesce("__next", "__head")

@@ -141,7 +141,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], derive=lambda df
 
     def bucketed(df: DataFrame) -> DataFrame:
         """df with __hash (of rows of one id only; else 0) and __bucket."""
-        bucket = F.coalesce(range_bucket(F.col(id_col), bounds), F.lit(-1)).cast("long")
+        bucket = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(range_bucket(F.col(id_col), bounds)).cast("long")
         if not parts:
             return df.withColumns({"__hash": F.lit(0).cast("long"), "__bucket": bucket})
         many = F.create_map(*(F.lit(x) for k, n in parts.items() for x in (k, n)))

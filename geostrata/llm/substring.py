@@ -322,8 +322,10 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tup
     by_doc = spans.groupBy(F.col("id").alias(of)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cut))
     both = docs.join(by_doc, F.col(quote(id_col)).cast("long") == F.col(of), "left").select(*map(quote, docs.columns), cut)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    fields = T.StructType([*docs.schema.fields, T.StructField(clean, T.StringType()), T.StructField(kept, span)])
-    return both.mapInArrow(common.tidy(_rewrite(docs.columns.index(text_col), docs.columns, clean, kept)), fields), clean, kept
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # mapInArrow does not take names with backticks
+    fields = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)), T.StructField(clean, T.StringType()), T.StructField(kept, span)])
+    out = both.toDF(*plain, cut).mapInArrow(common.tidy(_rewrite(docs.columns.index(text_col), plain, clean, kept)), fields)
+    return out.toDF(*docs.columns, clean, kept), clean, kept
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

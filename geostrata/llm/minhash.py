@@ -43,7 +43,7 @@ SIGMAS = 5.5
 #: Rows of one bucket that are compared with each other at once.
 CHUNK = 4096
 #: Members and queries of one cell of a cluster: of sets, and of signatures.
-SIDE, WIDE = 128, 2048
+SIDE, WIDE = 128, 512
 LANES = np.uint64(0x5555555555555555)
 _LINKS = "a long, b long"
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)

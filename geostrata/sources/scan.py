@@ -176,7 +176,10 @@ class SQLiteSource(DataSource):
     def schema(self) -> T.StructType:
         c = SQLiteReader(self.options, T.StructType()).connect()
         try:
-            rows = c.execute(f"PRAGMA table_info({quoted(self.options['table'])})").fetchall()
+            table = quoted(self.options["table"])
+            rows = c.execute(f"PRAGMA table_info({table})").fetchall()
+            # columns without a declared type (a view's expressions) are of the kind of their first value
+            found = {r[1]: c.execute(f"SELECT typeof({quoted(r[1])}) FROM {table} WHERE {quoted(r[1])} IS NOT NULL LIMIT 1").fetchone() for r in rows if not r[2]}
         finally:
             c.close()
         if not rows:
@@ -186,7 +189,7 @@ class SQLiteSource(DataSource):
             d = (declared or "").upper()
             return T.LongType() if "INT" in d or "BOOL" in d else T.DoubleType() if any(x in d for x in ("REAL", "FLOA", "DOUB", "NUM", "DEC")) else T.BinaryType() if "BLOB" in d or not d else T.StringType()
 
-        return T.StructType([T.StructField(r[1], kind(r[2])) for r in rows])
+        return T.StructType([T.StructField(r[1], kind(r[2] or (found[r[1]] or ("",))[0])) for r in rows])
 
     def reader(self, schema: T.StructType) -> SQLiteReader:
         return SQLiteReader(self.options, schema)

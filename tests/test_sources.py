@@ -36,6 +36,38 @@ def test_duckdb(geo, files):
     assert [tuple(r) for r in got] == [(3, "s3", 1.5, "2024-01-04", [3])]
 
 
+def test_scans_without_row_ids(geo, tmp_path):
+    """Views, tables WITHOUT ROWID and tables with a column of that name are read by one task."""
+    lite, duck = tmp_path / "y.sqlite", tmp_path / "y.duckdb"
+    with sqlite3.connect(lite) as c:
+        c.execute("create table t(k text primary key, v integer) without rowid")
+        c.execute("create table own(rowid text, v integer)")
+        c.executemany("insert into t values (?, ?)", [(f"k{i}", i) for i in range(30)])
+        c.executemany("insert into own values (?, ?)", [(None if i % 2 else "r", i) for i in range(30)])
+        c.execute("create view seen as select v * 2 as w from t where v < 20")
+    with duckdb.connect(str(duck)) as d:
+        d.execute("create table t as select i::bigint i from range(40) r(i)")
+        d.execute("create view seen as select i + 1 as j, 's' || i as s from t where i < 10")
+    assert sql(geo, f"select count(*), sum(v) from sqlite_scan('{lite}', 't') where v > 4").first()[:] == (25, sum(range(5, 30)))
+    assert sql(geo, f"select count(*), sum(w) from sqlite_scan('{lite}', 'seen')").first()[:] == (20, 2 * sum(range(20)))
+    assert sql(geo, f"select count(*), count(rowid) from sqlite_scan('{lite}', 'own')").first()[:] == (30, 15)
+    assert sql(geo, f"select count(*), sum(j) from duckdb_scan('{duck}', 'main', 'seen') where j > 5").first()[:] == (5, 40)
+
+
+def test_large_static_side_of_a_stream(geo, tmp_path, monkeypatch):
+    monkeypatch.setattr("geostrata.streaming.joins.small", lambda df: False)
+    points = geo.range(200).select("id", F.expr("ST_MakePoint(id % 40, id % 7)").alias("g"))
+    points.write.parquet(f"{tmp_path}/in")
+    boxes = geo.range(90).select(F.col("id").alias("b"), F.expr("ST_MakeEnvelope(id % 30, id % 5, id % 30 + id % 9, id % 5 + 2)").alias("area"))
+    boxes = boxes.union(geo.sql("select cast(-1 as bigint), ST_MakeEnvelope(-5, -5, 90, 90)"))
+    stream = geo.readStream.schema(points.schema).parquet(f"{tmp_path}/in")
+    q = stream_static_join(stream, boxes, "g", "area", Relation("intersects")).select("id", "b").writeStream.format("memory").queryName("met").start()
+    q.processAllAvailable()
+    q.stop()
+    want = points.join(boxes, F.expr("ST_Intersects(g, area)")).select("id", "b")
+    assert sorted(map(tuple, geo.table("met").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_scan_arguments(geo):
     with pytest.raises(ScanError):
         sql(geo, "select * from sqlite_scan('x')")

@@ -105,3 +105,54 @@ def test_plan_has_no_python(geo, sides):
     left, right = sides
     plan = spatial_join(left, right, "g", "g", "intersects", grid=False)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
+def both(geo, n, extra=()):
+    """Points and unit boxes by rule, and boxes given."""
+    points = geo.range(n).select(F.col("id").alias("a"), F.expr("ST_MakePoint(id * 37 % 211, id * 53 % 197)").alias("g"))
+    boxes = geo.range(n).select(F.col("id").alias("b"), F.expr("ST_MakeEnvelope(id * 29 % 207, id * 31 % 193, id * 29 % 207 + 2, id * 31 % 193 + 2)").alias("h"))
+    for i, box in enumerate(extra):
+        boxes = boxes.union(geo.sql(f"SELECT CAST(-{i + 1} AS BIGINT), ST_MakeEnvelope({box})"))
+    return points, boxes
+
+
+def pairs_of(df):
+    return sorted((r["a"], r["b"]) for r in df.collect())
+
+
+def test_heavy_cells_are_salted(geo, monkeypatch):
+    """One box over everything, and many points in one place: cells beyond the limit are cut, pairs come once."""
+    points, boxes = both(geo, 600, ["-1, -1, 300, 300", "0, 0, 100, 150"])
+    crowd = geo.range(300).select((F.col("id") + 1000).alias("a"), F.expr("ST_MakePoint(50.5, 50.5)").alias("g"))
+    near = geo.range(40).select((F.col("id") + 2000).alias("b"), F.expr("ST_MakeEnvelope(50, 50, 51, 51)").alias("h"))
+    points, boxes = points.union(crowd), boxes.union(near)
+    want = pairs_of(spatial_join(points, boxes, "g", "h", "intersects", grid=False))
+    for heavy in (20, 20_000):
+        monkeypatch.setattr("geostrata.operators.spatial_join.HEAVY", heavy)
+        got = pairs_of(spatial_join(points, boxes, "g", "h", "intersects", grid=True))
+        assert got == want and len(got) > 12_000
+
+
+def test_copies_go_to_levels_in_use_only(geo):
+    """A box over everything adds one copy a point, not a product: rows that enter the join stay in proportion."""
+    points, boxes = both(geo, 2000, ["-1, -1, 300, 300"])
+    plan = spatial_join(points, boxes, "g", "h", "intersects", grid=True)
+    assert plan.count() > 2000
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
+
+
+def test_small_sides_of_many_rows_are_broadcast_by_cell(geo, monkeypatch):
+    points, boxes = both(geo, 400)
+    want = pairs_of(spatial_join(points, boxes, "g", "h", "intersects", grid=False))
+    monkeypatch.setattr("geostrata.operators.spatial_join.LOOP", 100)
+    joined = spatial_join(points, boxes, "g", "h", "intersects")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert pairs_of(joined) == want and "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
+def test_columns_of_any_name(geo):
+    points, boxes = both(geo, 60)
+    points = points.withColumns({"__xmin": F.lit(1), "__level": F.lit("x"), "a`b": F.lit(2), "H": F.lit(3)})
+    rows = spatial_join(points, boxes, "g", "h", "intersects", "left", grid=True)
+    assert rows.columns == [*points.columns, "b", "h_right"] and {(r["__xmin"], r["__level"], r["a`b"], r["H"]) for r in rows.collect()} == {(1, "x", 2, 3)}

@@ -131,6 +131,7 @@ MACROS = {
     ("trunc", 2): "truncate({0}, {1})",
     ("log", 1): "log10({0})",
     ("array_slice", 4): "transform(filter(transform(slice({0}, greatest(" + _PLACE + ", 1), greatest(least(" + _PLACE.replace("{1}", "{2}") + ", size({0})) - greatest(" + _PLACE + ", 1) + 1, 0)), (x, i) -> struct(x AS x, i AS i)), s -> s.i % {3} = 0), s -> s.x)",
+    ("string_to_array", 2): "split({0}, concat('\\\\Q', {1}, '\\\\E'))",
     ("array_any_value", 1): "try_element_at(filter({0}, x -> x IS NOT NULL), 1)",
     ("list_any_value", 1): "try_element_at(filter({0}, x -> x IS NOT NULL), 1)",
     ("array_upper", 2): "CASE WHEN {1} < 1 THEN NULL WHEN {1} = 1 THEN CAST(size({0}) AS BIGINT) WHEN {1} > 1 THEN CAST(raise_error('array_upper: only dimension 1') AS BIGINT) END",

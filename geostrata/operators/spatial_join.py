@@ -211,8 +211,10 @@ def _cut(left: DataFrame, right: DataFrame, p: str, rows: int) -> tuple[DataFram
     def salted(df: DataFrame, own: str, other: str) -> DataFrame:
         df = df.join(F.broadcast(listed), names, "left")
         n, m = F.coalesce(p + own, F.lit(1)), F.coalesce(p + other, F.lit(1))
-        df = df.withColumns({p + "s_" + own: F.floor(F.rand(7) * n).cast("int"), p + "s_" + other: F.explode(F.sequence(F.lit(0), m - 1))})
-        return df.drop(p + own, p + other)
+        # by the row's contents, so that a task that is run again deals alike; only rows alike in every column stay together
+        mixed = F.xxhash64(*(quote(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+        df = df.withColumn(p + "s_" + own, F.pmod(mixed, n).cast("int"))
+        return df.withColumn(p + "s_" + other, F.explode(F.sequence(F.lit(0), m - 1))).drop(p + own, p + other)
 
     return salted(left, "ls", "rs"), salted(right, "rs", "ls"), [p + "s_ls", p + "s_rs"]
 

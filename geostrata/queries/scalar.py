@@ -26,7 +26,7 @@ PAIRS = {
         "SELECT o_orderkey, year(o_orderdate) AS a, month(o_orderdate) AS b, CAST(date_part('dow', o_orderdate) AS INT) AS c, dayofyear(o_orderdate) AS d, date_format(date_trunc('month', o_orderdate), 'yyyy-MM-dd') AS e, date_format(date_bin('7 days', o_orderdate), 'yyyy-MM-dd') AS f, datediff(o_orderdate, DATE'1995-01-01') AS g, date_format(o_orderdate, 'yyyy/MM/dd') AS h, CAST(make_date(year(o_orderdate), 1, 31) AS STRING) AS i, to_unixtime(o_orderdate) AS j, extract(quarter FROM o_orderdate) AS k FROM orders",
         "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS a, CAST(month(o_orderdate) AS INTEGER) AS b, CAST(dayofweek(o_orderdate) AS INTEGER) AS c, CAST(dayofyear(o_orderdate) AS INTEGER) AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS e, strftime(time_bucket(INTERVAL 7 DAY, o_orderdate, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS f, CAST(date_diff('day', DATE '1995-01-01', o_orderdate) AS INTEGER) AS g, strftime(o_orderdate, '%Y/%m/%d') AS h, CAST(make_date(year(o_orderdate), 1, 31) AS VARCHAR) AS i, CAST(epoch(o_orderdate) AS BIGINT) AS j, CAST(quarter(o_orderdate) AS INTEGER) AS k FROM orders",
     ),
-    "fn_timestamps": ("SELECT event_id, CAST(to_timestamp_millis(event_id * 1700000123) AS STRING) AS a, CAST(to_timestamp_seconds(event_id * 100000) AS STRING) AS b, CAST(to_timestamp_micros(event_id * 1700000000123) AS STRING) AS c, unix_micros(to_timestamp_nanos(event_id * 1700000000123456)) AS d FROM events", "SELECT event_id, CAST(make_timestamp(event_id * 1700000123000) AS VARCHAR) AS a, CAST(make_timestamp(event_id * 100000000000) AS VARCHAR) AS b, CAST(make_timestamp(event_id * 1700000000123) AS VARCHAR) AS c, event_id * 1700000000123456 // 1000 AS d FROM events"),
+    "fn_timestamps": ("SELECT event_id, CAST(to_timestamp_millis(event_id * 1700000123) AS STRING) AS a, CAST(to_timestamp_seconds(event_id * 100000) AS STRING) AS b, CAST(to_timestamp_micros(event_id * 1700000000123) AS STRING) AS c, unix_micros(to_timestamp_nanos(event_id * 1000003)) AS d FROM events", "SELECT event_id, CAST(make_timestamp(event_id * 1700000123000) AS VARCHAR) AS a, CAST(make_timestamp(event_id * 100000000000) AS VARCHAR) AS b, CAST(make_timestamp(event_id * 1700000000123) AS VARCHAR) AS c, event_id * 1000003 // 1000 AS d FROM events"),
     "fn_conditional": ("SELECT c_custkey, nvl(nullif(c_nationkey, 3), -1) AS a, nvl2(nullif(c_nationkey, 3), 'x', 'y') AS b, ifnull(nullif(c_mktsegment, 'BUILDING'), 'none') AS c FROM customer", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS a, CASE WHEN c_nationkey <> 3 THEN 'x' ELSE 'y' END AS b, ifnull(nullif(c_mktsegment, 'BUILDING'), 'none') AS c FROM customer"),
     "fn_arrays": (
         "SELECT p_partkey, array_length(make_array(p_size, 1, 2)) AS a, array_has(make_array(1, 2, 3), p_size) AS b, array_to_string(list_sort(make_array(p_size, 7, 3)), ',') AS c, array_max(make_array(p_size, 9)) AS d, array_position(make_array(4, p_size), p_size) AS e, array_to_string(array_distinct(make_array(p_size, p_size, 1)), '|') AS f, list_has_any(make_array(1, 2), make_array(p_size)) AS g, array_to_string(string_to_array(p_name, ' '), '+') AS h FROM part",
@@ -42,7 +42,7 @@ PAIRS = {
     "fn_maps_structs": ("SELECT p_partkey, map('a', p_size, 'b', 2)['a'] AS a, cardinality(map_keys(map('a', 1, 'b', 2))) AS b, named_struct('x', p_size, 'y', p_brand).y AS c, element_at(map_values(map('k', p_size)), 1) AS d FROM part", "SELECT p_partkey, p_size AS a, 2 AS b, p_brand AS c, p_size AS d FROM part"),
     "fn_typeof": ("SELECT p_partkey, arrow_typeof(p_size) AS a, arrow_typeof(p_name) AS b, arrow_cast(p_size, 'Utf8') AS c, arrow_cast(p_retailprice, 'Int64') AS d FROM part", "SELECT p_partkey, replace(lower(typeof(p_size)), 'integer', 'int') AS a, replace(lower(typeof(p_name)), 'varchar', 'string') AS b, CAST(p_size AS VARCHAR) AS c, CAST(trunc(p_retailprice) AS BIGINT) AS d FROM part"),
     "fn_trunc": ("SELECT p_partkey, trunc(p_size / 100, 2) AS a, trunc(p_retailprice, 1) AS b, trunc(-p_retailprice) AS c FROM part", "SELECT p_partkey, p_size / 100 AS a, CAST(trunc(CAST(p_retailprice AS DECIMAL(18, 4)) * 10) AS DOUBLE) / 10 AS b, -CAST(trunc(p_retailprice) AS DOUBLE) AS c FROM part"),
-    "fn_regexp_match": ("SELECT p_partkey, array_join(regexp_match(p_brand, '([A-Za-z]+)#([0-9])([0-9])'), '/') AS a, array_join(regexp_match(p_name, '[aeiou]+'), '') AS b FROM part", "SELECT p_partkey, regexp_extract(p_brand, '([A-Za-z]+)#([0-9])([0-9])', 1) || '/' || regexp_extract(p_brand, '([A-Za-z]+)#([0-9])([0-9])', 2) || '/' || regexp_extract(p_brand, '([A-Za-z]+)#([0-9])([0-9])', 3) AS a, CASE WHEN regexp_matches(p_name, '[aeiou]+') THEN regexp_extract(p_name, '[aeiou]+') END AS b FROM part"),
+    "fn_regexp_match": ("SELECT p_partkey, array_join(regexp_match(p_brand, '([A-Za-z]+)#([0-9]+)'), '/') AS a, array_join(regexp_match(p_name, '[aeiou]+'), '') AS b FROM part", "SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '([A-Za-z]+)#([0-9]+)') THEN regexp_extract(p_brand, '([A-Za-z]+)#([0-9]+)', 1) || '/' || regexp_extract(p_brand, '([A-Za-z]+)#([0-9]+)', 2) END AS a, CASE WHEN regexp_matches(p_name, '[aeiou]+') THEN regexp_extract(p_name, '[aeiou]+') END AS b FROM part"),
     "fn_date_bin_months": ("SELECT o_orderkey, date_format(date_bin('3 months', o_orderdate), 'yyyy-MM-dd') AS a, date_format(date_bin('1 year', o_orderdate, TIMESTAMP'1990-04-01 00:00:00'), 'yyyy-MM-dd') AS b FROM orders", "SELECT o_orderkey, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS a, strftime(date_trunc('year', o_orderdate - INTERVAL 3 MONTH) + INTERVAL 3 MONTH, '%Y-%m-%d') AS b FROM orders"),
     "fn_to_char": ("SELECT o_orderkey, to_char(o_orderdate, '%d.%m.%Y %H:%M') AS a, to_timestamp(to_char(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d') = date_trunc('day', o_orderdate) AS b FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y %H:%M') AS a, strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d') = date_trunc('day', o_orderdate) AS b FROM orders"),
     "fn_list_calls": ("SELECT p_partkey, array_to_string(range(0, p_size), ',') AS a, array_to_string(generate_series(p_size, p_size + 2), ',') AS b, array_any_value(make_array(nullif(p_size, p_size), p_size)) AS c, array_to_string(array_slice(make_array(p_size, 2, 3, 4, 5), 1, 5, 2), ',') AS d, array_upper(make_array(p_size, 1), 1) AS e FROM part", "SELECT p_partkey, coalesce(array_to_string(range(0, p_size), ','), '') AS a, array_to_string(generate_series(p_size, p_size + 2), ',') AS b, list_any_value([nullif(p_size, p_size), p_size]) AS c, array_to_string([p_size, 2, 3, 4, 5][1:5:2], ',') AS d, len([p_size, 1]) AS e FROM part"),

@@ -176,15 +176,15 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     return [(s, e, d) for found in (_runs(text, min_words), every) for s, e, d, state in _states(found) if state != OVER]
 
 
-_UNITS = "id long, start long, end long, digest long, digest2 long, state byte"
+_UNITS = "id long, start int, end int, digest long, digest2 long, state byte"
 
 
 def _batch(rows: list[tuple], more: list[tuple]) -> pa.RecordBatch:
     """Rows of _UNITS with one digest of 128 bits, and more of them as columns."""
     rows = [(i, s, e, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, state) for i, s, e, d, state in rows]
     cols = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = [np.int64] * 5 + [np.int8]
-    cols = [np.concatenate([np.array(c, k), *(x[i] for x in more)]) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))]
+    kinds = [np.int64, np.int32, np.int32, np.int64, np.int64, np.int8]
+    cols = [np.concatenate([np.array(c, k), *(x[i].astype(k) for x in more)]) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "start", "end", "digest", "digest2", "state"])
 
 
@@ -242,11 +242,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def duplicate_spans(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, start, end): code-point spans of units that occurred before, at a smaller (id, start)."""
+    """(id, start, end): code-point spans of units that occurred before, at a smaller (id, start). Offsets are 32-bit, as
+    Spark's strings are shorter than that."""
     plain = docs.select(F.col(quote(id_col)).cast("long").alias("id"), F.col(quote(text_col)).cast("string").alias("text")).filter("id is not null")
     found = common.staged(plain.mapInArrow(common.tidy(_digests(min_words)), _UNITS), folder, "units")
     again = _again(found, folder, "again")
     hits = common.staged(_hits(found, again), folder, "hits")
+    common.discard(docs.sparkSession, folder, "units", "again")  # all that is read from here on is in hits
     marks = hits.groupBy("id").agg(F.collect_set(F.struct("start", "end", "state")).alias("marks"), F.max("state").alias("most")).filter(F.col("most") == NEAR)
     closer = common.staged(plain.join(marks, "id").select("id", "text", "marks").mapInArrow(common.tidy(_windows), _UNITS), folder, "windows")
     late = _hits(closer, _again(closer, folder, "again_windows"))
@@ -280,7 +282,7 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int,
 
 def _merged(spans: pa.ListScalar) -> list[tuple[int, int]]:
     """Spans in order of their starts, those that overlap or touch as one."""
-    start, end = (spans.values.field(i).to_numpy() for i in range(2))
+    start, end = (spans.values.field(i).to_numpy().astype(np.int64) for i in range(2))
     upto = np.maximum.accumulate(end)
     at = np.flatnonzero(np.r_[True, start[1:] > upto[:-1]])
     return list(zip(start[at].tolist(), upto[np.r_[at[1:], len(end)] - 1].tolist(), strict=True))

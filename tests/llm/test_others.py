@@ -202,6 +202,9 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
             frame = stage(spark, frame, str(tmp_path))
             assert frame.columns == docs.columns
         assert frame.count() == want
+        packed = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()
+        assert len(packed) == want and all(r["offset"] + r["length"] <= 4096 for r in packed)
+        assert len({(r["sequence_id"], r["offset"]) for r in packed}) == want
 
 
 def test_registered():

@@ -19,7 +19,8 @@ reaches the driver.
 
 For outer, semi, anti and mark joins rows get ids in a written copy (the shared checkpoint folder), and those joins are joins back
 on them. Rows with NULL, empty or unreadable geometries never match and stay only where the join type keeps them.
-Columns may have any names; the join's own get a prefix that no column has."""
+Columns may have any names; the join's own get a prefix that no column has. Settings of the session:
+geostrata.spatial_join.rows_per_cell, .heavy_cell_rows and .loop_rows in place of the constants below."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.session import ensure
@@ -86,6 +87,14 @@ def boxed(df: DataFrame, geom: str, grow: Column | None, p: str) -> DataFrame:
     return df.select(*(quote(c) for c in df.columns if c != f"{p}box"), *bounds)
 
 
+def option(spark: SparkSession, name: str, default: int) -> int:
+    """A setting of the join: spark.geostrata.spatial_join.<name>, in SQL text SET geostrata.spatial_join.<name>."""
+    value = int(spark.conf.get(f"spark.geostrata.spatial_join.{name}", str(default)))
+    if value < 1:
+        raise ValueError(f"geostrata.spatial_join.{name}: 1 or more")
+    return value
+
+
 def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -142,12 +151,12 @@ class Grid:
     levels: int
 
     @staticmethod
-    def over(a: Extent, b: Extent) -> Grid | None:
+    def over(a: Extent, b: Extent, rows_per_cell: int = ROWS_PER_CELL) -> Grid | None:
         """The grid of the common extent; None where there is none, so nothing pairs."""
         x0, y0, x1, y1 = max(a.x0, b.x0), max(a.y0, b.y0), min(a.x1, b.x1), min(a.y1, b.y1)
         if not a.n or not b.n or x1 < x0 or y1 < y0:
             return None
-        cells = max(1.0, (a.n + b.n) / ROWS_PER_CELL)
+        cells = max(1.0, (a.n + b.n) / rows_per_cell)
         area = (x1 - x0) * (y1 - y0)
         step = math.sqrt(area / cells) if area > 0 else max(x1 - x0, y1 - y0, 1.0) / cells
         step = max(step, max(abs(x0), abs(x1), abs(y0), abs(y1)) * 2.0**-40)  # cell numbers stay exact
@@ -197,7 +206,7 @@ def _levels(df: DataFrame, p: str) -> list[int]:
 
 def _cut(left: DataFrame, right: DataFrame, p: str, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides' cell rows with salts for cells that are heavy on either side, and the salts' names."""
-    heavy = max(HEAVY, rows // HEAVY_CELLS)
+    heavy = max(option(left.sparkSession, "heavy_cell_rows", HEAVY), rows // HEAVY_CELLS)
     names = [p + k for k in KEY]
     counts = [df.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select(*names, F.ceil(F.col("n") / heavy).cast("int").alias(salts)) for df, salts in ((left, "ls"), (right, "rs"))]
     found = {}
@@ -221,7 +230,7 @@ def _cut(left: DataFrame, right: DataFrame, p: str, rows: int) -> tuple[DataFram
 
 def _pairs_by_grid(left: DataFrame, right: DataFrame, p: str, a: Extent, b: Extent, near: str | None = None) -> DataFrame:
     """Pairs (l.*, r.*) with overlapping boxes, each once. ``near`` names a side to broadcast (l or r)."""
-    grid = Grid.over(a, b)
+    grid = Grid.over(a, b, option(left.sparkSession, "rows_per_cell", ROWS_PER_CELL))
     if grid is None:
         return left.filter("false").alias("l").join(right.filter("false").alias("r"), overlap(p))
     left, right = grid.clipped(left, p), grid.clipped(right, p)
@@ -265,7 +274,7 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     extents = None
     if grid is None:
         use_grid = near is None
-        if near is not None and (n := Extent.of(b if near == "r" else a, p)).n > LOOP:
+        if near is not None and (n := Extent.of(b if near == "r" else a, p)).n > option(spark, "loop_rows", LOOP):
             use_grid, extents = True, (Extent.of(a, p), n) if near == "r" else (n, Extent.of(b, p))
     if not use_grid and how not in ("left_mark", "right_mark"):
         if how.startswith("right_"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geostrata.operators.spatial_join import Relation
 from geostrata.plans.sql import sql
+from geostrata.sources import text
 from geostrata.sources.scan import ScanError, jdbc_options
 from geostrata.streaming.joins import stream_static_join, windowed_counts
 
@@ -68,6 +69,12 @@ def test_large_static_side_of_a_stream(geo, tmp_path, monkeypatch):
     assert sorted(map(tuple, geo.table("met").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_results_as_text(geo):
+    df = sql(geo, "select true as a, 1.5 as b, cast(0.1 as double) + 0.2 as c, '' as d, null as e, date'2024-01-02' as f, array(1, null) as g, Box2D(ST_MakeEnvelope(1, 2, 3, 4)) as h, X'0a' as i, 1e20 as j, -0.0D as k, 7 as l")
+    assert text.render(df) == [["true", "1.5", "0.3", "(empty)", "NULL", "2024-01-02", "[1, NULL]", "{xmin: 1, ymin: 2, xmax: 3, ymax: 4}", "0a", "100000000000000000000", "0", "7"]]
+    assert text.column_types(df) == "BRRT?D???RRI"
+
+
 def test_scan_arguments(geo):
     with pytest.raises(ScanError):
         sql(geo, "select * from sqlite_scan('x')")

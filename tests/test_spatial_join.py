@@ -151,6 +151,21 @@ def test_small_sides_of_many_rows_are_broadcast_by_cell(geo, monkeypatch):
     assert pairs_of(joined) == want and "BroadcastHashJoin" in plan and "NestedLoop" not in plan
 
 
+def test_settings(geo):
+    points, boxes = both(geo, 300, ["-1, -1, 300, 300"])
+    want = pairs_of(spatial_join(points, boxes, "g", "h", "intersects", grid=False))
+    try:
+        for name, value in (("rows_per_cell", 1), ("rows_per_cell", 5000), ("heavy_cell_rows", 7), ("loop_rows", 1)):
+            geo.conf.set(f"spark.geostrata.spatial_join.{name}", value)
+            assert pairs_of(spatial_join(points, boxes, "g", "h", "intersects", grid=None if name == "loop_rows" else True)) == want
+        geo.conf.set("spark.geostrata.spatial_join.loop_rows", 0)
+        with pytest.raises(ValueError, match="loop_rows"):
+            spatial_join(points, boxes, "g", "h", "intersects")
+    finally:
+        for name in ("rows_per_cell", "heavy_cell_rows", "loop_rows"):
+            geo.conf.unset(f"spark.geostrata.spatial_join.{name}")
+
+
 def test_columns_of_any_name(geo):
     points, boxes = both(geo, 60)
     points = points.withColumns({"__xmin": F.lit(1), "__level": F.lit("x"), "a`b": F.lit(2), "H": F.lit(3)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import os
 import uuid
 
@@ -74,9 +75,12 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, folder: str, *names: str) -> None:
-    """Delete staged tables that nothing reads any more."""
+    """Delete staged tables that nothing reads any more. The driver's garbage goes with them, as Spark keeps the files of a
+    shuffle for as long as an object of the driver speaks of it."""
     for name in names:
         _remove(spark, f"{folder}/{name}")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -118,7 +118,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
 
 
-def _runs(text: str, min_words: int) -> list[tuple[int, int, int]]:
+def _runs(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the lines, paragraphs and sentence runs of a text, by start; longer ones first."""
     spans = sentences(text)
     words = [_NORMAL.sub(" ", text[s:e].lower()).split() for s, e in spans]
@@ -152,14 +152,14 @@ def _runs(text: str, min_words: int) -> list[tuple[int, int, int]]:
     out = []
     for i, end in sorted(found, key=lambda x: (x[0], -x[1])):
         body = " ".join(x for x in joined[i:end] if x)
-        out.append((spans[i][0], spans[end - 1][1], xxhash.xxh3_128_intdigest(body.encode("utf-8", "replace"))))
+        out.append((spans[i][0], spans[end - 1][1], xxhash.xxh3_128_digest(body.encode("utf-8", "replace"))))
     return out
 
 
-def _states(found: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+def _states(found: Iterable[tuple]) -> Iterator[tuple]:
     """The units, by start, with FIRST, INNER or OVER: the first of its digest in the text, one after the first's end,
     and one that overlaps the first and so is no repeat of it, but may be one of an earlier text's."""
-    ends: dict[int, int] = {}
+    ends: dict[object, int] = {}
     for start, end, digest in found:
         first = ends.setdefault(digest, -1)
         if first < 0:
@@ -167,7 +167,7 @@ def _states(found: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int, i
         yield start, end, digest, FIRST if first < 0 else INNER if start >= first else OVER
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+def units(text: str, min_words: int = MIN_WORDS) -> list[tuple]:
     """(start, end, digest) of the units of a text: its lines and paragraphs of any length, and each sentence with as
     many of the following as it takes to reach ``min_words`` words, and each run of WINDOW words; without those that
     overlap their like."""
@@ -181,8 +181,9 @@ _UNITS = "id long, start int, end int, digest long, digest2 long, state byte"
 
 def _batch(rows: list[tuple], more: list[tuple]) -> pa.RecordBatch:
     """Rows of _UNITS with one digest of 128 bits, and more of them as columns."""
-    rows = [(i, s, e, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, state) for i, s, e, d, state in rows]
-    cols = list(zip(*rows, strict=True)) or [()] * 6
+    ids, starts, ends, digests, states = list(zip(*rows, strict=True)) or [()] * 5
+    halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
+    cols = [ids, starts, ends, halves[:, 0], halves[:, 1], states]
     kinds = [np.int64, np.int32, np.int32, np.int64, np.int64, np.int8]
     cols = [np.concatenate([np.array(c, k), *(x[i].astype(k) for x in more)]) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "start", "end", "digest", "digest2", "state"])

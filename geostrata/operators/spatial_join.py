@@ -135,10 +135,12 @@ class Extent:
     y1: float
 
     @staticmethod
-    def of(df: DataFrame, p: str) -> Extent:
+    def of(p: str, *frames: DataFrame) -> list[Extent]:
+        """Of every frame, in one job."""
         names = (("x0", F.min, "xmin"), ("y0", F.min, "ymin"), ("x1", F.max, "xmax"), ("y1", F.max, "ymax"))
-        r = df.agg(F.count(p + "xmin").alias("n"), *(f(p + c).alias(k) for k, f, c in names)).first()
-        return Extent(r["n"], *(r[k] or 0.0 for k, _, _ in names))
+        each = [df.agg(F.lit(i).alias("i"), F.count(p + "xmin").alias("n"), *(f(p + c).alias(k) for k, f, c in names)) for i, df in enumerate(frames)]
+        rows = sorted(reduce(DataFrame.unionAll, each).collect(), key=lambda r: r["i"])
+        return [Extent(r["n"], *(r[k] or 0.0 for k, _, _ in names)) for r in rows]
 
 
 @dataclass(frozen=True)
@@ -200,13 +202,18 @@ class Grid:
 KEY = ("role", "at", "gx", "gy")
 
 
-def _levels(df: DataFrame, p: str) -> list[int]:
-    return sorted(r[0] for r in df.select(p + "level").distinct().collect())  # a few dozen rows at most
+def _levels(p: str, *frames: DataFrame) -> list[list[int]]:
+    """The levels that each frame uses, in one job: a few dozen rows at most."""
+    each = [df.select(F.lit(i).alias("i"), F.col(p + "level").alias("level")).distinct() for i, df in enumerate(frames)]
+    rows = reduce(DataFrame.unionAll, each).collect()
+    return [sorted(r["level"] for r in rows if r["i"] == i) for i in range(len(frames))]
 
 
-def _cut(left: DataFrame, right: DataFrame, p: str, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def _cut(left: DataFrame, right: DataFrame, p: str, a: Extent, b: Extent) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides' cell rows with salts for cells that are heavy on either side, and the salts' names."""
-    heavy = max(option(left.sparkSession, "heavy_cell_rows", HEAVY), rows // HEAVY_CELLS)
+    heavy = max(option(left.sparkSession, "heavy_cell_rows", HEAVY), (a.n + b.n) // HEAVY_CELLS)
+    if max(a.n, b.n) <= heavy:  # a row is in a cell once
+        return left, right, []
     names = [p + k for k in KEY]
     counts = [df.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select(*names, F.ceil(F.col("n") / heavy).cast("int").alias(salts)) for df, salts in ((left, "ls"), (right, "rs"))]
     found = {}
@@ -234,10 +241,10 @@ def _pairs_by_grid(left: DataFrame, right: DataFrame, p: str, a: Extent, b: Exte
     if grid is None:
         return left.filter("false").alias("l").join(right.filter("false").alias("r"), overlap(p))
     left, right = grid.clipped(left, p), grid.clipped(right, p)
-    levels = _levels(left, p), _levels(right, p)
+    levels = _levels(p, left, right)
     left, right, salts = grid.celled(left, p, levels[1], 0), grid.celled(right, p, levels[0], 1), []
     if near is None:
-        left, right, salts = _cut(left, right, p, a.n + b.n)
+        left, right, salts = _cut(left, right, p, a, b)
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*(p + k for k in KEY), *salts)]
     left, right = (F.broadcast(df) if side == near else df for df, side in ((left, "l"), (right, "r")))
     return left.alias("l").join(right.alias("r"), reduce(and_, same) & overlap(p) & grid.in_corner(p))
@@ -274,8 +281,8 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     extents = None
     if grid is None:
         use_grid = near is None
-        if near is not None and (n := Extent.of(b if near == "r" else a, p)).n > option(spark, "loop_rows", LOOP):
-            use_grid, extents = True, (Extent.of(a, p), n) if near == "r" else (n, Extent.of(b, p))
+        if near is not None and Extent.of(p, b if near == "r" else a)[0].n > option(spark, "loop_rows", LOOP):
+            use_grid, extents = True, Extent.of(p, a, b)
     if not use_grid and how not in ("left_mark", "right_mark"):
         if how.startswith("right_"):
             close = F.broadcast(a).alias("l") if small(left) else a.alias("l")
@@ -290,7 +297,7 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     if how != "inner":  # the others join back on row ids
         a, b = numbered(a, p + "lid"), numbered(b, p + "rid")
     if use_grid:
-        extents = extents or (Extent.of(a, p), Extent.of(b, p))
+        extents = extents or Extent.of(p, a, b)
         met = _pairs_by_grid(a.filter(has), b.filter(has), p, *extents, near if how == "inner" and grid is None else None)
     else:
         met = a.filter(has).alias("l").join(b.filter(has).alias("r"), overlap(p))

@@ -11,6 +11,8 @@ Texts are cut and their chunks counted off by Arrow: Python sees every distinct
 numpy puts the texts' ids together from the chunks' ids. A chunk that is new is put together from a word of Latin
 letters, whose ids the library's model gives without its pre-tokenizer, and marks after it. Whatever else a chunk has
 (other white space, runs of it, special tokens, digits) is left to the library as it is.
+
+Cases: null texts are the callers' to make empty; an empty text has no ids; a very long one is cut by itself.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks remembered by a worker; longer chunks are not.
-BOUND, LONG = 1_000_000, 64
+BOUND, LONG = 400_000, 64
 #: Characters of the texts that are cut at once, where there are several.
-GROUP = 8_000_000
+GROUP = 4_000_000
 #: Starts the key of a chunk that has no space before it.
 FIRST = "\x01"
 _LATIN = re.compile(r"\x01?([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -127,7 +129,10 @@ class ChunkEncoder:
         counts = self.counts[chunks]
         upto = np.cumsum(counts, dtype=np.int64)
         total = int(upto[-1]) if len(upto) else 0
-        data = self.ids[np.repeat(self.starts[chunks] - (upto - counts), counts) + np.arange(total)].tobytes()
+        kind = np.int32 if max(total, self.used) < 2**31 else np.int64
+        at = np.repeat((self.starts[chunks] - (upto - counts)).astype(kind), counts)
+        at += np.arange(total, dtype=kind)
+        data = self.ids[at].tobytes()
         stops = (4 * np.r_[0, upto][ends]).tolist()
         return [data[s:e] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
 

@@ -40,6 +40,8 @@ from geostrata.llm.chunked import encoder, parts
 CAPACITY = 4096
 #: Steps of the enumeration in one search.
 NODES = 200_000
+#: Of the sums of the least lengths, one in so many is kept.
+STEP = 32
 Filling = tuple[tuple[int, int], ...]
 
 
@@ -66,24 +68,45 @@ def dominated(filling: Filling, waste: int, left: int) -> bool:
     return bool(better & left)
 
 
+class _Sums:
+    """The sums, as bits, of the i least lengths for each i. One in STEP is kept, others are made again when asked for:
+    a search holds hundreds of these tables at once, which would be 2 MB each."""
+
+    def __init__(self, counts: dict[int, int], sizes: list[int], room: int):
+        self.counts, self.sizes, self.room, self.mask = counts, sizes, room, (1 << (room + 1)) - 1
+        self.kept, self.made = [1], {}
+        for at in range(0, len(sizes), STEP):
+            self.kept.append(self._block(at // STEP)[-1])
+        self.all = self.kept[-1]
+
+    def _block(self, block: int) -> list[int]:
+        out = [self.kept[block]]
+        for size in self.sizes[block * STEP : (block + 1) * STEP]:
+            bits, n, k = out[-1], min(self.counts[size], self.room // size), 1
+            while n:
+                k = min(k, n)
+                bits |= bits << (size * k) & self.mask
+                n -= k
+                k *= 2
+            out.append(bits)
+        return out
+
+    def __getitem__(self, i: int) -> int:
+        block, at = divmod(i, STEP)
+        if block not in self.made:
+            self.made[block] = self._block(block)
+        return self.made[block][at]
+
+
 def fillings(counts: dict[int, int], lengths: list[int], room: int, budget: list[int]) -> Iterator[tuple[int, Filling]]:
     """(waste, filling) of the undominated multisets of available lengths in ``room``, least waste first; ends early
-    where the budget of steps is used up."""
+    where the budget of steps is used up. The counts are read again at every step and have to be the same then."""
     sizes = lengths[: bisect_right(lengths, room)]
-    mask = (1 << (room + 1)) - 1
-    reach = [1]  # sums of the i least lengths
-    for size in sizes:
-        bits, n, k = reach[-1], min(counts[size], room // size), 1
-        while n:
-            k = min(k, n)
-            bits |= bits << (size * k) & mask
-            n -= k
-            k *= 2
-        reach.append(bits)
+    reach = _Sums(counts, sizes, room)
     budget[0] -= len(sizes) // 8
     every = sum(1 << size for size in sizes)
     for waste in range(room + 1):
-        if not reach[-1] >> (room - waste) & 1:
+        if not reach.all >> (room - waste) & 1:
             continue
         stack: list[tuple[int, int, Filling]] = [(len(sizes), room - waste, ())]
         while stack:
@@ -94,6 +117,7 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, budget: list
             if not target:
                 gone = sum(1 << size for size, n in chosen if n == counts[size])
                 if not dominated(chosen, waste, every & ~gone):
+                    reach.made.clear()  # the search may go on elsewhere for long
                     yield waste, chosen
                 continue
             i = min(i, bisect_right(sizes, target))
@@ -173,17 +197,20 @@ def solve(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) ->
     budget = [nodes]
 
     def branch() -> Iterator[tuple[int, Filling, int]]:
-        """(waste of one, pattern, times) around the largest length left."""
+        """(waste of one, pattern, times) around the largest length left. Whenever it goes on, what was taken since is
+        put back, so that the counts are what they were."""
         size = lengths[-1]
-        counts[size] -= 1
-        own = lengths if counts[size] else lengths[:-1]
-        now = {x: counts[x] for x in own}
-        counts[size] += 1
-        for lost, filling in fillings(now, list(own), capacity - size, budget):
+        found = fillings(counts, lengths if counts[size] > 1 else lengths[:-1], capacity - size, budget)
+        while True:
+            counts[size] -= 1
+            lost, filling = next(found, (0, None))
+            counts[size] += 1
+            if filling is None:
+                return
             more = dict(filling)
             more[size] = more.get(size, 0) + 1
             pattern = tuple(sorted(more.items(), reverse=True))
-            for times in range(min((now.get(s, 0) + (s == size)) // n for s, n in pattern), 0, -1):
+            for times in range(min(counts[s] // n for s, n in pattern), 0, -1):
                 yield lost, pattern, times
 
     # depth first; each level: its branches, the pattern applied, how often, its waste

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -422,6 +424,21 @@ def test_solver_finds_least_bins():
         assert used == hist and sum(n for _, n in patterns) == brute_bins(sizes, 40)
 
 
+def test_solver_is_small_in_memory():
+    """Best-fit misses the bound here and the search goes hundreds of levels deep, each with its own table of sums."""
+    rnd = random.Random(2)
+    hist = Counter(min(4096, max(1, int(rnd.lognormvariate(6, 1)))) for _ in range(200_000))
+    tracemalloc.start()
+    patterns = packing.solve(hist, nodes=50_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used = Counter()
+    for pattern, times in patterns:
+        used.update({s: n * times for s, n in pattern})
+    assert used == hist and max(sum(s * n for s, n in pattern) for pattern, _ in patterns) <= 4096
+    assert peak < 50e6, peak
+
+
 def test_token_files(docs, odd, texts, tmp_path):
     path = common.tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -56,21 +56,28 @@ def tidy(run):
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Fewer rows in an Arrow batch for the actions inside, where single rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Fewer rows in an Arrow batch for the actions inside, where single rows are large."""
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
 
 
-def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives the loss of executors."""
+def staged(df: DataFrame, folder: str, name: str, let_go: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage and survives the loss of executors. With ``let_go``, the
+    shuffles of this query are deleted once it is written, not whenever the driver collects its garbage."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true") if let_go else contextlib.nullcontext():
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

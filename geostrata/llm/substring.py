@@ -248,18 +248,19 @@ def duplicate_spans(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     plain = docs.select(F.col(quote(id_col)).cast("long").alias("id"), F.col(quote(text_col)).cast("string").alias("text")).filter("id is not null")
     found = common.staged(plain.mapInArrow(common.tidy(_digests(min_words)), _UNITS), folder, "units")
     again = _again(found, folder, "again")
-    hits = common.staged(_hits(found, again), folder, "hits")
+    hits = common.staged(_hits(found, again), folder, "hits", let_go=True)
     common.discard(docs.sparkSession, folder, "units", "again")  # all that is read from here on is in hits
     marks = hits.groupBy("id").agg(F.collect_set(F.struct("start", "end", "state")).alias("marks"), F.max("state").alias("most")).filter(F.col("most") == NEAR)
-    closer = common.staged(plain.join(marks, "id").select("id", "text", "marks").mapInArrow(common.tidy(_windows), _UNITS), folder, "windows")
-    late = _hits(closer, _again(closer, folder, "again_windows"))
+    closer = common.staged(plain.join(marks, "id").select("id", "text", "marks").mapInArrow(common.tidy(_windows), _UNITS), folder, "windows", let_go=True)
+    late = common.staged(_hits(closer, _again(closer, folder, "again_windows")), folder, "late", let_go=True)
+    common.discard(docs.sparkSession, folder, "windows", "again_windows")
     return hits.filter(F.col("state") != NEAR).drop("state").union(late.drop("state"))
 
 
 def _again(found: DataFrame, folder: str, name: str) -> DataFrame:
     """(digests, first id) of units in two documents, and of anchors in two places."""
     firsts = found.filter(F.col("state").isin(FIRST, NEAR))
-    return common.staged(firsts.groupBy("digest", "digest2").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "digest2", "first"), folder, name)
+    return common.staged(firsts.groupBy("digest", "digest2").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("digest", "digest2", "first"), folder, name, let_go=True)
 
 
 def _hits(found: DataFrame, again: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -328,6 +329,24 @@ def test_repeated_lines_of_any_length_go(spark, docs, texts):
     assert many > 50
 
 
+def test_substrings_keep_only_hits_on_disk(spark, docs, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        names = (every.apply(i).getName() for i in range(every.size()))
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before = files()
+    spans = substring.duplicate_spans(docs, f"file://{tmp_path}")
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["hits", "late"]
+    end = time.time() + 10  # files go a moment later
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spans.count() > 0
+
+
 def test_substrings_of_odd_rows(odd):
     rows = substring.dedup_substrings(odd).collect()
     assert len(rows) == len(ROWS)

@@ -171,3 +171,53 @@ def test_columns_of_any_name(geo):
     points = points.withColumns({"__xmin": F.lit(1), "__level": F.lit("x"), "a`b": F.lit(2), "H": F.lit(3)})
     rows = spatial_join(points, boxes, "g", "h", "intersects", "left", grid=True)
     assert rows.columns == [*points.columns, "b", "h_right"] and {(r["__xmin"], r["__level"], r["a`b"], r["H"]) for r in rows.collect()} == {(1, "x", 2, 3)}
+
+
+@pytest.mark.parametrize("how", HOWS)
+def test_conditions_of_one_side(sides, truth, how):
+    """Conditions of one side choose its rows; rows that they leave out still stay where the join type keeps them."""
+    hit = {(a, b) for a, b in expected(truth, Relation("intersects"), False) if a % 3 and b % 2 == 0}
+    conditions = [F.col("a") % 3 != 0, F.col("b") % 2 == 0]
+    for grid in (True, False):
+        got = run(sides, Relation("intersects"), how, grid, conditions)
+        assert len(got) == len(set(got)) and set(got) == outcome(hit, how)
+
+
+def test_many_pairs_are_dealt_over_all_tasks(geo, monkeypatch):
+    """Pairs of few bytes are not left to one task, though the session would put their shuffle into one partition."""
+    points, boxes = both(geo, 300, ["-1, -1, 300, 300"])
+    want = pairs_of(spatial_join(points, boxes, "g", "h", "intersects", grid=False))
+    monkeypatch.setattr("geostrata.operators.spatial_join.WORK", 50)
+    joined = spatial_join(points, boxes, "g", "h", "intersects", grid=True)
+    tasks = {r["p"] for r in joined.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert pairs_of(joined) == want and len(tasks) == int(geo.conf.get("spark.sql.shuffle.partitions"))
+    for how in ("left_semi", "right_anti", "full"):
+        assert sorted(map(str, spatial_join(points, boxes, "g", "h", "intersects", how, grid=True).collect())) == sorted(map(str, spatial_join(points, boxes, "g", "h", "intersects", how, grid=False).collect()))
+
+
+def test_semi_joins_stop_at_the_first_pair(geo):
+    """No pairs are made for a semi join: the cells meet in a semi join themselves."""
+    points, boxes = both(geo, 200)
+    plan = spatial_join(points, boxes, "g", "h", "intersects", "left_semi", grid=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2 and "Join Inner" not in plan
+
+
+def test_a_loop_needs_a_side_of_few_rows(geo, monkeypatch):
+    points, boxes = both(geo, 200)
+    want = pairs_of(spatial_join(points, boxes, "g", "h", "intersects", grid=False))
+    monkeypatch.setattr("geostrata.operators.spatial_join.LOOP", 100)
+    joined = spatial_join(points, boxes, "g", "h", "intersects", grid=False)
+    assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString() and pairs_of(joined) == want
+
+
+def test_distances_of_points_and_boxes_are_rounded_once(geo):
+    """The distance of a point from a box beside it is the difference of two coordinates, in the kernel and in joins."""
+    points = geo.range(4000).select(F.col("id").alias("a"), F.expr("id * 7919 % 1000003 / 100D").alias("x"), F.expr("ST_MakePoint(id * 7919 % 1000003 / 100D, 400)").alias("g"))
+    box = geo.sql("SELECT 1 AS b, 812.37D - 300 AS low, 812.37D + 300 AS high, ST_MakeEnvelope(812.37D - 300, -500, 812.37D + 300, 1300) AS h")
+    gap = F.greatest(F.col("x") - F.col("high"), F.col("low") - F.col("x"), F.lit(0.0))
+    assert points.crossJoin(box).filter(F.expr("ST_Distance(g, h)") != gap).count() == 0
+    limit = points.crossJoin(box).filter("a = 1234").select(gap).first()[0]
+    for grid in (True, False):
+        for strict in (True, False):
+            want = points.crossJoin(box).filter(gap < limit if strict else gap <= limit).count()
+            assert spatial_join(points, box, "g", "h", Distance(limit, strict=strict), grid=grid).count() == want

@@ -201,3 +201,8 @@ def test_external_tables_with_clauses(t, tmp_path):
     sql(t, "drop table semi")
     with pytest.raises(ValueError, match="LOCATION"):
         sql(t, "create external table nowhere stored as parquet")
+
+
+def test_times_beyond_the_year_9999_have_no_sign(spark):
+    got = sql(spark, "select cast(to_timestamp_seconds(400000000000) as string) as a, cast(to_timestamp_seconds(id) as text) as b, cast(concat('+1', id) as string) as c from range(1)").first()
+    assert tuple(got) == ("14645-06-30 15:06:40", "1970-01-01 00:00:00", "+10")

@@ -206,3 +206,20 @@ def test_external_tables_with_clauses(t, tmp_path):
 def test_times_beyond_the_year_9999_have_no_sign(spark):
     got = sql(spark, "select cast(to_timestamp_seconds(400000000000) as string) as a, cast(to_timestamp_seconds(id) as text) as b, cast(concat('+1', id) as string) as c from range(1)").first()
     assert tuple(got) == ("14645-06-30 15:06:40", "1970-01-01 00:00:00", "+10")
+
+
+@pytest.mark.parametrize("one", ["<", ">="])
+@pytest.mark.parametrize("two", [">", "<=", None])
+def test_counts_over_inequalities(spark, monkeypatch, one, two):
+    """Counts by ranges are those of the pairs, with repeated, missing and infinite values; no pairs are made."""
+    for name, n, k in (("ia", 150, 7), ("ib", 400, 11)):
+        spark.sql(f"select id as {name}k, case when id % 29 = 0 then null when id % 31 = 0 then double('infinity') else id * {k} % 97 / 4D end as {name}x, int(id * 13 % {k}) as {name}y, 1 as shared from range({n})").createOrReplaceTempView(name)
+    text = f"SELECT ia.iak, count(*) AS n FROM ia JOIN ib ON ia.iax {one} ib.ibx" + (f" AND ia.iay {two} ib.iby" if two else "") + " GROUP BY ia.iak"
+    want = sorted(map(tuple, sql(spark, text).collect()))
+    monkeypatch.setattr("geostrata.plans.inequality.PAIRS", 100)
+    for ranges in (3, 1024):
+        monkeypatch.setattr("geostrata.plans.inequality.BUCKETS", ranges)
+        df = sql(spark, text)
+        assert sorted(map(tuple, df.collect())) == want and len(want) > 50 and df.dtypes == [("iak", "bigint"), ("n", "bigint")]
+    loops = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "NestedLoop" in x]
+    assert all("Cross" in x for x in loops)  # with the one row of bounds only

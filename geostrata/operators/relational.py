@@ -58,3 +58,14 @@ def intersect_by(left: DataFrame, right: DataFrame, every: bool = False) -> Data
 
 def except_by(left: DataFrame, right: DataFrame, every: bool = False) -> DataFrame:
     return left.exceptAll(right) if every else left.subtract(right)
+
+
+#: Bytes of a scanned table to a task where each row costs much more than its reading.
+TASK_BYTES = 64 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt over tasks, as a file of one row group is read by one: at most four tasks a core."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = min(size // TASK_BYTES, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks) if tasks > 1 else df

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.operators.aggregates import st_analyze_agg
+from geostrata.operators.relational import spread
 from geostrata.operators.spatial_join import Distance, Relation, spatial_join
 from geostrata.queries.base import query, views
 from geostrata.functions import spatial as S
@@ -52,12 +53,12 @@ PAIRS = {
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment", S.call("ST_MakePoint", F.col("c_acctbal"), F.col("c_nationkey") * 400.0).alias("g"))
+    return spread(spark.read.parquet(f"{sf_dir}/customer.parquet")).select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment", S.call("ST_MakePoint", F.col("c_acctbal"), F.col("c_nationkey") * 400.0).alias("g"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("s_acctbal"), F.col("s_nationkey") * 400.0
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", S.call("ST_MakeEnvelope", x - 300, y - 900, x + 300, y + 900).alias("box"))
+    return spread(spark.read.parquet(f"{sf_dir}/supplier.parquet")).select("s_suppkey", S.call("ST_MakeEnvelope", x - 300, y - 900, x + 300, y + 900).alias("box"))
 
 
 def _join(how: str, predicate, residual: str | None = None, grid: bool | None = True) -> Callable[[SparkSession, str], DataFrame]:

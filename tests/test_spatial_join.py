@@ -221,3 +221,18 @@ def test_distances_of_points_and_boxes_are_rounded_once(geo):
         for strict in (True, False):
             want = points.crossJoin(box).filter(gap < limit if strict else gap <= limit).count()
             assert spatial_join(points, box, "g", "h", Distance(limit, strict=strict), grid=grid).count() == want
+
+
+def test_scans_are_dealt_over_tasks_before_kernels(spark, tmp_path):
+    """A file of one row group is one task however many cores there are; where kernels run on its rows it is dealt out."""
+    from geostrata.operators.relational import TASK_BYTES, spread
+    from geostrata.queries.base import views
+
+    spark.range(60_000).selectExpr("id AS p_partkey", "uuid() AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    views(spark, str(tmp_path), "select ST_X(ST_MakePoint(p_partkey, 1)) from part")
+    tasks = spark.table("part").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == 4 * spark.sparkContext.defaultParallelism
+    few = spark.range(100).coalesce(1)
+    assert spread(few).select(F.spark_partition_id().alias("p")).distinct().count() == 1 and TASK_BYTES > 800
+    views(spark, str(tmp_path), "select p_partkey from part")
+    assert spark.table("part").select(F.spark_partition_id().alias("p")).distinct().count() < tasks
